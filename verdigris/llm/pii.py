@@ -17,7 +17,8 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "aba")
 BASE_KINDS = KINDS[:4]
@@ -26,7 +27,7 @@ CONTEXT_CHARS = 48
 
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+_IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")  # a match can only start where digits do
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
@@ -116,6 +117,19 @@ def find_spans(text: str) -> list[tuple[str, int, int, float]]:
     return out
 
 
+def digest_columns(found: DataFrame) -> DataFrame:
+    """doc_id, n_email .. n_phone, base_sha256, spans (joined to text) of find_pii()."""
+
+    def as_text(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+
+    def of(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long")
+
+    base = F.filter("spans", lambda x: x["kind"].isin(*BASE_KINDS))
+    return found.select("doc_id", *[of(k).alias(f"n_{k}") for k in BASE_KINDS], F.sha2(as_text(base), 256).alias("base_sha256"), as_text(F.col("spans")).alias("spans"))
+
+
 def find_pii(docs: DataFrame) -> DataFrame:
     """doc_id and spans, an array of (kind, start, end, score).
 
