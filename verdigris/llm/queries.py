@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, fingerprints, license_scan, pii, sharding, source_mix, token_files
+from . import decontam, fingerprints, license_scan, ngram_join, pii, sharding, source_mix, substrings, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,10 +37,18 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_edits(_table(spark, sf_dir, "documents"))
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(_table(spark, sf_dir, "documents"))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest_columns(pii.find_pii(_table(spark, sf_dir, "documents")))
 
 
+def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(_table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = source_mix.mix_sources(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
@@ -58,7 +66,9 @@ _QUERIES = (
     op1_license_scan,
     op2_token_files,
     op3_fingerprints,
+    op4_ngram_join,
     op5_pii,
+    op6_substrings,
     op7_source_mix,
     op9_decontamination,
     op10_sharding,

@@ -6,6 +6,7 @@ The folder is the session's ``spark.checkpoint.dir``; only where that is unset
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -39,3 +40,10 @@ def dropped(*tables: DataFrame) -> None:
             jvm = table.sparkSession._jvm
             at = jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def freed(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete shuffle files that no table needs any more; it
+    acts when the driver collects its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
