@@ -16,7 +16,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scratch import written
+
 _ICU = "com.ibm.icu"
+_KINDS = ("", "edited_", "next_")
+#: Digests shared by several texts are broadcast up to this count, else joined.
+MAX_BROADCAST_DIGESTS = 10_000
 #: White space of Unicode's White_Space property.
 _SPACE = r"[\x09-\x0D\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 
@@ -109,6 +114,9 @@ def fingerprint_edits(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     document of a table is its own next. Null ids come before all others, equal
     ids are ordered by text, repeated rows keep their rows. An empty table gives
     no rows. Other columns of docs are not read.
+
+    Texts are moved once, to meet the text after them. Inside equal buckets the
+    bytes are compared by the SHA-256 of the canonical text that was taken then.
     """
     spark = docs.sparkSession
     buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -122,22 +130,24 @@ def fingerprint_edits(docs: DataFrame, buckets: int | None = None) -> DataFrame:
         canonical(F.col("edited_text")).alias("edited_canon"),
         canonical(F.col("next_text")).alias("next_canon"),
     )
-    rows = rows.withColumns({"digest": digest(F.col("canon")), "edited_digest": digest(F.col("edited_canon")), "next_digest": digest(F.col("next_canon"))})
-    rows = rows.withColumns({f"{k}sha": F.sha2(f"{k}canon", 256) for k in ("", "edited_", "next_")}).drop("canon", "edited_canon", "next_canon")
-    # digests of documents and edited texts, each with its bytes, compared inside equal buckets
-    canons = docs.select(canonical(F.coalesce("text", F.lit(""))).alias("canon")).withColumn("digest", digest(F.col("canon")))
-    shared = shared_digests(canons)
-    # and an edited text against the documents: equal digest, other bytes, shows in the SHA-256
-    for k in ("", "edited_", "next_"):
-        s = shared.withColumnRenamed("shared", f"{k}shared")
-        rows = rows.join(s, F.col(f"{k}digest") == F.col(f"{k}shared"), "left")
-        rows = rows.withColumn(f"{k}fp", F.when(F.col(f"{k}shared").isNull(), F.col(f"{k}digest")).otherwise(F.concat(f"{k}digest", F.lit("-"), f"{k}sha")))
+    rows = rows.withColumns({f"{k}digest": digest(F.col(f"{k}canon")) for k in _KINDS})
+    rows = rows.withColumns({f"{k}bytes": F.unhex(F.sha2(f"{k}canon", 256)) for k in _KINDS})
+    rows = written(rows.drop("text", "next_text", "edited_text", "canon", "edited_canon", "next_canon"), "fingerprints")
+    both = rows.select(F.inline(F.array(*[F.struct(F.col(f"{k}digest").alias("digest"), F.col(f"{k}bytes").alias("bytes")) for k in _KINDS[:2]])))
+    groups = both.groupBy("digest").agg(F.min("bytes").alias("least"), F.max("bytes").alias("most"))
+    shared = written(groups.where(F.col("least") != F.col("most")).select(F.col("digest").alias("shared")), "shared-digests")
+    few = shared.count() <= MAX_BROADCAST_DIGESTS
+    for k in _KINDS:
+        s = F.broadcast(shared) if few else shared
+        plain = F.col(f"{k}digest")
+        rows = rows.join(s, plain == F.col("shared"), "left")
+        rows = rows.withColumn(f"{k}fp", F.when(F.col("shared").isNull(), plain).otherwise(F.concat(plain, F.lit("-"), F.lower(F.hex(f"{k}bytes"))))).drop("shared")
     return rows.select(
         "doc_id",
         "n_chars",
         "edited_sha256",
         F.col("fp").alias("fingerprint"),
         F.col("edited_fp").alias("edited_fingerprint"),
-        (likeness(F.col("fp"), F.col("edited_fp")) * likeness(F.col("sha"), F.col("edited_sha"))).alias("near_edited"),
-        (likeness(F.col("fp"), F.col("next_fp")) * likeness(F.col("sha"), F.col("next_sha"))).alias("near_next"),
+        likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"),
+        likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
     )
