@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,6 +45,8 @@ def dropped(*tables: DataFrame) -> None:
 
 def freed(spark: SparkSession) -> None:
     """Let Spark's cleaner delete shuffle files that no table needs any more; it
-    acts when the driver collects its garbage."""
-    gc.collect()
-    spark._jvm.System.gc()
+    acts when the driver collects its garbage, Python's proxies first."""
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)

@@ -39,6 +39,8 @@ from .scratch import freed, written
 
 LENGTH = 50
 KMER = 24
+_NAME_BITS = np.uint64((1 << 24) - 1)
+_AT = 1 << 31
 
 
 class Hashes:
@@ -88,36 +90,38 @@ def text_tags(docs: DataFrame) -> DataFrame:
 
 
 def sample_suffixes(tagged: DataFrame, length: int, kmer: int) -> DataFrame:
-    """bucket, name, doc_id, tag, start, windows: the runs of all documents."""
+    """key, name, doc_id, tag, at: the runs of all documents. A key is 40 bits
+    of the bucket's hash and 24 of the name's, so rows are few bytes; `name` is
+    32 bits more of the name. `at` is 2**31 * start + windows."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in tb.blocks(batch.column(2)):
                 doc, lo, hi, bucket, name = runs(block, length, kmer)
                 take = pa.array(doc + block.lo)
+                key = (tb.mix(bucket) & ~_NAME_BITS) | (name & _NAME_BITS)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(bucket.view(np.int64)),
-                        pa.array(name.view(np.int64)),
+                        pa.array(key.view(np.int64)),
+                        pa.array((name >> np.uint64(32)).astype(np.uint32).view(np.int32)),
                         batch.column(0).take(take),
                         batch.column(1).take(take),
-                        pa.array((lo - block.offsets[doc]).astype(np.int32)),
-                        pa.array((hi - lo + 1).astype(np.int32)),
+                        pa.array((lo - block.offsets[doc]) * _AT + hi - lo + 1),
                     ],
-                    ["bucket", "name", "doc_id", "tag", "start", "windows"],
+                    ["key", "name", "doc_id", "tag", "at"],
                 )
 
-    return tagged.where(F.octet_length("text") >= length).mapInArrow(cut, "bucket long, name long, doc_id long, tag int, start int, windows int")
+    return tagged.where(F.octet_length("text") >= length).mapInArrow(cut, "key long, name int, doc_id long, tag int, at long")
 
 
-def _whole_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _whole_keys(batches: Iterator[pa.RecordBatch], mask: np.uint64) -> Iterator[pa.RecordBatch]:
     """The rows of sorted batches again, as batches with all rows of each key (the first column)."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:
             continue
-        key = batch.column(0).to_numpy()
-        cut = int(np.searchsorted(key, key[-1], "left"))
+        key = batch.column(0).to_numpy().view(np.uint64) & mask
+        cut = int(np.argmax(key == key[-1]))  # sorted: the last key's rows are at the end
         if cut:
             yield from pa.Table.from_batches([*held, batch.slice(0, cut)]).combine_chunks().to_batches()
             held = []
@@ -132,14 +136,15 @@ def _ids(column: pa.Array) -> np.ndarray:
 
 
 def scan_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted sample suffixes -> doc_id, tag, start, windows, decided (repeated) or not."""
-    for batch in _whole_keys(batches):
-        bucket, name = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+    """Sorted sample suffixes -> doc_id, tag, at, decided (repeated) or not."""
+    for batch in _whole_keys(batches, ~_NAME_BITS):
+        key, name = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
+        bucket = key & ~_NAME_BITS
         doc = _ids(batch.column(2))
         new_bucket = np.ones(len(bucket), bool)
         new_bucket[1:] = bucket[1:] != bucket[:-1]
-        new_name = new_bucket.copy()
-        new_name[1:] |= name[1:] != name[:-1]
+        new_name = np.ones(len(bucket), bool)
+        new_name[1:] = (key[1:] != key[:-1]) | (name[1:] != name[:-1])
         first = doc[np.maximum.accumulate(np.where(new_name, np.arange(len(doc)), 0))]
         repeated = doc > first
         of = np.cumsum(new_bucket) - 1
@@ -148,61 +153,68 @@ def scan_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         several = np.maximum.reduceat(doc, starts) != np.minimum.reduceat(doc, starts)
         open_ = ~repeated & ((names > 1) & several)[of]
         keep = pa.array(np.flatnonzero(repeated | open_))
-        yield pa.RecordBatch.from_arrays([*[batch.column(k).take(keep) for k in (2, 3, 4, 5)], pa.array(repeated).take(keep)], ["doc_id", "tag", "start", "windows", "decided"])
+        yield pa.RecordBatch.from_arrays([*[batch.column(k).take(keep) for k in (2, 3, 4)], pa.array(repeated).take(keep)], ["doc_id", "tag", "at", "decided"])
 
 
 def open_windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """(doc_id, tag, text, runs) -> hash, doc_id, tag, start of every window of the runs."""
+    """(doc_id, tag, text, marks) -> hash, doc_id, tag, at of every window of the marked runs."""
     for batch in batches:
         marks = batch.column(3)
         for block in tb.blocks(batch.column(2)):
             hashes = Hashes(block.data)
             own = marks.slice(block.lo, block.n)
             many = own.value_lengths().to_numpy(zero_copy_only=False)
-            flat = own.flatten()
-            first, count = flat.field(0).to_numpy().astype(np.int64), flat.field(1).to_numpy().astype(np.int64)
+            first, count = np.divmod(own.flatten().to_numpy(), _AT)
             doc = np.repeat(np.repeat(np.arange(block.n), many), count)
             start = np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
             there = start + block.offsets[doc]
             take = pa.array(doc + block.lo)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(hashes.of(there, there + length).view(np.int64)), batch.column(0).take(take), batch.column(1).take(take), pa.array(start.astype(np.int32))],
-                ["hash", "doc_id", "tag", "start"],
+                [pa.array(hashes.of(there, there + length).view(np.int64)), batch.column(0).take(take), batch.column(1).take(take), pa.array(start * _AT + 1)],
+                ["hash", "doc_id", "tag", "at"],
             )
 
 
 def scan_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted windows -> doc_id, tag, start, windows (1) of the repeated ones."""
-    for batch in _whole_keys(batches):
+    """Sorted windows -> doc_id, tag, at of the repeated ones."""
+    for batch in _whole_keys(batches, ~np.uint64(0)):
         key, doc = batch.column(0).to_numpy(), _ids(batch.column(1))
         new = np.ones(len(key), bool)
         new[1:] = key[1:] != key[:-1]
         first = doc[np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))]
         keep = pa.array(np.flatnonzero(doc > first))
-        yield pa.RecordBatch.from_arrays([*[batch.column(k).take(keep) for k in (1, 2, 3)], pa.array(np.ones(len(keep), np.int32))], ["doc_id", "tag", "start", "windows"])
+        yield pa.RecordBatch.from_arrays([batch.column(k).take(keep) for k in (1, 2, 3)], ["doc_id", "tag", "at"])
 
 
 def _with_marks(tagged: DataFrame, marks: DataFrame, how: str) -> DataFrame:
-    """doc_id, tag, text and the document's marks, an array of (start, windows)."""
-    own = marks.groupBy(F.col("doc_id").alias("m_id"), F.col("tag").alias("m_tag")).agg(F.collect_list(F.struct("start", "windows")).alias("marks"))
+    """doc_id, tag, text and the document's marks, an array of `at`."""
+    own = marks.groupBy(F.col("doc_id").alias("m_id"), F.col("tag").alias("m_tag")).agg(F.collect_list("at").alias("marks"))
     out = tagged.join(own, F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("tag") == F.col("m_tag")), how)
-    return out.select("doc_id", "tag", "text", F.coalesce("marks", F.array().cast("array<struct<start:int,windows:int>>")).alias("marks"))
+    return out.select("doc_id", "tag", "text", F.coalesce("marks", F.array().cast("array<long>")).alias("marks"))
 
 
-def repeated_windows(docs: DataFrame, length: int = LENGTH, kmer: int = KMER) -> tuple[DataFrame, DataFrame]:
-    """Two tables of repeated windows: doc_id, tag, start, windows (so many, one after another)."""
+def decided_runs(tagged: DataFrame, length: int, kmer: int) -> DataFrame:
+    parts = int(tagged.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bucket = F.shiftrightunsigned("key", 24)
+    suffixes = sample_suffixes(tagged, length, kmer).repartition(parts, bucket).sortWithinPartitions("key", "name", F.asc_nulls_first("doc_id"))
+    return written(suffixes.mapInArrow(scan_buckets, "doc_id long, tag int, at long, decided boolean"), "runs")
+
+
+def repeated_singles(tagged: DataFrame, undecided: DataFrame, length: int) -> DataFrame:
+    parts = int(tagged.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    windows = _with_marks(tagged, undecided, "inner").mapInArrow(lambda b: open_windows(b, length), "hash long, doc_id long, tag int, at long")
+    windows = windows.repartition(parts, "hash").sortWithinPartitions("hash", F.asc_nulls_first("doc_id"))
+    return written(windows.mapInArrow(scan_windows, "doc_id long, tag int, at long"), "windows")
+
+
+def repeated_windows(docs: DataFrame, length: int = LENGTH, kmer: int = KMER) -> DataFrame:
+    """doc_id, tag, at: runs of repeated windows, at = 2**31 * start + how many windows."""
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    tagged = text_tags(docs)
-    suffixes = sample_suffixes(tagged, length, kmer).repartition(parts, "bucket").sortWithinPartitions("bucket", "name", F.asc_nulls_first("doc_id"))
-    found = written(suffixes.mapInArrow(scan_buckets, "doc_id long, tag int, start int, windows int, decided boolean"), "runs")
+    found = decided_runs(text_tags(docs), length, kmer)
     freed(spark)
-    undecided = found.where("not decided").drop("decided")
-    windows = _with_marks(tagged, undecided, "inner").mapInArrow(lambda b: open_windows(b, length), "hash long, doc_id long, tag int, start int")
-    windows = windows.repartition(parts, "hash").sortWithinPartitions("hash", F.asc_nulls_first("doc_id"))
-    single = written(windows.mapInArrow(scan_windows, "doc_id long, tag int, start int, windows int"), "windows")
+    single = repeated_singles(text_tags(docs), found.where("not decided").drop("decided"), length)
     freed(spark)
-    return found.where("decided").drop("decided"), single
+    return found.where("decided").drop("decided").unionByName(single)
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, kmer: int = KMER) -> DataFrame:
@@ -213,18 +225,18 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, kmer: int = KMER) -> D
     document, before all others. A text shorter than `length` bytes loses
     nothing. An empty table gives no rows. Other columns are not read.
     """
-    wide, single = repeated_windows(docs, length, kmer)
+    repeated = repeated_windows(docs, length, kmer)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in tb.blocks(batch.column(2)):
                 own = batch.column(3).slice(block.lo, block.n)
                 many = own.value_lengths().to_numpy(zero_copy_only=False)
-                flat = own.flatten()
-                start = flat.field(0).to_numpy() + block.offsets[np.repeat(np.arange(block.n), many)]
+                start, windows = np.divmod(own.flatten().to_numpy(), _AT)
+                start = start + block.offsets[np.repeat(np.arange(block.n), many)]
                 steps = np.zeros(len(block.data) + 1, np.int64)
                 np.add.at(steps, start, 1)
-                np.add.at(steps, start + flat.field(1).to_numpy() + length - 1, -1)
+                np.add.at(steps, start + windows + length - 1, -1)
                 gone = np.cumsum(steps[:-1]) > 0
                 before = np.zeros(len(gone), bool)
                 before[1:] = gone[:-1]
@@ -244,5 +256,5 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, kmer: int = KMER) -> D
                     ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
                 )
 
-    marked = _with_marks(text_tags(docs), wide.unionByName(single), "left")
+    marked = _with_marks(text_tags(docs), repeated, "left")
     return marked.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
