@@ -9,11 +9,15 @@ used, each a necessary condition, and they are intersected before any pair is
 verified:
 
 * order 1 is by rarity (a bounded summary of frequent tokens over all
-  documents, then a hash). Nodes that share a prefix token under it are joined
-  by token; the connected components of this are candidate clusters, and no
-  pair is written for it, a list of n nodes giving n - 1 edges;
-* orders 2 and 3 are by independent hashes. Inside a cluster, pairs must share
-  a prefix token under both, and be near in length, to be verified.
+  documents, then a hash). Nodes are joined by their prefix tokens under it;
+* orders 2 and 3 are by independent hashes. A pair must share a prefix token
+  under both as well, and be near in length.
+
+Lists of up to SHORT_LIST nodes give their pairs, which the other orders then
+filter. A longer list of n nodes gives n - 1 edges that only keep it together,
+so no group is written as pairs. The connected components of what is left are
+candidate clusters; each linked pair is inside one. In them all orders are
+intersected again, pair by pair, and what remains is verified.
 
 Clusters are cut by size class and hash into chunks of bounded tokens; a task
 gets two chunks, compares them by counting shared tokens with matrix products
@@ -38,8 +42,10 @@ from .scratch import dropped, freed, written
 WORDS = 4
 PERCENT = 85
 #: Tokens held in the summary of frequent tokens (all others count as rare), and a task's own.
-FREQUENT = 1 << 16
+FREQUENT = 1 << 20
 HELD = 1 << 22
+#: Nodes that share a prefix token, up to which the pairs are written.
+SHORT_LIST = 32
 #: Tokens of a chunk: a cluster is cut into SPLITS chunks, of these sizes.
 LEAST_CHUNK, MOST_CHUNK, SPLITS = 1 << 13, 1 << 18, 16
 #: What a node weighs besides its tokens, so that a chunk has a bounded number of nodes.
@@ -133,12 +139,14 @@ def frequent_tokens(docs: DataFrame, words: int, most: int = FREQUENT) -> np.nda
         yield pa.RecordBatch.from_arrays([pa.array(known.view(np.int64)), pa.array(n)], ["token", "n"])
 
     rows = docs.select("text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    top = rows.orderBy(F.desc("n"), "token").limit(most).collect()  # FREQUENT rows at most
-    return np.array([r["token"] for r in reversed(top)], np.int64).view(np.uint64)
+    top = rows.orderBy(F.desc("n"), "token").limit(most).toArrow()  # FREQUENT rows at most
+    token, n = top.column("token").to_numpy(), top.column("n").to_numpy()
+    return token[np.lexsort((token, n))].view(np.uint64)
 
 
 def prefix_table(docs: DataFrame, words: int, percent: int, frequent: np.ndarray) -> DataFrame:
-    """doc_id, n (size of the set), node (null if it is empty), prefix (tokens, order 1)."""
+    """doc_id, n (size of the set), node (null if it is empty), and the prefixes:
+    p1 (tokens, order 1), p2 and p3 (32 bits of each token, orders 2 and 3)."""
     order = np.argsort(frequent)
     shared = docs.sparkSession.sparkContext.broadcast((frequent[order], (order + 1).astype(np.uint64)))
 
@@ -160,23 +168,58 @@ def prefix_table(docs: DataFrame, words: int, percent: int, frequent: np.ndarray
                         pa.array(n),
                         pa.array(node_ids(tokens, first), mask=n == 0),
                         pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(tokens[chosen].view(np.int64))),
+                        *[_hashed_prefix(tokens, first, salt, percent) for salt in _SALTS[1:]],
                     ],
-                    ["doc_id", "n", "node", "prefix"],
+                    ["doc_id", "n", "node", "p1", "p2", "p3"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(cut, "doc_id long, n long, node long, prefix array<long>")
-
-
-def candidate_clusters(table: DataFrame) -> DataFrame:
-    """node, cluster: nodes that a chain of shared prefix tokens connects."""
-    spark = table.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    nodes = table.where("node is not null").groupBy("node").agg(F.min("prefix").alias("prefix"))
-    postings = nodes.select("node", F.explode("prefix").alias("token")).repartition(parts, "token")
-    lists = postings.groupBy("token").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most")
-    star = postings.join(lists.select(F.col("token").alias("t"), "least"), F.col("token") == F.col("t"))
-    edges = written(star.where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct(), "edges")
-    freed(spark)
+    return docs.select("doc_id", "text").mapInArrow(cut, "doc_id long, n long, node long, p1 array<long>, p2 array<int>, p3 array<int>")
+
+
+def hash_order(tokens: np.ndarray, salt: np.uint64) -> np.ndarray:
+    return tb.mix(tb.mix(tokens ^ salt) + salt)
+
+
+def _hashed_prefix(tokens: np.ndarray, first: np.ndarray, salt: np.uint64, percent: int) -> pa.Array:
+    chosen = in_prefix(hash_order(tokens, salt), first, percent)
+    ends = np.concatenate([[0], np.cumsum(chosen)])[first]
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array((tokens[chosen] >> np.uint64(32)).astype(np.uint32).view(np.int32)))
+
+
+def shared_postings(table: DataFrame) -> DataFrame:
+    """token, node, n, least (node of the token), times: prefix tokens of order 1 that several nodes have."""
+    parts = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    nodes = table.where("node is not null").groupBy("node").agg(F.min(F.struct("n", "p1")).alias("one"))
+    postings = nodes.select("node", "one.n", F.explode("one.p1").alias("token")).repartition(parts, "token")
+    lists = postings.groupBy("token").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("times")).where("times > 1")
+    lists = lists.withColumnRenamed("token", "of")
+    return written(postings.join(lists, F.col("token") == F.col("of")).drop("of"), "postings")
+
+
+def candidate_pairs(table: DataFrame, postings: DataFrame, percent: int) -> DataFrame:
+    """a, b: pairs of short lists that are near in size and share a prefix token
+    under orders 2 and 3 too, and the edges of long lists."""
+    short = postings.where(F.col("times") <= SHORT_LIST).select("token", "node", "n")
+    left = short.select("token", F.col("node").alias("a"), F.col("n").alias("n_a"))
+    right = short.select(F.col("token").alias("t"), F.col("node").alias("b"), F.col("n").alias("n_b"))
+    near = (F.col("n_a") * percent <= 100 * F.col("n_b")) & (F.col("n_b") * percent <= 100 * F.col("n_a"))
+    pairs = left.join(right, (F.col("token") == F.col("t")) & (F.col("a") < F.col("b")) & near).select("a", "b").distinct()
+    there = pairs.select(F.explode(F.array("a", "b")).alias("there")).distinct()
+    others = table.select("node", "p2", "p3").join(there, F.col("node") == F.col("there"), "left_semi").dropDuplicates(["node"])
+    for side in ("a", "b"):
+        own = others.select(F.col("node").alias("of"), F.col("p2").alias(f"p2_{side}"), F.col("p3").alias(f"p3_{side}"))
+        pairs = pairs.join(own, F.col(side) == F.col("of")).drop("of")
+    pairs = pairs.where(F.arrays_overlap("p2_a", "p2_b") & F.arrays_overlap("p3_a", "p3_b")).select("a", "b")
+    long_ = postings.where((F.col("times") > SHORT_LIST) & (F.col("node") != F.col("least"))).select(F.col("node").alias("a"), F.col("least").alias("b"))
+    return written(pairs.unionByName(long_).distinct(), "edges")
+
+
+def candidate_clusters(table: DataFrame, percent: int) -> DataFrame:
+    """node, cluster: what chains of candidate pairs connect."""
+    postings = shared_postings(table)
+    freed(table.sparkSession)
+    edges = candidate_pairs(table, postings, percent)
+    dropped(postings)
     out = components(edges).withColumnRenamed("component", "cluster")
     dropped(edges)
     return out
@@ -269,8 +312,7 @@ def unit_links(node: np.ndarray, tokens: list[np.ndarray], side: np.ndarray, per
     for salt in _SALTS[1:]:
         if not pair.any():
             return []
-        keys = tb.mix(tb.mix(flat ^ salt) + salt)
-        pair &= _shared(left, right, code, owner, in_prefix(keys, first, percent) & common, len(n), width) > 0
+        pair &= _shared(left, right, code, owner, in_prefix(hash_order(flat, salt), first, percent) & common, len(n), width) > 0
     if not pair.any():
         return []
     both = _shared(left, right, code, owner, common, len(n), width)
@@ -313,7 +355,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     """
     spark = docs.sparkSession
     table = written(prefix_table(docs, words, percent, frequent_tokens(docs, words)), "prefixes")
-    clusters = written(candidate_clusters(table), "clusters")
+    clusters = written(candidate_clusters(table, percent), "clusters")
     freed(spark)
     named = table.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
     named = written(named.join(clusters.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").drop("of"), "nodes")
