@@ -100,3 +100,18 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS, origins: int = ORIGINS,
         (F.col("start") + F.col("inside")).cast("long").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+def sharded_documents(docs: DataFrame, shards: int = SHARDS, origins: int = ORIGINS, seed: int = SEED) -> DataFrame:
+    """The documents, columns as given, with `shard` and `slot` (in place of
+    columns of these names). Repeated rows get places of their own."""
+    plan = assign_shards(docs, shards, origins, seed)
+    places = plan.groupBy(F.xxhash64("doc_id", "text_crc32", "size").alias("of")).agg(F.array_sort(F.collect_list(F.struct("shard", "slot"))).alias("places"))
+    text = F.coalesce("text", F.lit(""))
+    key = F.xxhash64("doc_id", F.crc32(text.cast("binary")), (F.octet_length(text) + 1).cast("long"))
+    kept = [c for c in docs.columns if c not in ("shard", "slot")]
+    rows = docs.select(F.struct(*kept).alias("row"), key.alias("key"))
+    # as many places as rows have a key: the n-th row of a key takes its n-th place
+    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy(F.lit(0))))
+    out = rows.join(places, F.col("key") == F.col("of")).select("row", F.element_at("places", F.col("n")).alias("place"))
+    return out.select("row.*", "place.shard", "place.slot")
