@@ -78,10 +78,11 @@ def frame_sql(name: str, quote=lambda t: t) -> str:
 
 
 def with_frames(sql: str, *names: str) -> str:
-    """sql for the oracle, its braces filled with frames."""
+    """sql for the oracle, its braces filled with frames. DuckDB's count_if gives
+    128-bit numbers; a filtered count is a bigint as in Spark."""
     for n in names:
         sql = sql.replace(f"{{{n}}}", f"({frame_sql(n)})")
-    return sql
+    return sql.replace("count_if(", "count(*) filter (where ")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

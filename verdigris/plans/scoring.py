@@ -166,7 +166,7 @@ def a08(spark, d):
     return sc.crosstab(flat, "g", "p", CALL_RESULTS)
 
 
-@query("a09_metrics_table", f"with {_LAST}, r as ({_rates(_RESULT)}) select label, weight, accuracy, precision, recall, f1 from r union all select 'weighted_avg', sum(weight), round(sum(accuracy * weight) / sum(weight), 6), round(sum(precision * weight) / sum(weight), 6), round(sum(recall * weight) / sum(weight), 6), round(sum(f1 * weight) / sum(weight), 6) from r", "gt", "inc")
+@query("a09_metrics_table", f"with {_LAST}, r as ({_rates(_RESULT)}) select label, weight, accuracy, precision, recall, f1 from r union all select 'weighted_avg', cast(sum(weight) as bigint), round(sum(accuracy * weight) / sum(weight), 6), round(sum(precision * weight) / sum(weight), 6), round(sum(recall * weight) / sum(weight), 6), round(sum(f1 * weight) / sum(weight), 6) from r", "gt", "inc")
 def a09(spark, d):
     rates = sc.rates(sc.score_call_result(_joined(spark, d), CALL_RESULTS)).select("label", "weight", "accuracy", "precision", "recall", "f1")
     return rates.unionByName(sc.weighted_average(rates, digits=6).withColumn("label", F.lit("weighted_avg")))
