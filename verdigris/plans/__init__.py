@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ("scoring", "paired")
+AREAS = ("scoring", "paired", "runlog")
 
 
 def all_queries() -> dict:

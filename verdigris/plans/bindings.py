@@ -93,3 +93,16 @@ def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     sql = frame_sql(name, lambda t: f"{{{t}}}")
     used = {t: table(spark, sf_dir, t) for t in TABLES if f"{{{t}}}" in sql}
     return spark.sql(sql, **used)
+
+
+def run_sql(sql: str, *frames: str):
+    """A query of SQL text that Spark and DuckDB read alike, over frames and tables in braces."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        used = {n: frame(spark, sf_dir, n) for n in frames} | {t: table(spark, sf_dir, t) for t in TABLES if f"{{{t}}}" in sql}
+        return spark.sql(sql, **used)
+
+    oracle = with_frames(sql, *frames)
+    for t in TABLES:
+        oracle = oracle.replace(f"{{{t}}}", t)
+    return run, oracle
