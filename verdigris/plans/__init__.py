@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ("scoring", "paired", "runlog", "reconcile")
+AREAS = ("scoring", "paired", "runlog", "reconcile", "text")
 
 
 def all_queries() -> dict:

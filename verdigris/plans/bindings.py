@@ -67,8 +67,8 @@ from {orders} where o_orderkey % 5 = 0""",
 select l_orderkey * 10 + l_linenumber as z_id, min(l_suppkey) % 50 as company, 'IV' || cast(min(l_partkey) % 400 as string) as invoice, cast(floor(min(l_extendedprice)) as bigint) % 1000 as vat,
   min(l_shipdate) as clear_date, min(l_partkey) % 100 as payment_doc from {lineitem} where l_orderkey % 5 = 1 group by l_orderkey * 10 + l_linenumber""",
     "texts": """
-select doc_id, regexp_replace(substr(text, 1, 120), '[^ -~]', '') as ref, regexp_replace(replace(substr(text, 4, 120), 'the', 'teh'), '[^ -~]', '') as hyp, lang
-from {documents} where doc_id % 5 = 0""",
+select doc_id, substr(text, 1, 120) as ref, replace(substr(text, 4, 120), 'the', 'teh') as hyp, doc_id % 4 as family
+from {documents} where doc_id % 3 = 0 and length(text) > 10 and bit_length(substr(text, 1, 130)) = 8 * length(substr(text, 1, 130))""",
     "transcripts": """
 select cast(conv_id as string) as item_id, turn, role, text from {conversations}""",
 }

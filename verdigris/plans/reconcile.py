@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import normalize as nz
 from ..operators import matching
 from ..operators import reconcile as rc
+from ..operators.ranking import global_row_number
 from .bindings import frame, run_sql, table, with_frames
 
 QUERIES: dict = {}
@@ -160,17 +161,11 @@ def j19(spark, d):
 @query("j20_corpus_diff", "with a as (select doc_id, substr(text, 1, 50) as t, row_number() over (order by doc_id) as rn from documents where doc_id % 2 = 0), b as (select doc_id, substr(text, 1, 50) as t, row_number() over (order by doc_id) as rn from documents where doc_id % 2 = 1) select a.doc_id, b.doc_id as other, a.t = b.t as same from a join b using (rn)")
 def j20(spark, d):
     rows = table(spark, d, "documents").select("doc_id", F.substring("text", 1, 50).alias("t"))
-    a = rows.where("doc_id % 2 = 0").withColumn("rn", F.row_number().over(_by_id()))
-    b = rows.where("doc_id % 2 = 1").select(F.col("doc_id").alias("other"), F.col("t").alias("u"), F.row_number().over(_by_id()).alias("rn"))
+    a = global_row_number(rows.where("doc_id % 2 = 0"), "doc_id", "rn")
+    b = global_row_number(rows.where("doc_id % 2 = 1"), "doc_id", "rn").select(F.col("doc_id").alias("other"), F.col("t").alias("u"), "rn")
     return a.join(b, "rn").select("doc_id", "other", (F.col("t") == F.col("u")).alias("same"))
 
 
-def _by_id():
-    from pyspark.sql import Window
-
-    return Window.orderBy("doc_id")
-
-
 @query("j23_category_lookup", "with m as (select p_partkey, case when p_partkey % 5 = 0 then p_brand end as grp, p_type from part), f as (select p_type, last_value(grp ignore nulls) over (order by p_partkey rows between unbounded preceding and current row) as grp, p_partkey from m), k as (select lower(p_type) as t, min(grp) as grp from f where p_partkey <= 40 group by 1) select p.p_partkey, coalesce(k.grp, 'Other') as category from part as p left join k on lower(p.p_type) = k.t")
 def j23(spark, d):
     from pyspark.sql import Window

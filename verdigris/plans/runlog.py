@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import islands, quantiles
+from ..operators import islands, quantiles, ranking
 from ..operators.scoring import last_of_each
 from .bindings import frame, run_sql, table, with_frames
 
@@ -195,5 +195,13 @@ both("w04_any_over", "select event_id, bool_or(event_type = 'error') over (parti
 both("w05_top_pick", "select user_id, event_id from (select user_id, event_id, row_number() over (partition by user_id order by case when event_type = 'purchase' then 0 else 1 end, value desc, event_id) as rn from {events}) as x where rn = 1")
 both("w06_window_flags", "select event_id, max(case when event_type = 'click' then event_id end) over (partition by user_id) as last_click, count(props) over (partition by user_id) = 1 as only_one from {events}")
 both("w09_keep_first", "select user_id, event_type, min(event_id) as event_id from {events} group by user_id, event_type")
-both("w01_surrogate_id", "select s_suppkey, row_number() over (order by s_name, s_suppkey) as id from {supplier}")
-both("w13_row_index", "select n_nationkey, row_number() over (order by n_nationkey) - 1 as idx from {nation}")
+
+
+@query("w01_surrogate_id", "select event_id, row_number() over (order by user_id, event_type, event_id) as id from events")
+def w01(spark, d):
+    return ranking.global_row_number(table(spark, d, "events"), "user_id", "id", ("event_type", "event_id")).select("event_id", "id")
+
+
+@query("w13_row_index", "select o_orderkey, row_number() over (order by o_orderkey) - 1 as idx from orders")
+def w13(spark, d):
+    return ranking.global_row_number(table(spark, d, "orders"), "o_orderkey", "n").select("o_orderkey", (F.col("n") - 1).alias("idx"))
