@@ -187,7 +187,7 @@ def fit_linear(x: np.ndarray, target: np.ndarray, steps: int = 300, rate: float
     w, b = np.zeros(x.shape[1]), float(np.log((target.mean() + 1e-3) / (1 - target.mean() + 1e-3)))
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, steps + 1):
-        off = 1 / (1 + np.exp(-np.clip(x @ w + b, -50, 50))) - target
+        off = (1 / (1 + np.exp(-np.clip(x @ w.astype(x.dtype) + b, -50, 50))) - target).astype(x.dtype)
         g, gb = x.T @ off / len(x) + decay * w, off.mean()
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
@@ -211,6 +211,11 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
 
+def _lexicon_scorer(lexicon: np.ndarray) -> Scorer:
+    known = np.unique(lexicon)
+    return Scorer(known, np.repeat([[6.0] + [0.0] * (LEVELS - 1)], len(known), axis=0).ravel(), -3.0)
+
+
 def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Scorer:
     """Voters, label model and classifier. Without labelled rows of both kinds,
     the lexicon alone votes and a text with one of its words scores above half."""
@@ -219,8 +224,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Score
     ids = [(r["doc_id"], r["toxic"]) for r in training_ids(labels, most).collect()]  # `most` ids at most
     n_bad = sum(x for _, x in ids)
     if not n_bad or n_bad == len(ids):
-        known = np.unique(lexicon)
-        return Scorer(known, np.repeat([[6.0] + [0.0] * (LEVELS - 1)], len(known), axis=0).ravel(), -3.0)
+        return _lexicon_scorer(lexicon)
     chosen = spark.createDataFrame(ids, "doc_id long, toxic int")
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic")
 
@@ -248,6 +252,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Score
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.lo, block.n), pa.ListArray.from_arrays(pa.array(ends), pa.array(place.astype(np.int32)))], ["doc_id", "at"])
 
     marked = texts.select("doc_id", "text").mapInArrow(mark, "doc_id long, at array<int>").orderBy("doc_id").collect()  # `most` texts' marks
+    if not marked:
+        return _lexicon_scorer(lexicon)
     column = np.full(len(known) * LEVELS, -1)
     column[columns] = np.arange(len(columns))
     x = np.zeros((len(marked), len(columns)), np.float32)
