@@ -249,3 +249,12 @@ both("l09_checkpoint_filter", "select event_id from {events} where event_type no
 both("l10_insert_only_merge", "select count_if(b.k is not null) as conflicts, count(*) as new_rows from (select o_orderkey as k from {orders} where o_orderkey % 10 = 0) as a left join (select o_orderkey as k from {orders} where o_orderkey % 10 = 1) as b on a.k = b.k")
 both("l11_control_log", "select user_id, event_type, max(event_id) as last_id from {events} group by user_id, event_type")
 both("l07_month_expiry", "select date_part('year', o_orderdate) * 100 + date_part('month', o_orderdate) as month_no, count(*) as n from {orders} where date_part('year', o_orderdate) >= 1997 group by 1")
+
+
+@query("e03_response_outcomes", None)
+def e03(spark, d):
+    from ..functions.responses import outcome
+
+    rows = table(spark, d, "events")
+    raw = F.expr("case event_id % 7 when 0 then props when 1 then '```json\n' || props || '\n```' when 2 then 'Here: ' || props || ' done' when 3 then '[1]' when 4 then 'I cannot help' when 5 then ' ' else '{\"x\": 1' end")
+    return rows.select("event_id", outcome(raw, F.when(F.col("event_id") % 2 == 0, "length").otherwise("stop"), F.when(F.col("event_type") == "error", "timeout"), ("k",)).alias("outcome"))
