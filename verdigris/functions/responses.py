@@ -1,7 +1,5 @@
 """What kind of answer a model's raw response is."""
 
-from __future__ import annotations
-
 import json
 import re
 
