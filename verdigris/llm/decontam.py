@@ -279,3 +279,22 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW)
                 yield batch.filter(pa.array(np.concatenate(good)))
 
     return docs.mapInArrow(keep, docs.schema)
+
+
+def oracle_sql(window: int = WINDOW) -> str:
+    """scan_documents() by brute force in DuckDB: every run of words against every window."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    words = f"list_filter(string_split_regex(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '')"
+    return f"""
+with b as (select coalesce(cast(item_id as string), '') as item, {words} as words from benchmark),
+i as (select item, words, least({window}, len(words)) as n from b where len(words) > 0),
+iw as (select distinct item, n, array_to_string(words[s + 1 : s + n], ' ') as win from i, unnest(range(len(words) - n + 1)) as r(s)),
+d as (select row_number() over () as k, doc_id, {words} as words from documents),
+dw as (select k, n, s, array_to_string(words[s + 1 : s + n], ' ') as win from d, (select distinct n from iw) as lens, unnest(range(greatest(len(words) - n + 1, 0))) as r(s)),
+h as (select k, dw.n, s, item from dw join iw on dw.n = iw.n and dw.win = iw.win),
+c as (select k, count(distinct p) as n_hit from h, unnest(range(s, s + n)) as u(p) group by k),
+t as (select k, count(*) as n_items, sha256(string_agg(item, ',' order by item)) as sha from (select distinct k, item from h) group by k)
+select doc_id, cast(len(words) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, coalesce(sha, sha256('')) as items_sha256,
+  coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(words) as contaminated
+from d left join c using (k) left join t using (k)
+"""

@@ -85,4 +85,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": license_scan.oracle_sql()}
+    return {"op1_license_scan": license_scan.oracle_sql(), "op9_decontamination": decontam.oracle_sql()}
