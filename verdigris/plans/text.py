@@ -99,12 +99,12 @@ def e01(spark, d):
     return table(spark, d, "events").select("event_id", F.explode(F.from_json("props", "map<string,bigint>")).alias("k", "v"))
 
 
-_QUOTE = "conv_id, turn, case when conv_id % 3 = 0 then upper(substr(text, 2, 12)) else substr(text, 2, 12) || ', zzz qq' end as quote, text"
+_QUOTE = "conv_id, turn, case when conv_id % 3 = 0 then translate(substr(text, 2, 12), 'etan', 'ETAN') else substr(text, 2, 12) || ', zzz qq' end as quote, text"
 
 
 @query("e14_evidence", f"with q as (select {_QUOTE} from conversations), s as (select conv_id, turn, text, trim(unnest(string_split(quote, ','))) as seg from q), h as (select *, contains(text, seg) as hit, contains(lower(text), lower(seg)) as low from s where seg <> '') select conv_id, turn, count(*) as segments, count_if(hit) as verbatim, count_if(not hit and low) as near, count_if(not hit and not low) as hard from h group by 1, 2")
 def e14(spark, d):
-    rows = table(spark, d, "conversations").select("conv_id", "turn", F.when(F.col("conv_id") % 3 == 0, F.upper(F.substring("text", 2, 12))).otherwise(F.concat(F.substring("text", 2, 12), F.lit(", zzz qq"))).alias("quote"), "text")
+    rows = table(spark, d, "conversations").select("conv_id", "turn", F.when(F.col("conv_id") % 3 == 0, F.translate(F.substring("text", 2, 12), "etan", "ETAN")).otherwise(F.concat(F.substring("text", 2, 12), F.lit(", zzz qq"))).alias("quote"), "text")
     return tr.quoted(rows, "quote", "text")
 
 
