@@ -41,16 +41,20 @@ from .scratch import dropped, freed, written
 
 WORDS = 4
 PERCENT = 85
+#: Text bytes a task works on at once: a dozen arrays of a word or token each.
+BLOCK_BYTES = 1 << 20
 #: Tokens held in the summary of frequent tokens (all others count as rare), and a task's own.
 FREQUENT = 1 << 20
-HELD = 1 << 22
+HELD = 1 << 21
 #: Nodes that share a prefix token, up to which the pairs are written.
 SHORT_LIST = 32
 #: Tokens of a chunk: a cluster is cut into SPLITS chunks, of these sizes.
-LEAST_CHUNK, MOST_CHUNK, SPLITS = 1 << 13, 1 << 18, 16
+LEAST_CHUNK, MOST_CHUNK, SPLITS = 1 << 14, 1 << 18, 4
 #: What a node weighs besides its tokens, so that a chunk has a bounded number of nodes.
 NODE_WEIGHT = 64
 SLICE = 4096
+#: Ids of clustered documents are broadcast to the texts up to this count; beyond, both sides are shuffled.
+MAX_BROADCAST_IDS = 1_000_000
 _SALTS = (np.uint64(0x8C95B3F1D6A7E24B), np.uint64(0x3F84D5B5B5470917), np.uint64(0x9216D5D98979FB1B))
 
 
@@ -65,7 +69,11 @@ def token_sets(block: tb.Block, words: int) -> tuple[np.ndarray, np.ndarray]:
     if len(short):
         whole = np.array([_sequence(hashes[first[d] : first[d + 1]]) for d in short], np.uint64)
         grams, doc = np.concatenate([grams, whole]), np.concatenate([doc, short])
-    order = np.lexsort((grams, doc))
+    # one sort by document and leading hash bits; only if two hashes agree in those, one by all bits
+    order = np.argsort(_by_document(doc, grams))
+    tied = (grams[order[1:]] >> np.uint64(20) == grams[order[:-1]] >> np.uint64(20)) & (grams[order[1:]] != grams[order[:-1]]) & (doc[order[1:]] == doc[order[:-1]])
+    if tied.any():
+        order = np.lexsort((grams, doc))
     grams, doc = grams[order], doc[order]
     new = np.ones(len(grams), bool)
     new[1:] = (grams[1:] != grams[:-1]) | (doc[1:] != doc[:-1])
@@ -73,6 +81,11 @@ def token_sets(block: tb.Block, words: int) -> tuple[np.ndarray, np.ndarray]:
     return grams, np.searchsorted(doc, np.arange(block.n + 1))
 
 
+def _by_document(doc: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Sort keys: the document, of which a block has fewer than 2**20, then 44 bits of the key."""
+    return (doc.astype(np.uint64) << np.uint64(44)) | (keys >> np.uint64(20))
+
+
 def _sequence(hashes: np.ndarray) -> np.uint64:
     out = np.uint64(len(hashes))
     for h in hashes:
@@ -93,14 +106,13 @@ def prefix_sizes(n: np.ndarray, percent: int) -> np.ndarray:
 
 
 def in_prefix(keys: np.ndarray, first: np.ndarray, percent: int) -> np.ndarray:
-    """Which tokens are among the first of their document by ascending key; ties by place."""
+    """Which tokens are among the first of their document by the key's leading
+    bits; all that equal the last of them are, so ties lose nothing."""
     n = np.diff(first)
-    doc = np.repeat(np.arange(len(n)), n)
-    order = np.lexsort((keys, doc))
-    rank = np.arange(len(keys)) - np.repeat(first[:-1], n)
-    out = np.zeros(len(keys), bool)
-    out[order] = rank < np.repeat(prefix_sizes(n, percent), n)
-    return out
+    some = np.flatnonzero(n)
+    ranked = _by_document(np.repeat(np.arange(len(n)), n), keys)
+    last = np.sort(ranked)[first[some] + prefix_sizes(n[some], percent) - 1]
+    return ranked <= np.repeat(last, n[some])
 
 
 def frequent_tokens(docs: DataFrame, words: int, most: int = FREQUENT) -> np.ndarray:
@@ -112,20 +124,23 @@ def frequent_tokens(docs: DataFrame, words: int, most: int = FREQUENT) -> np.nda
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        known, n = np.zeros(0, np.uint64), np.zeros(0, np.int32)
         held, size = [], 0
 
         def merged() -> tuple[np.ndarray, np.ndarray]:
-            tokens, place, times = np.unique(np.concatenate([known, *held]), return_inverse=True, return_counts=True)
-            times[place[: len(known)]] += n - 1
+            tokens, times = (np.concatenate(x) for x in zip((known, n), *held, strict=True))
+            order = np.argsort(tokens)
+            tokens, times = tokens[order], times[order]
+            starts = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
+            tokens, times = tokens[starts], np.add.reduceat(times, starts)
             if len(tokens) > HELD:
                 tokens, times = tokens[times > 1], times[times > 1]
             return tokens, times
 
         for batch in batches:
-            for block in tb.blocks(batch.column(0)):
-                tokens, _ = token_sets(block, words)
-                held.append(tokens)
+            for block in tb.blocks(batch.column(0), BLOCK_BYTES):
+                tokens, times = np.unique(token_sets(block, words)[0], return_counts=True)
+                held.append((tokens, times.astype(np.int32)))
                 size += len(tokens)
                 if size > HELD:
                     known, n = merged()
@@ -136,7 +151,8 @@ def frequent_tokens(docs: DataFrame, words: int, most: int = FREQUENT) -> np.nda
         if len(known) > most:
             top = np.argpartition(n, len(n) - most)[-most:]
             known, n = known[top], n[top]
-        yield pa.RecordBatch.from_arrays([pa.array(known.view(np.int64)), pa.array(n)], ["token", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(known.view(np.int64)), pa.array(n.astype(np.int64))], ["token", "n"])
+        pa.default_memory_pool().release_unused()
 
     rows = docs.select("text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     top = rows.orderBy(F.desc("n"), "token").limit(most).toArrow()  # FREQUENT rows at most
@@ -146,14 +162,14 @@ def frequent_tokens(docs: DataFrame, words: int, most: int = FREQUENT) -> np.nda
 
 def prefix_table(docs: DataFrame, words: int, percent: int, frequent: np.ndarray) -> DataFrame:
     """doc_id, n (size of the set), node (null if it is empty), and the prefixes:
-    p1 (tokens, order 1), p2 and p3 (32 bits of each token, orders 2 and 3)."""
+    p1 (tokens, order 1), p2 and p3 (16 bits of each token, orders 2 and 3)."""
     order = np.argsort(frequent)
     shared = docs.sparkSession.sparkContext.broadcast((frequent[order], (order + 1).astype(np.uint64)))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, rank = shared.value
         for batch in batches:
-            for block in tb.blocks(batch.column(1)):
+            for block in tb.blocks(batch.column(1), BLOCK_BYTES):
                 tokens, first = token_sets(block, words)
                 keys = tb.mix(tokens ^ _SALTS[1]) >> np.uint64(20)
                 if len(known):
@@ -172,8 +188,9 @@ def prefix_table(docs: DataFrame, words: int, percent: int, frequent: np.ndarray
                     ],
                     ["doc_id", "n", "node", "p1", "p2", "p3"],
                 )
+        pa.default_memory_pool().release_unused()
 
-    return docs.select("doc_id", "text").mapInArrow(cut, "doc_id long, n long, node long, p1 array<long>, p2 array<int>, p3 array<int>")
+    return docs.select("doc_id", "text").mapInArrow(cut, "doc_id long, n long, node long, p1 array<long>, p2 array<smallint>, p3 array<smallint>")
 
 
 def hash_order(tokens: np.ndarray, salt: np.uint64) -> np.ndarray:
@@ -183,35 +200,40 @@ def hash_order(tokens: np.ndarray, salt: np.uint64) -> np.ndarray:
 def _hashed_prefix(tokens: np.ndarray, first: np.ndarray, salt: np.uint64, percent: int) -> pa.Array:
     chosen = in_prefix(hash_order(tokens, salt), first, percent)
     ends = np.concatenate([[0], np.cumsum(chosen)])[first]
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array((tokens[chosen] >> np.uint64(32)).astype(np.uint32).view(np.int32)))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array((tokens[chosen] >> np.uint64(48)).astype(np.uint16).view(np.int16)))
 
 
 def shared_postings(table: DataFrame) -> DataFrame:
-    """token, node, n, least (node of the token), times: prefix tokens of order 1 that several nodes have."""
+    """token, node, n, least (node of the token), times (documents): prefix tokens of order 1 that several nodes have."""
     parts = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    nodes = table.where("node is not null").groupBy("node").agg(F.min(F.struct("n", "p1")).alias("one"))
-    postings = nodes.select("node", "one.n", F.explode("one.p1").alias("token")).repartition(parts, "token")
-    lists = postings.groupBy("token").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("times")).where("times > 1")
-    lists = lists.withColumnRenamed("token", "of")
+    # documents of one node are not told apart yet: a list of copies alone has one node and goes
+    postings = table.where("node is not null").select("node", "n", F.explode("p1").alias("token")).repartition(parts, "token")
+    # the largest n is kept so that both sides of the join read the same columns: one exchange then serves both
+    lists = postings.groupBy("token").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.count(F.lit(1)).alias("times"), F.max("n").alias("largest")).where("least <> most")
+    lists = lists.select(F.col("token").alias("of"), "least", "times", "largest")
     return written(postings.join(lists, F.col("token") == F.col("of")).drop("of"), "postings")
 
 
 def candidate_pairs(table: DataFrame, postings: DataFrame, percent: int) -> DataFrame:
     """a, b: pairs of short lists that are near in size and share a prefix token
     under orders 2 and 3 too, and the edges of long lists."""
-    short = postings.where(F.col("times") <= SHORT_LIST).select("token", "node", "n")
+    short = postings.where(F.col("times") <= SHORT_LIST).select("token", "node", "n").distinct()
     left = short.select("token", F.col("node").alias("a"), F.col("n").alias("n_a"))
     right = short.select(F.col("token").alias("t"), F.col("node").alias("b"), F.col("n").alias("n_b"))
     near = (F.col("n_a") * percent <= 100 * F.col("n_b")) & (F.col("n_b") * percent <= 100 * F.col("n_a"))
     pairs = left.join(right, (F.col("token") == F.col("t")) & (F.col("a") < F.col("b")) & near).select("a", "b").distinct()
     there = pairs.select(F.explode(F.array("a", "b")).alias("there")).distinct()
     others = table.select("node", "p2", "p3").join(there, F.col("node") == F.col("there"), "left_semi").dropDuplicates(["node"])
-    for side in ("a", "b"):
-        own = others.select(F.col("node").alias("of"), F.col("p2").alias(f"p2_{side}"), F.col("p3").alias(f"p3_{side}"))
-        pairs = pairs.join(own, F.col(side) == F.col("of")).drop("of")
-    pairs = pairs.where(F.arrays_overlap("p2_a", "p2_b") & F.arrays_overlap("p3_a", "p3_b")).select("a", "b")
+    others = written(others, "orders")
+    for order in ("p2", "p3"):  # one after the other: few pairs are left for the second
+        for side in ("a", "b"):
+            own = others.select(F.col("node").alias("of"), F.col(order).alias(f"p_{side}"))
+            pairs = pairs.join(own, F.col(side) == F.col("of")).drop("of")
+        pairs = pairs.where(F.arrays_overlap("p_a", "p_b")).select("a", "b")
     long_ = postings.where((F.col("times") > SHORT_LIST) & (F.col("node") != F.col("least"))).select(F.col("node").alias("a"), F.col("least").alias("b"))
-    return written(pairs.unionByName(long_).distinct(), "edges")
+    edges = written(pairs.unionByName(long_).distinct(), "edges")
+    dropped(others)
+    return edges
 
 
 def candidate_clusters(table: DataFrame, percent: int) -> DataFrame:
@@ -220,9 +242,10 @@ def candidate_clusters(table: DataFrame, percent: int) -> DataFrame:
     freed(table.sparkSession)
     edges = candidate_pairs(table, postings, percent)
     dropped(postings)
-    out = components(edges).withColumnRenamed("component", "cluster")
+    freed(table.sparkSession)
+    out = components(edges)
     dropped(edges)
-    return out
+    return out.withColumnRenamed("component", "cluster")
 
 
 def node_tokens(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
@@ -230,14 +253,16 @@ def node_tokens(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in tb.blocks(batch.column(0)):
+            for block in tb.blocks(batch.column(0), BLOCK_BYTES):
                 tokens, first = token_sets(block, words)
                 n = np.diff(first)
                 data = tokens.astype("<u8").tobytes()
                 packed = [data[8 * a : 8 * b] for a, b in zip(first[:-1], first[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(node_ids(tokens, first), mask=n == 0), pa.array(n), pa.array(packed, pa.binary())], ["node", "n", "tokens"])
 
-    wanted = ids.select(F.col("doc_id").alias("wanted"))
+    wanted = ids.select(F.col("doc_id").alias("wanted")).distinct()
+    if wanted.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS:
+        wanted = F.broadcast(wanted)
     texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi").select("text")
     return texts.mapInArrow(sets, "node long, n long, tokens binary").where("node is not null")
 
@@ -355,7 +380,10 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     """
     spark = docs.sparkSession
     table = written(prefix_table(docs, words, percent, frequent_tokens(docs, words)), "prefixes")
-    clusters = written(candidate_clusters(table, percent), "clusters")
+    clusters = candidate_clusters(table, percent)
+    slim = written(table.select("doc_id", "n", "node"), "sizes")
+    dropped(table)
+    table = slim
     freed(spark)
     named = table.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
     named = written(named.join(clusters.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").drop("of"), "nodes")
@@ -364,7 +392,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     members = written(sets.join(inside.select(F.col("node").alias("of"), "cluster"), F.col("node") == F.col("of")).drop("of"), "members")
     freed(spark)
     links = written(verified_links(work_units(members, percent), percent), "near")
-    dropped(members, clusters)
+    dropped(members)
     freed(spark)
     linked = components(links)
     dropped(links)
@@ -378,8 +406,8 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
 def one_of_each(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """The documents with one left of each component, the one of least doc_id; columns as given.
 
-    Of repeated rows one is left. Rows without an id stay if no row with one is
-    in their component, one for each text.
+    Of repeated rows one is left. Rows without an id cannot name a component:
+    if one of them is to stay they all do, one for each text.
     """
     found = jaccard_components(docs, words, percent)
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept")).distinct()

@@ -46,7 +46,7 @@ def dropped(*tables: DataFrame) -> None:
 def freed(spark: SparkSession) -> None:
     """Let Spark's cleaner delete shuffle files that no table needs any more; it
     acts when the driver collects its garbage, Python's proxies first."""
-    for _ in range(2):
+    for _ in range(3):
         gc.collect()
         spark._jvm.System.gc()
-        time.sleep(0.5)
+        time.sleep(1)
