@@ -69,6 +69,8 @@ select l_orderkey * 10 + l_linenumber as z_id, min(l_suppkey) % 50 as company, '
     "texts": """
 select doc_id, substr(text, 1, 120) as ref, replace(substr(text, 4, 120), 'the', 'teh') as hyp, doc_id % 4 as family
 from {documents} where doc_id % 3 = 0 and length(text) > 10 and bit_length(substr(text, 1, 130)) = 8 * length(substr(text, 1, 130))""",
+    "whole_texts": """
+select doc_id, text as ref, replace(substr(text, 4), 'the', 'teh') as hyp, doc_id % 4 as family from {documents}""",
     "transcripts": """
 select cast(conv_id as string) as item_id, turn, role, text from {conversations}""",
 }

@@ -25,7 +25,7 @@ def both(name: str, sql: str, *frames: str) -> None:
 
 
 def _scored(spark, d, kind):
-    rows = tr.with_runaways(frame(spark, d, "texts"), "ref", "hyp").where("runaway is null").drop("runaway")
+    rows = tr.with_runaways(frame(spark, d, "whole_texts"), "ref", "hyp").where("runaway is null").drop("runaway")
     return tr.error_counts(rows, "ref", "hyp", kind)
 
 
@@ -57,7 +57,7 @@ def t04(spark, d):
 
 @query("t05_runaways", None)
 def t05(spark, d):
-    rows = frame(spark, d, "texts").withColumn("hyp", F.when(F.col("doc_id") % 10 == 0, F.repeat("hyp", F.lit(2))).otherwise(F.col("hyp")))
+    rows = frame(spark, d, "whole_texts").withColumn("hyp", F.when(F.col("doc_id") % 10 == 0, F.repeat("hyp", F.lit(2))).otherwise(F.col("hyp")))
     return tr.with_runaways(rows, "ref", "hyp").select("doc_id", "runaway")
 
 
