@@ -1,9 +1,10 @@
 """Queries that have no SQL do the whole job: all rows, whole values, the full number of draws."""
 
+import math
 import random
 
 import __spark_entry__ as entry
-from verdigris.functions import similarity
+from verdigris.functions import similarity, stats
 from verdigris.plans.bindings import table
 
 
@@ -83,3 +84,20 @@ def test_transcript_scores_take_whole_texts_of_all_rows(spark, small):
             if len(ref) < 400:
                 want = plain_edit_counts(cut(ref), cut(ref[3:].replace("the", "teh")))
                 assert (r["substituted"], r["deleted"], r["inserted"]) == want, ref
+
+
+def test_bootstrap_has_all_arms_and_all_resamples(spark, small):
+    rows = {r["arm"]: r for r in entry.queries()["c13_bootstrap"](spark, small).collect()}
+    assert set(rows) == {None, *(f"d{i}" for i in range(10))}
+    assert sum(r["n"] for r in rows.values()) == entry.queries()["c04_clusters"](spark, small).count()
+    # a law that is known: of n clusters, k for one arm, the others for none
+    n, k = 500, 100
+    one = spark.createDataFrame([("a", 0, int(i < k)) for i in range(n)] + [(None, 1, 0)], "arm string, inc_only int, cand_only int")
+    got = {r["arm"]: r for r in stats.cluster_bootstrap(one, "arm").collect()}
+    assert (got[None]["n"], got[None]["low"], got[None]["high"]) == (1, -1.0, -1.0)
+
+    def below(x):  # P(X <= x) of a binomial
+        return math.fsum(math.comb(n, i) * (k / n) ** i * (1 - k / n) ** (n - i) for i in range(x + 1))
+
+    low, high = round(got["a"]["low"] * n), round(got["a"]["high"] * n)
+    assert abs(below(low) - 1 / 64) < 0.006 and abs(below(high) - 63 / 64) < 0.006

@@ -197,8 +197,8 @@ def c12(spark, d):
 
 @query("c13_bootstrap", None)
 def c13(spark, d):
-    arms = _clusters(spark, d).where("phone is not null").select(F.concat(F.lit("d"), F.right("phone", F.lit(1))).alias("arm"), (F.col("inc_ok") & ~F.col("cand_ok")).cast("int").alias("inc_only"), (~F.col("inc_ok") & F.col("cand_ok")).cast("int").alias("cand_only"))
-    return stats.cluster_bootstrap(arms.where("arm in ('d1', 'd2')"), "arm", resamples=200)
+    arms = _clusters(spark, d).select(F.concat(F.lit("d"), F.right("phone", F.lit(1))).alias("arm"), (F.col("inc_ok") & ~F.col("cand_ok")).cast("int").alias("inc_only"), (~F.col("inc_ok") & F.col("cand_ok")).cast("int").alias("cand_only"))
+    return stats.cluster_bootstrap(arms, "arm")
 
 
 @query(
