@@ -4,7 +4,8 @@ Base kinds (email, ip, card, phone) follow their contract's patterns exactly,
 leftmost and without overlap within a kind; a match that fails its check is
 dropped and not retried. Further kinds are proposed by patterns of their own,
 confirmed by their checksum (Luhn, mod 97, ISO 7064), and scored by the words
-around them; they are reported from `MIN_SCORE` on.
+around them; they are reported from `MIN_SCORE` on. An IBAN has no end of its own
+in a text: every end its pattern allows is tried, see ibans().
 
 One pass over the texts in Arrow batches, nothing is shuffled. Regular
 expressions run per text; a text that lacks the characters a kind needs is not
@@ -30,11 +31,23 @@ _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")  # a match can only start where digits do
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}")
 _SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 _ABA = re.compile(r"(?<![0-9])[0-9]{9}(?![0-9])")
+_WORD = re.compile(r"[A-Za-z0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]")
 
+#: Characters of an IBAN without spaces, by country, of the registry.
+IBAN_LENGTHS = {
+    code: n
+    for n, codes in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+        22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+        26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for code in codes.split()
+}
+
 #: Words that speak for or against a kind when they stand near it.
 CONTEXT = {
     "iban": (("iban", "account", "bank", "konto", "compte", "cuenta", "transfer", "swift", "bic"), ("sample", "example", "test")),
@@ -81,6 +94,29 @@ def emails(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def ibans(text: str) -> list[tuple[int, int]]:
+    """Where IBANs stand: at a start, the end that the country's length gives, or for
+    a country that is not listed the last at which mod 97 holds, of the ends where no
+    letter or digit follows. The search goes on behind what was accepted; a start
+    without such an end is passed by alone."""
+    out, m = [], _IBAN.search(text)
+    while m:
+        start, length, end = m.start(), IBAN_LENGTHS.get(m.group()[:2]), None
+        size = len(m.group().replace(" ", ""))
+        for at in range(m.end(), start + 14, -1):
+            if text[at - 1] == " ":
+                continue
+            whole = not _WORD.match(text, at)
+            if whole and size >= 15 and (size == length or not length) and mod97(text[start:at]):
+                end = at
+                break
+            size -= 1
+        if end:
+            out.append((start, end))
+        m = _IBAN.search(text, end or start + 1)
+    return out
+
+
 def context_score(kind: str, text: str, start: int, end: int) -> float:
     near = text[max(0, start - CONTEXT_CHARS) : start] + " " + text[end : end + CONTEXT_CHARS // 2]
     words = set(re.findall(r"[a-z]+", near.lower()))
@@ -106,7 +142,11 @@ def find_spans(text: str) -> list[tuple[str, int, int, float]]:
         for m in _PHONE.finditer(text):
             if 8 <= len(_NOT_DIGIT.sub("", m.group())) <= 15:
                 out.append(("phone", *m.span(), 1.0))
-    for kind, pattern, check in (("iban", _IBAN, mod97), ("ssn", _SSN, None), ("aba", _ABA, aba)):
+    for s, e in ibans(text):
+        score = context_score("iban", text, s, e)
+        if score >= MIN_SCORE:
+            out.append(("iban", s, e, score))
+    for kind, pattern, check in (("ssn", _SSN, None), ("aba", _ABA, aba)):
         if kind == "ssn" and "-" not in text:
             continue
         for m in pattern.finditer(text):
