@@ -1,8 +1,9 @@
 """What stands in a text is found wherever it stands."""
 
+import numpy as np
 import pytest
 
-from verdigris.llm import pii
+from verdigris.llm import ngram_join, pii
 
 
 @pytest.mark.parametrize(
@@ -19,3 +20,11 @@ from verdigris.llm import pii
 )
 def test_ibans(text, want):
     assert [text[s:e] for k, s, e, _ in pii.find_spans(text) if k == "iban"] == want
+
+
+def test_the_most_frequent_token_of_a_full_summary_is_last():
+    known = np.arange(1, ngram_join.FREQUENT + 1, dtype=np.uint64) * np.uint64(3)
+    rank = np.arange(1, ngram_join.FREQUENT + 1, dtype=np.uint64)
+    tokens = np.array([known[-1], known[0], 1, known[-2], 2], np.uint64)
+    keys = ngram_join.rarity_keys(tokens, known, rank)
+    assert np.argsort(keys)[2:].tolist() == [1, 3, 0]

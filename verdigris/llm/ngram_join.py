@@ -46,6 +46,9 @@ BLOCK_BYTES = 1 << 20
 #: Tokens held in the summary of frequent tokens (all others count as rare), and a task's own.
 FREQUENT = 1 << 20
 HELD = 1 << 21
+#: Bits of a token's hash below its rank; the highest rank, FREQUENT, has to fit above them.
+RANK_SHIFT = 43
+assert FREQUENT << RANK_SHIFT < 1 << 64
 #: Nodes that share a prefix token, up to which the pairs are written.
 SHORT_LIST = 32
 #: Tokens of a chunk: a cluster is cut into SPLITS chunks, of these sizes.
@@ -160,6 +163,15 @@ def frequent_tokens(docs: DataFrame, words: int, most: int = FREQUENT) -> np.nda
     return token[np.lexsort((token, n))].view(np.uint64)
 
 
+def rarity_keys(tokens: np.ndarray, known: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Order 1 as numbers: a token of the sorted `known` by its rank, others before all of them, by hash."""
+    keys = tb.mix(tokens ^ _SALTS[1]) >> np.uint64(64 - RANK_SHIFT)
+    if len(known):
+        place = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
+        keys |= np.where(known[place] == tokens, rank[place], 0).astype(np.uint64) << np.uint64(RANK_SHIFT)
+    return keys
+
+
 def prefix_table(docs: DataFrame, words: int, percent: int, frequent: np.ndarray) -> DataFrame:
     """doc_id, n (size of the set), node (null if it is empty), and the prefixes:
     p1 (tokens, order 1), p2 and p3 (16 bits of each token, orders 2 and 3)."""
@@ -171,11 +183,7 @@ def prefix_table(docs: DataFrame, words: int, percent: int, frequent: np.ndarray
         for batch in batches:
             for block in tb.blocks(batch.column(1), BLOCK_BYTES):
                 tokens, first = token_sets(block, words)
-                keys = tb.mix(tokens ^ _SALTS[1]) >> np.uint64(20)
-                if len(known):
-                    place = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
-                    keys |= np.where(known[place] == tokens, rank[place], 0).astype(np.uint64) << np.uint64(44)
-                chosen = in_prefix(keys, first, percent)
+                chosen = in_prefix(rarity_keys(tokens, known, rank), first, percent)
                 ends = np.concatenate([[0], np.cumsum(chosen)])[first]
                 n = np.diff(first)
                 yield pa.RecordBatch.from_arrays(
