@@ -1,7 +1,7 @@
 """Exact Jaccard self-join of documents over word n-grams.
 
 A document is the set of its distinct n-word shingles; documents with equal
-sets are one node. Two nodes link when `percent` of their union is shared.
+texts are one node. Two nodes link when `percent` of their union is shared.
 
 A node that shares `need = ceil(percent * n)` tokens with another shares, under
 any global order of tokens, one of its first n - need + 1. Several orders are
@@ -9,20 +9,20 @@ used, each a necessary condition, and they are intersected before any pair is
 verified:
 
 * order 1 is by rarity (a bounded summary of frequent tokens over all
-  documents, then a hash). Nodes are joined by their prefix tokens under it;
+  documents, then a hash). Nodes are joined by their prefix tokens under it; how
+  many of them a pair shares, and where the first stands, bounds the overlap;
 * orders 2 and 3 are by independent hashes. A pair must share a prefix token
   under both as well, and be near in length.
 
-Lists of up to SHORT_LIST nodes give their pairs, which the other orders then
-filter. A longer list of n nodes gives n - 1 edges that only keep it together,
-so no group is written as pairs. The connected components of what is left are
-candidate clusters; each linked pair is inside one. In them all orders are
-intersected again, pair by pair, and what remains is verified.
-
-Clusters are cut by size class and hash into chunks of bounded tokens; a task
-gets two chunks, compares them by counting shared tokens with matrix products
-of bounded slices, and returns links enough to connect what it found, so a
-group of g copies never yields g * g rows.
+Token lists of up to SHORT_LIST nodes give their pairs. The nodes of a longer
+list are near copies by the thousand or share what is common everywhere; their
+pairs are never written. Such nodes are gathered by size class into hot
+clusters, cut into chunks of bounded tokens; a task gets two chunks, intersects
+all three orders and counts shared tokens with matrix products of bounded
+slices, and returns links enough to connect what it found. A pair that shares a
+long list's token is in a hot cluster, so what the short lists alone say of a
+pair is all that is needed of the others. Hashes only propose: a link is
+counted on the words themselves.
 """
 
 from __future__ import annotations
@@ -32,12 +32,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textblocks as tb
 from .graph import components
-from .scratch import dropped, freed, written
+from .scratch import dropped, written
 
 WORDS = 4
 PERCENT = 85
@@ -49,18 +49,25 @@ HELD = 1 << 21
 #: Bits of a token's hash below its rank; the highest rank, FREQUENT, has to fit above them.
 RANK_SHIFT = 43
 assert FREQUENT << RANK_SHIFT < 1 << 64
-#: Nodes that share a prefix token, up to which the pairs are written.
+#: Nodes that share a prefix token, up to which the pairs are written; longer lists are compared in tasks. Both ways are exact.
 SHORT_LIST = 32
 #: Tokens of a chunk: a cluster is cut into SPLITS chunks, of these sizes.
 LEAST_CHUNK, MOST_CHUNK, SPLITS = 1 << 14, 1 << 18, 4
 #: What a node weighs besides its tokens, so that a chunk has a bounded number of nodes.
 NODE_WEIGHT = 64
 SLICE = 4096
-#: Ids of clustered documents are broadcast to the texts up to this count; beyond, both sides are shuffled.
-MAX_BROADCAST_IDS = 1_000_000
+#: Rows (an id and two digests each) that are broadcast to the texts up to this count; beyond, both sides are shuffled.
+MAX_BROADCAST_IDS = 500_000
 _SALTS = (np.uint64(0x8C95B3F1D6A7E24B), np.uint64(0x3F84D5B5B5470917), np.uint64(0x9216D5D98979FB1B))
 
 
+def digested(docs: DataFrame) -> DataFrame:
+    """doc_id, text, stem and check: 120 bits of the text's SHA-256, as two numbers."""
+    text = F.coalesce("text", F.lit(""))
+    part = lambda at: F.conv(F.substring("sha", at, 15), 16, 10).cast("long")
+    return docs.select("doc_id", text.alias("text"), F.sha2(text, 256).alias("sha")).select("doc_id", "text", part(1).alias("stem"), part(16).alias("check"))
+
+
 def token_sets(block: tb.Block, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct tokens of the block's documents, ascending inside each, and each
     document's first one (one more than documents). A document of fewer words
@@ -96,14 +103,6 @@ def _sequence(hashes: np.ndarray) -> np.uint64:
     return out
 
 
-def node_ids(tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """A 64-bit digest of each document's set; meaningless where it is empty."""
-    total = np.zeros(len(tokens) + 1, np.uint64)
-    np.cumsum(tb.mix(tokens ^ _SALTS[0]), dtype=np.uint64, out=total[1:])
-    n = np.diff(first).astype(np.uint64)
-    return tb.mix((total[first[1:]] - total[first[:-1]]) ^ tb.mix(n)).view(np.int64)
-
-
 def prefix_sizes(n: np.ndarray, percent: int) -> np.ndarray:
     return np.where(n > 0, n - -(-percent * n // 100) + 1, 0)
 
@@ -172,33 +171,72 @@ def rarity_keys(tokens: np.ndarray, known: np.ndarray, rank: np.ndarray) -> np.n
     return keys
 
 
+def _in_order(doc: np.ndarray, keys: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    """The order of tokens by document, then key, then token."""
+    order = np.argsort(keys)
+    k, t = keys[order], tokens[order]
+    if ((k[1:] == k[:-1]) & (t[1:] != t[:-1])).any():
+        return np.lexsort((tokens, keys, doc))
+    small = doc.astype(np.uint16) if len(doc) and doc[-1] < 1 << 16 else doc
+    return order[np.argsort(small[order], kind="stable")]
+
+
 def prefix_table(docs: DataFrame, words: int, percent: int, frequent: np.ndarray) -> DataFrame:
-    """doc_id, n (size of the set), node (null if it is empty), and the prefixes:
-    p1 (tokens, order 1), p2 and p3 (16 bits of each token, orders 2 and 3)."""
+    """doc_id, stem, check, n (size of the set), node (null if it is empty) and p1,
+    the prefix under order 1, in that order; of a node's documents in a task only
+    the first has one."""
     order = np.argsort(frequent)
     shared = docs.sparkSession.sparkContext.broadcast((frequent[order], (order + 1).astype(np.uint64)))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, rank = shared.value
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
             for block in tb.blocks(batch.column(1), BLOCK_BYTES):
                 tokens, first = token_sets(block, words)
-                chosen = in_prefix(rarity_keys(tokens, known, rank), first, percent)
-                ends = np.concatenate([[0], np.cumsum(chosen)])[first]
                 n = np.diff(first)
+                stem, check = (batch.column(k).slice(block.lo, block.n) for k in (2, 3))
+                new = np.zeros(block.n, bool)
+                for d, pair in enumerate(zip(stem.to_pylist(), check.to_pylist(), strict=True)):
+                    if n[d] and pair not in seen:
+                        seen.add(pair)
+                        new[d] = True
+                doc = np.repeat(np.arange(block.n), n)
+                own = new[doc]
+                doc, tokens = doc[own], tokens[own]
+                by = _in_order(doc, rarity_keys(tokens, known, rank), tokens)
+                size = np.where(new, n, 0)
+                place = np.arange(len(by)) - np.repeat(np.cumsum(size) - size, size)
+                chosen = place < prefix_sizes(n, percent)[doc]
+                ends = np.concatenate([[0], np.cumsum(np.where(new, prefix_sizes(n, percent), 0))])
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(block.lo, block.n),
+                        stem,
+                        check,
                         pa.array(n),
-                        pa.array(node_ids(tokens, first), mask=n == 0),
-                        pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(tokens[chosen].view(np.int64))),
-                        *[_hashed_prefix(tokens, first, salt, percent) for salt in _SALTS[1:]],
+                        pa.array(stem.to_numpy(zero_copy_only=False), mask=n == 0),
+                        pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(tokens[by][chosen].view(np.int64))),
                     ],
-                    ["doc_id", "n", "node", "p1", "p2", "p3"],
+                    ["doc_id", "stem", "check", "n", "node", "p1"],
                 )
         pa.default_memory_pool().release_unused()
 
-    return docs.select("doc_id", "text").mapInArrow(cut, "doc_id long, n long, node long, p1 array<long>, p2 array<smallint>, p3 array<smallint>")
+    return digested(docs).mapInArrow(cut, "doc_id long, stem long, check long, n long, node long, p1 array<long>")
+
+
+def with_nodes(table: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The table, and its nodes: node, least (doc_id), check. Texts whose first
+    60 bits of SHA-256 agree and whose next ones do not are given nodes of their own."""
+    while True:
+        ends = [f("check").alias(k) for f, k in ((F.min, "check"), (F.max, "other"))]
+        nodes = written(table.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), *ends), "nodes")
+        twins = nodes.where("check <> other").select(F.col("node").alias("twin"))
+        if twins.isEmpty():
+            return table, nodes.drop("other")
+        dropped(nodes)
+        new = F.when(F.col("twin").isNotNull(), F.xxhash64("node", "check")).otherwise(F.col("node"))
+        table = written(table.join(twins, F.col("node") == F.col("twin"), "left").withColumn("node", new).drop("twin"), "prefixes")
 
 
 def hash_order(tokens: np.ndarray, salt: np.uint64) -> np.ndarray:
@@ -206,84 +244,125 @@ def hash_order(tokens: np.ndarray, salt: np.uint64) -> np.ndarray:
 
 
 def _hashed_prefix(tokens: np.ndarray, first: np.ndarray, salt: np.uint64, percent: int) -> pa.Array:
+    """16 bits of each token of the prefix."""
     chosen = in_prefix(hash_order(tokens, salt), first, percent)
     ends = np.concatenate([[0], np.cumsum(chosen)])[first]
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array((tokens[chosen] >> np.uint64(48)).astype(np.uint16).view(np.int16)))
 
 
 def shared_postings(table: DataFrame) -> DataFrame:
-    """token, node, n, least (node of the token), times (documents): prefix tokens of order 1 that several nodes have."""
+    """token, node, n, pos (in the node's prefix), times (nodes): prefix tokens of order 1 that several nodes have."""
     parts = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # documents of one node are not told apart yet: a list of copies alone has one node and goes
-    postings = table.where("node is not null").select("node", "n", F.explode("p1").alias("token")).repartition(parts, "token")
-    # the largest n is kept so that both sides of the join read the same columns: one exchange then serves both
-    lists = postings.groupBy("token").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.count(F.lit(1)).alias("times"), F.max("n").alias("largest")).where("least <> most")
-    lists = lists.select(F.col("token").alias("of"), "least", "times", "largest")
-    return written(postings.join(lists, F.col("token") == F.col("of")).drop("of"), "postings")
-
-
-def candidate_pairs(table: DataFrame, postings: DataFrame, percent: int) -> DataFrame:
-    """a, b: pairs of short lists that are near in size and share a prefix token
-    under orders 2 and 3 too, and the edges of long lists."""
-    short = postings.where(F.col("times") <= SHORT_LIST).select("token", "node", "n").distinct()
-    left = short.select("token", F.col("node").alias("a"), F.col("n").alias("n_a"))
-    right = short.select(F.col("token").alias("t"), F.col("node").alias("b"), F.col("n").alias("n_b"))
-    near = (F.col("n_a") * percent <= 100 * F.col("n_b")) & (F.col("n_b") * percent <= 100 * F.col("n_a"))
-    pairs = left.join(right, (F.col("token") == F.col("t")) & (F.col("a") < F.col("b")) & near).select("a", "b").distinct()
-    there = pairs.select(F.explode(F.array("a", "b")).alias("there")).distinct()
-    others = table.select("node", "p2", "p3").join(there, F.col("node") == F.col("there"), "left_semi").dropDuplicates(["node"])
-    others = written(others, "orders")
-    for order in ("p2", "p3"):  # one after the other: few pairs are left for the second
-        for side in ("a", "b"):
-            own = others.select(F.col("node").alias("of"), F.col(order).alias(f"p_{side}"))
-            pairs = pairs.join(own, F.col(side) == F.col("of")).drop("of")
-        pairs = pairs.where(F.arrays_overlap("p_a", "p_b")).select("a", "b")
-    long_ = postings.where((F.col("times") > SHORT_LIST) & (F.col("node") != F.col("least"))).select(F.col("node").alias("a"), F.col("least").alias("b"))
-    edges = written(pairs.unionByName(long_).distinct(), "edges")
-    dropped(others)
-    return edges
-
-
-def candidate_clusters(table: DataFrame, percent: int) -> DataFrame:
-    """node, cluster: what chains of candidate pairs connect."""
-    postings = shared_postings(table)
-    freed(table.sparkSession)
-    edges = candidate_pairs(table, postings, percent)
-    dropped(postings)
-    freed(table.sparkSession)
-    out = components(edges)
-    dropped(edges)
-    return out.withColumnRenamed("component", "cluster")
+    rows = table.where("node is not null").select("node", "n", F.posexplode("p1").alias("pos", "token")).repartition(parts, "token")
+    # the largest n and pos are kept so that both sides of the join read the same columns: one exchange then serves both
+    ends = [F.min("node").alias("least"), F.max("node").alias("most"), F.max("n").alias("top_n"), F.max("pos").alias("top_pos")]
+    lists = rows.groupBy("token").agg(*ends).where("least <> most").withColumnRenamed("token", "of")
+    found = rows.join(lists, F.col("token") == F.col("of")).select("token", "node", "n", "pos", "top_n", "top_pos")
+    found = written(found.distinct(), "shared")  # documents of one node
+    times = found.groupBy("token").agg(F.count(F.lit(1)).alias("times")).withColumnRenamed("token", "of")
+    out = written(found.join(times, F.col("token") == F.col("of")).select("token", "node", "n", "pos", "times"), "postings")
+    dropped(found)
+    return out
+
 
+def _near(a: str, b: str, percent: int) -> Column:
+    return (F.col(a) * percent <= 100 * F.col(b)) & (F.col(b) * percent <= 100 * F.col(a))
 
-def node_tokens(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """node, n, tokens (sorted 64-bit hashes as bytes) of the documents with the given ids."""
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def listed_pairs(postings: DataFrame, percent: int) -> DataFrame:
+    """a, b: pairs of short lists that are near in size and that order 1 lets pass.
+
+    A link shares ceil(percent * (n_a + n_b) / (100 + percent)) tokens. Of these
+    at most `met` are in both prefixes and no more than what is behind the one
+    prefix that ends first are not; and none stands before the first shared token.
+    """
+    short = postings.where(F.col("times") <= SHORT_LIST)
+    left = short.select("token", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("pos").alias("at_a"))
+    right = short.select(F.col("token").alias("t"), F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("pos").alias("at_b"))
+    pairs = left.join(right, (F.col("token") == F.col("t")) & (F.col("a") < F.col("b")) & _near("n_a", "n_b", percent))
+    pairs = pairs.groupBy("a", "b").agg(
+        F.count(F.lit(1)).alias("met"), *[F.min(c).alias(c) for c in ("at_a", "at_b", "n_a", "n_b")]
+    )
+    need = F.ceil(percent * (F.col("n_a") + F.col("n_b")) / F.lit(100 + percent) - 1e-9)
+    behind = lambda n: F.ceil(percent * F.col(n) / F.lit(100) - 1e-9) - 1
+    passed = (F.col("met") + F.greatest(behind("n_a"), behind("n_b")) >= need) & (F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) >= need)
+    return pairs.where(passed).select("a", "b")
+
+
+def size_class(percent: int) -> Column:
+    """Linked sets differ in size by a factor percent at most: they are in one class or in neighbouring ones."""
+    return F.floor(F.log(F.col("n").cast("double")) / math.log(100 / (percent - 0.1))).cast("int")
+
+
+def hot_edges(postings: DataFrame, percent: int) -> DataFrame:
+    """a, b: edges that keep the nodes of a long list together, by size class: to
+    the least node of the list in the same class, and in the class below."""
+    long_ = postings.where(F.col("times") > SHORT_LIST).select("token", "node", size_class(percent).alias("klass"))
+    lead = long_.groupBy("token", "klass").agg(F.min("node").alias("lead"))
+    to = long_.select("token", "node", F.explode(F.array("klass", F.col("klass") - 1)).alias("k"))
+    lead = lead.select(F.col("token").alias("t"), F.col("klass").alias("c"), "lead")
+    edges = to.join(lead, (F.col("token") == F.col("t")) & (F.col("k") == F.col("c")))
+    return edges.select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct()
+
+
+def node_texts(docs: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
+    """(node, least, check) -> node, n, text, p2 and p3 (prefixes under orders 2 and 3)."""
+
+    def orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in tb.blocks(batch.column(0), BLOCK_BYTES):
+            for block in tb.blocks(batch.column(1), BLOCK_BYTES):
                 tokens, first = token_sets(block, words)
-                n = np.diff(first)
-                data = tokens.astype("<u8").tobytes()
-                packed = [data[8 * a : 8 * b] for a, b in zip(first[:-1], first[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(node_ids(tokens, first), mask=n == 0), pa.array(n), pa.array(packed, pa.binary())], ["node", "n", "tokens"])
+                own = [batch.column(k).slice(block.lo, block.n) for k in (0, 1)]
+                prefixes = [_hashed_prefix(tokens, first, salt, percent) for salt in _SALTS[1:]]
+                yield pa.RecordBatch.from_arrays([own[0], pa.array(np.diff(first)), own[1], *prefixes], ["node", "n", "text", "p2", "p3"])
 
-    wanted = ids.select(F.col("doc_id").alias("wanted")).distinct()
+    wanted = nodes.select("node", "least", F.col("check").alias("own"))
     if wanted.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS:
         wanted = F.broadcast(wanted)
-    texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi").select("text")
-    return texts.mapInArrow(sets, "node long, n long, tokens binary").where("node is not null")
+    found = digested(docs).join(wanted, F.col("doc_id").eqNullSafe(F.col("least")) & (F.col("check") == F.col("own")))
+    found = found.select("node", "text").dropDuplicates(["node"])
+    return found.mapInArrow(orders, "node long, n long, text string, p2 array<smallint>, p3 array<smallint>")
+
+
+def shingle_set(text: str, words: int) -> set[tuple[bytes, ...]]:
+    """The text's shingles as words. bytes.lower() folds A-Z and bytes.split() cuts at 20 and 09-0D, and no more."""
+    w = text.encode().lower().split()
+    return set(zip(*[w[k:] for k in range(words)], strict=False)) if len(w) >= words else {tuple(w)} if w else set()
+
+
+def pair_links(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """a, b: the pairs that are links. Orders 2 and 3 are intersected before texts meet."""
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, left = None, set()
+        for batch in batches:
+            good = []
+            for a, text_a, text_b in zip(*(batch.column(k) for k in (0, 2, 3)), strict=True):
+                if a.as_py() != name:  # rows come sorted by a
+                    name, left = a.as_py(), shingle_set(text_a.as_py(), words)
+                right = shingle_set(text_b.as_py(), words)
+                both = len(left & right)
+                good.append(100 * both >= percent * (len(left) + len(right) - both))
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(good, pa.bool_())) for k in (0, 1)], ["a", "b"])
+
+    orders = ("p2", "p3")
+    left = texts.select(F.col("node").alias("of_a"), *[F.col(p).alias(f"{p}_a") for p in orders])
+    right = texts.select(F.col("node").alias("of_b"), F.col("text").alias("text_b"), *[F.col(p).alias(f"{p}_b") for p in orders])
+    met = pairs.join(left, F.col("a") == F.col("of_a")).join(right, F.col("b") == F.col("of_b"))
+    met = met.where(F.arrays_overlap("p2_a", "p2_b") & F.arrays_overlap("p3_a", "p3_b")).select("a", "b", "text_b")
+    whole = met.join(texts.select(F.col("node").alias("of"), F.col("text").alias("text_a")), F.col("a") == F.col("of"))
+    return whole.select("a", "b", "text_a", "text_b").mapInArrow(verify, "a long, b long")
 
 
 def work_units(nodes: DataFrame, percent: int) -> DataFrame:
-    """(node, n, tokens, cluster) -> a row for each unit a node takes part in:
+    """(node, n, text, cluster) -> a row for each unit a node takes part in:
     cluster, c1, i1, c2, i2 (two chunks), side (0: first chunk, 1: second).
 
-    Linked sets differ in size by a factor percent at most, so they are in the
-    same or in neighbouring size classes. A cluster of one chunk is one unit.
+    Chunks meet those of their own size class and of the neighbouring ones. A
+    cluster of one chunk is one unit.
     """
     weight = F.col("n") + NODE_WEIGHT
-    klass = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / (percent - 0.1))).cast("int")
+    klass = size_class(percent)
     totals = nodes.groupBy("cluster").agg(F.sum(weight).alias("total"))
     chunk = F.least(F.greatest(F.col("total") / SPLITS, F.lit(float(LEAST_CHUNK))), F.lit(float(MOST_CHUNK)))
     small = F.col("total") <= LEAST_CHUNK
@@ -305,7 +384,7 @@ def work_units(nodes: DataFrame, percent: int) -> DataFrame:
     same = F.transform(many(c), lambda j: unit(c, F.least(i, j), c, F.greatest(i, j), (i > j).cast("int")))
     above = F.transform(many(c + 1), lambda j: unit(c, i, c + 1, j, F.lit(0)))
     below = F.transform(many(c - 1), lambda j: unit(c - 1, j, c, i, F.lit(1)))
-    return rows.select("cluster", "node", "n", "tokens", F.explode(F.concat(same, above, below)).alias("unit")).select("cluster", "unit.*", "node", "n", "tokens")
+    return rows.select("cluster", "node", "n", "text", F.explode(F.concat(same, above, below)).alias("unit")).select("cluster", "unit.*", "node", "n", "text")
 
 
 def _shared(left: np.ndarray, right: np.ndarray, code: np.ndarray, owner: np.ndarray, picked: np.ndarray, m: int, width: int) -> np.ndarray:
@@ -323,11 +402,30 @@ def _shared(left: np.ndarray, right: np.ndarray, code: np.ndarray, owner: np.nda
     return out
 
 
-def unit_links(node: np.ndarray, tokens: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple[int, int]]:
+def _exact_sets(texts: list[str], words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of the texts as numbers, equal exactly if the words are: distinct
+    ones of each text, and each text's first one (one more than texts)."""
+    known: dict[bytes, int] = {}
+    rows = []
+    for text in texts:
+        w = text.encode().lower().split()
+        w = [known.setdefault(x, len(known) + 1) for x in w] + [0] * (words - len(w) if w else 0)
+        rows.append(np.array(w, np.int64))
+    size = np.array([max(len(r) - words + 1, 0) for r in rows])
+    doc = np.repeat(np.arange(len(rows)), size)
+    code = np.zeros(len(doc), np.int64)
+    for k in range(words):
+        step = np.concatenate([r[k : k + m] for r, m in zip(rows, size, strict=True)])
+        code = np.unique(code * (len(known) + 1) + step, return_inverse=True)[1]
+    width = int(code.max()) + 1 if len(code) else 1
+    doc, code = np.divmod(np.unique(doc * width + code), width)
+    return code.astype(np.uint64), np.searchsorted(doc, np.arange(len(rows) + 1))
+
+
+def unit_links(node: np.ndarray, texts: list[str], side: np.ndarray, words: int, percent: int) -> list[tuple[int, int]]:
     """Links of a unit, enough to connect what the unit links."""
-    n = np.array([len(t) for t in tokens], np.int64)
-    first = np.concatenate([[0], np.cumsum(n)])
-    flat = np.concatenate(tokens)
+    flat, first = _exact_sets(texts, words)
+    n = np.diff(first)
     owner = np.repeat(np.arange(len(n)), n)
     _, place, times = np.unique(flat, return_inverse=True, return_counts=True)
     often = times > 1
@@ -368,15 +466,39 @@ def unit_links(node: np.ndarray, tokens: list[np.ndarray], side: np.ndarray, per
     return out
 
 
-def verified_links(units: DataFrame, percent: int) -> DataFrame:
+def unit_pairs(units: DataFrame, words: int, percent: int) -> DataFrame:
     def verify(table: pa.Table) -> pa.Table:
-        tokens = [np.frombuffer(t.as_py(), "<u8") for t in table.column("tokens")]
-        found = unit_links(table.column("node").to_numpy(), tokens, table.column("side").to_numpy(), percent)
+        found = unit_links(table.column("node").to_numpy(), table.column("text").to_pylist(), table.column("side").to_numpy(), words, percent)
         return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
     return units.groupBy("cluster", "c1", "i1", "c2", "i2").applyInArrow(verify, "a long, b long")
 
 
+def resolve(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """Two tables: documents (doc_id, stem, check, n, node; node is null where there
+    are no words) and nodes (node, least doc_id, component, a node)."""
+    table = written(prefix_table(docs, words, percent, frequent_tokens(docs, words)), "prefixes")
+    whole, nodes = with_nodes(table)
+    postings = shared_postings(whole)
+    table = written(whole.drop("p1"), "documents")
+    dropped(whole)
+    pairs = written(listed_pairs(postings, percent), "pairs")
+    edges = written(hot_edges(postings, percent), "edges")
+    dropped(postings)
+    clusters = components(edges).withColumnRenamed("component", "cluster")
+    met = pairs.select(F.explode(F.array("a", "b")).alias("met")).union(clusters.select("node")).distinct()
+    inside = nodes.join(met, F.col("node") == F.col("met"), "left_semi")
+    texts = written(node_texts(docs, inside, words, percent), "texts")
+    hot = texts.join(clusters.withColumnRenamed("node", "of"), F.col("node") == F.col("of")).select("node", "n", "text", "cluster")
+    links = pair_links(pairs, texts, words, percent).unionByName(unit_pairs(work_units(hot, percent), words, percent))
+    links = written(links, "near")
+    dropped(texts, pairs, edges)
+    linked = components(links).withColumnRenamed("node", "of")
+    dropped(links)
+    nodes = nodes.join(linked, F.col("node") == F.col("of"), "left").select("node", "least", F.coalesce("component", "node").alias("component"))
+    return table, nodes
+
+
 def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id: the least doc_id that links reach.
 
@@ -384,41 +506,41 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     another such text either; its component is itself. Null ids take part and
     never name a component, unless all of it has none. Rows with equal sets,
     repeated rows among them, are linked. An empty table gives no rows. Other
-    columns of docs are not read. Nodes are 64-bit digests of sets.
+    columns of docs are not read.
     """
-    spark = docs.sparkSession
-    table = written(prefix_table(docs, words, percent, frequent_tokens(docs, words)), "prefixes")
-    clusters = candidate_clusters(table, percent)
-    slim = written(table.select("doc_id", "n", "node"), "sizes")
-    dropped(table)
-    table = slim
-    freed(spark)
-    named = table.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
-    named = written(named.join(clusters.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").drop("of"), "nodes")
-    inside = named.where("cluster is not null")
-    sets = node_tokens(docs, inside.select(F.col("least").alias("doc_id")), words).dropDuplicates(["node"])
-    members = written(sets.join(inside.select(F.col("node").alias("of"), "cluster"), F.col("node") == F.col("of")).drop("of"), "members")
-    freed(spark)
-    links = written(verified_links(work_units(members, percent), percent), "near")
-    dropped(members)
-    freed(spark)
-    linked = components(links)
-    dropped(links)
-    joined = named.join(linked.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("node", "least", F.coalesce("component", "node").alias("component"))
-    least = joined.groupBy("component").agg(F.min("least").alias("component_id"))
-    ids = joined.select(F.col("node").alias("of"), F.col("component").alias("c")).join(least, F.col("c") == F.col("component")).select("of", "component_id")
+    table, nodes = resolve(docs, words, percent)
+    least = nodes.groupBy("component").agg(F.min("least").alias("component_id")).withColumnRenamed("component", "c")
+    ids = nodes.join(least, F.col("component") == F.col("c")).select(F.col("node").alias("of"), "component_id")
     out = table.select("doc_id", F.col("n").alias("n_shingles"), "node").join(ids, F.col("node") == F.col("of"), "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The documents with one left of each component, the one of least doc_id; columns as given.
+    """The documents with one row left of each component: that of least doc_id
+    (null ids last; of several texts under that id the one of least digest).
+    Columns as given, whatever their names.
 
-    Of repeated rows one is left. Rows without an id cannot name a component:
-    if one of them is to stay they all do, one for each text.
+    Texts, not ids, are what is linked: rows under one id with unlinked texts all
+    stay. Of repeated rows that are to stay, equal in id and text, one stays. Rows
+    without words are linked with nothing and all stay. An empty table gives no rows.
     """
-    found = jaccard_components(docs, words, percent)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept")).distinct()
-    out = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept")), "left_semi")
-    keyed = out.withColumn("_text_key", F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.lit(0)))
-    return keyed.dropDuplicates(["doc_id", "_text_key"]).drop("_text_key")
+    table, nodes = resolve(docs, words, percent)
+    rows = table.where("node is not null").groupBy("doc_id", "node", "stem", "check").agg(F.count(F.lit(1)).alias("times"))
+    rows = rows.join(nodes.select(F.col("node").alias("of"), "component"), F.col("node") == F.col("of")).drop("of", "node")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "stem", "check")).alias("first")
+    best = rows.groupBy("component").agg(first).withColumnRenamed("component", "c")
+    rows = rows.join(best, F.col("component") == F.col("c"))
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("stem") == F.col("first.stem")) & (F.col("check") == F.col("first.check"))
+    # what does not simply stay: rows that go, and rows of which one of several stays
+    odd = rows.where(~stays | (F.col("times") > 1)).select(F.struct("doc_id", "stem", "check").alias("key"), stays.alias("stays"))
+    odd = written(odd, "odd")
+    few = odd.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS
+    text = F.coalesce("text", F.lit(""))
+    part = lambda at: F.conv(F.substring(F.sha2(text, 256), at, 15), 16, 10).cast("long")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.struct("doc_id", part(1).alias("stem"), part(16).alias("check")).alias("key"))
+    same = F.col("w.key").eqNullSafe(F.col("o.key"))
+    o = F.broadcast(odd) if few else odd
+    plain = whole.alias("w").join(o.alias("o"), same, "left_anti").select("w.row.*")
+    several = F.broadcast(odd.where("stays")) if few else odd.where("stays")
+    one = whole.alias("w").join(several.alias("o"), same, "left_semi").select("w.row", "w.key").dropDuplicates(["key"])
+    return plain.unionByName(one.select("row.*"))
