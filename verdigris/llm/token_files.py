@@ -9,22 +9,22 @@ without unpacking the others. Parts are ranges of doc_id written by Spark's
 Parquet writer, whose commit protocol makes a lost task harmless.
 
 The library's byte-level model merges inside pre-tokens only, so each distinct
-pre-token is encoded by the library once per worker and reused by its hash; a
-text that holds one of the tokenizer's added tokens goes to the library whole.
-Pre-tokens are cut with numpy over code points.
+pre-token is encoded by the library once per worker and reused; it is found by a
+hash and its bytes are compared. A text that holds one of the tokenizer's added
+tokens goes to the library whole. Pre-tokens are cut with numpy over code points,
+whose classes are asked of the library's own splitter.
 """
 
 from __future__ import annotations
 
 import json
-import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textblocks as tb
@@ -33,25 +33,26 @@ from .scratch import shared_dir
 BLOCK_IDS = 1 << 18
 MAX_KNOWN = 1 << 20
 _L, _N, _S, _O = 0, 1, 2, 3
-#: White space of Unicode's White_Space property.
-_SPACES = (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
+#: Code points above are unassigned or private but for tags and variation selectors.
+_PROBED = (range(0xD800), range(0xE000, 0x32400), range(0xE0000, 0xE0200))
 
 
-@lru_cache(maxsize=1)
-def char_classes() -> np.ndarray:
-    """Letter, number, white space or other, of every code point."""
+def char_classes(tokenizer) -> np.ndarray:
+    """Letter, number, white space or other, of every code point: whether the
+    library's splitter leaves it in one piece with a letter, a digit or a mark."""
+    points = np.array([c for r in _PROBED for c in r])
     out = np.full(0x110000, _O, np.uint8)
-    for c in range(0x110000):
-        k = unicodedata.category(chr(c))[0]
-        if k == "L":
-            out[c] = _L
-        elif k == "N":
-            out[c] = _N
-    out[list(_SPACES)] = _S
+    kind = np.full(len(points), _S, np.uint8)
+    for mark, of in (("a", _L), ("1", _N), ("!", _O)):
+        pieces = tokenizer.pre_tokenizer.pre_tokenize_str("".join(f"{mark}{chr(c)}\n" for c in points))
+        spans = np.array([at for _, at in pieces], np.int64)
+        start = spans[(spans[:, 0] % 3 == 0) & (spans[:, 1] >= spans[:, 0] + 2), 0] // 3
+        kind[start] = of
+    out[points] = kind
     return out
 
 
-def pretoken_starts(points: np.ndarray, first: np.ndarray) -> np.ndarray:
+def pretoken_starts(points: np.ndarray, first: np.ndarray, classes: np.ndarray) -> np.ndarray:
     """Where pre-tokens start in the code points of documents; first: each
     document's first code point (one more than documents).
 
@@ -60,7 +61,7 @@ def pretoken_starts(points: np.ndarray, first: np.ndarray) -> np.ndarray:
     run of white space, whose last character stays apart before text.
     """
     n = len(points)
-    cls = char_classes()[points]
+    cls = classes[points]
     edge = np.zeros(n + 1, bool)
     edge[first] = True
     before = np.empty(n, np.uint8)
@@ -84,7 +85,6 @@ def pretoken_starts(points: np.ndarray, first: np.ndarray) -> np.ndarray:
         size = np.where(two, 2, np.where(one, 1, 0))
         quote, size = quote[size > 0], size[size > 0]
         start[quote + 1] = False
-        start[quote + 2] &= True
         two_letters = quote[size == 2]
         start[two_letters + 2] = False
         behind = quote + size + 1
@@ -135,6 +135,7 @@ class Encoder:
         pre = spec.get("pre_tokenizer") or {}
         self.by_piece = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer")
         self.added = [t["content"].encode() for t in spec.get("added_tokens", [])]
+        self.classes = char_classes(self.tokenizer) if self.by_piece else None
         self.clear()
 
     def clear(self) -> None:
@@ -142,6 +143,7 @@ class Encoder:
         self.at = np.zeros(0, np.int64)
         self.size = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
+        self.from_, self.long, self.bytes = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint8)
 
     def library(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -153,22 +155,30 @@ class Encoder:
         size = np.array([len(x) for x in found], np.int64)
         at = len(self.ids) + np.cumsum(size) - size
         self.ids = np.concatenate([self.ids, np.array([i for x in found for i in x], np.uint32)])
+        raw = [p.encode() for p in pieces]
+        long = np.array([len(x) for x in raw], np.int64)
+        from_ = len(self.bytes) + np.cumsum(long) - long
+        self.bytes = np.concatenate([self.bytes, np.frombuffer(b"".join(raw), np.uint8)])
         order = np.argsort(np.concatenate([self.keys, keys]), kind="stable")
-        self.keys, self.at, self.size = (np.concatenate(x)[order] for x in ((self.keys, keys), (self.at, at), (self.size, size)))
+        pairs = ((self.keys, keys), (self.at, at), (self.size, size), (self.from_, from_), (self.long, long))
+        self.keys, self.at, self.size, self.from_, self.long = (np.concatenate(x)[order] for x in pairs)
+
+    def whole(self, block: tb.Block) -> tuple[np.ndarray, np.ndarray]:
+        raw = block.data.tobytes()
+        found = self.library([raw[a:b].decode() for a, b in zip(block.offsets[:-1], block.offsets[1:], strict=True)])
+        return np.array([i for x in found for i in x], np.uint32), np.array([len(x) for x in found], np.int64)
 
     def encode(self, block: tb.Block) -> tuple[np.ndarray, np.ndarray]:
         """ids of all documents of the block, and how many each has."""
         raw = block.data.tobytes()
         if not self.by_piece or any(a in raw for a in self.added):
-            texts = [raw[a:b].decode() for a, b in zip(block.offsets[:-1], block.offsets[1:], strict=True)]
-            found = self.library(texts)
-            return np.array([i for x in found for i in x], np.uint32), np.array([len(x) for x in found], np.int64)
+            return self.whole(block)
         if not raw:
             return np.zeros(0, np.uint32), np.zeros(block.n, np.int64)
         lead = np.flatnonzero((block.data & 0xC0) != 0x80)
         points = np.frombuffer(raw.decode().encode("utf-32-le"), np.uint32)
         first = np.searchsorted(lead, block.offsets)
-        starts = lead[pretoken_starts(points, first)]
+        starts = lead[pretoken_starts(points, first, self.classes)]
         ends = np.append(starts[1:], len(raw))
         up, down = tb.powers(len(raw) + 1)
         run = np.zeros(len(raw) + 1, np.uint64)
@@ -184,6 +194,11 @@ class Encoder:
                 self.clear()
                 new[:] = True
             self.learn(keys[new], [raw[s:e].decode() for s, e in zip(starts[where[new]], ends[where[new]], strict=True)])
+        # the hash only finds a piece: its bytes lie in self.bytes where the block has the same ones
+        moved = np.repeat(self.from_[place][inverse] - starts, ends - starts)
+        moved += np.arange(len(raw))
+        if (self.long[place][inverse] != ends - starts).any() or (self.bytes[moved] != block.data).any():
+            return self.whole(block)
         at, size = self.at[place][inverse], self.size[place][inverse]
         total = np.cumsum(size)
         ids = self.ids[np.repeat(at - total + size, size) + np.arange(total[-1])]
@@ -196,14 +211,14 @@ def _encoder(file: str) -> Encoder:
     return Encoder(file)
 
 
-_FILE_SCHEMA = "part int, block int, first long, n_ids long, width int, doc_ids array<long>, counts array<long>, packed binary"
+_FILE_SCHEMA = "part int, block int, first long, n_ids long, width int, least long, most long, doc_ids array<long>, counts array<long>, packed binary"
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer_file: str, end_id: int = 2, width: int | None = None, block_ids: int = BLOCK_IDS) -> None:
     """Tokenise every document of docs, append end_id, write the packed file.
 
     Documents are dealt by ranges of doc_id and sorted inside them (null ids
-    first, equal ids by text). A null text is empty: its end id alone. An empty
+    first, equal ids by a hash of the text); rows of one id are dealt out too. A null text is empty: its end id alone. An empty
     table writes a file without rows. tokenizer_file is a path every executor
     has, as part of the installed environment.
     """
@@ -225,9 +240,11 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_file: str, end_id: i
             ids = np.concatenate([h[0] for h in held])
             counts = np.concatenate([h[1] for h in held])
             names = [x for h in held for x in h[2]]
+            known = [x for x in names if x is not None] or [None]
+            numbers = [("part", pa.int32()), ("block", pa.int32()), ("first", pa.int64()), ("n_ids", pa.int64()), ("width", pa.int32()), ("least", pa.int64()), ("most", pa.int64())]
             out = pa.RecordBatch.from_pylist(
-                [{"part": part, "block": number, "first": first, "n_ids": len(ids), "width": width, "doc_ids": names, "counts": counts.tolist(), "packed": pack(ids, width)}],
-                schema=pa.schema([("part", pa.int32()), ("block", pa.int32()), ("first", pa.int64()), ("n_ids", pa.int64()), ("width", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("packed", pa.binary())]),
+                [{"part": part, "block": number, "first": first, "n_ids": len(ids), "width": width, "least": known[0], "most": known[-1], "doc_ids": names, "counts": counts.tolist(), "packed": pack(ids, width)}],
+                schema=pa.schema([*numbers, ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("packed", pa.binary())]),
             )
             first, number, held = first + len(ids), number + 1, []
             return out
@@ -243,7 +260,9 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_file: str, end_id: i
             yield row()
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select("doc_id", "text").repartitionByRange(n, F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "text")
+    order = [F.asc_nulls_first("doc_id"), F.asc("tie"), F.asc("row")]
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("tie"), F.monotonically_increasing_id().alias("row"))
+    ordered = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).select("doc_id", "text")
     ordered.mapInArrow(pack_part, _FILE_SCHEMA).write.parquet(path)
 
 
@@ -282,9 +301,23 @@ def document_tokens(files: DataFrame, ids: bool = False) -> DataFrame:
     return files.select("start", "n_ids", "width", "doc_ids", "counts", "packed").mapInArrow(open_blocks, schema)
 
 
-def seek(files: DataFrame, doc_id: int | Column) -> DataFrame:
-    """The block rows that hold a document: random access by the block's ids, without reading the others' bytes."""
-    return files.where(F.array_contains("doc_ids", doc_id))
+def seek(files: DataFrame, doc_id: int) -> DataFrame:
+    """doc_id, ids: the documents of one id (not null), by random access. Blocks are
+    left out by their least and greatest id, without reading their bytes; of a block
+    that has the document only its own stretch is unpacked."""
+
+    def open_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for names, counts, width, packed in zip(*batch.columns, strict=True):
+                many = counts.values.to_numpy()
+                ends = np.cumsum(many)
+                for k in np.flatnonzero(names.values.fill_null(doc_id - 1).to_numpy() == doc_id):
+                    found.append(unpack(packed.as_py(), int(many[k]), width.as_py(), int(ends[k] - many[k])).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array([doc_id] * len(found), pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "ids"])
+
+    there = files.where((F.col("least") <= doc_id) & (F.col("most") >= doc_id))
+    return there.select("doc_ids", "counts", "width", "packed").mapInArrow(open_block, "doc_id long, ids array<long>")
 
 
 def scratch_path(spark: SparkSession) -> str:
