@@ -1,117 +1,145 @@
 """A uniform shuffle into shards of exact size, by a communication matrix.
 
-Documents start in `origins` (by hash of their key). How many rows each origin
-sends to each shard is drawn first, as one matrix with the origins' counts as
-row sums and the exact shard sizes as column sums: a multivariate
-hypergeometric draw, which is the law that a uniform permutation of all rows
-would induce. Each origin then permutes its own rows and cuts them by its row
-of the matrix; the rows are exchanged and permuted again inside their shard.
-The result is distributed as a uniform permutation cut into equal shards, and
-no count has to be corrected afterwards.
-
-The driver holds origins x shards integers. Only key rows are shuffled for the
-assignment; both permutations are ranks by a seeded hash, so reruns agree.
+Documents start in the partitions they are read in. How many rows each of these
+sends to each shard is drawn first, as one matrix with the partitions' counts as
+row sums and the exact shard sizes as column sums: a multivariate hypergeometric
+draw, which is the law that a uniform permutation of all rows would induce. Each
+partition then permutes its own rows and cuts them by its row of the matrix; the
+rows are exchanged and permuted again inside their shard. The result is
+distributed as a uniform permutation cut into equal shards, and no count has to
+be corrected afterwards.
+
+The rows and their places of origin are written once, so that counts and labels
+speak of the same partitions whatever is recomputed. What rows hold plays no part
+in where they go: equal rows and hot keys are dealt out like any others. The
+driver holds partitions x shards integers. Both permutations are seeded.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scratch import written
+
 SHARDS = 8
-ORIGINS = 256
-CELLS = 64
 SEED = 20240607
+#: Rows that are ranked together in the second permutation, about.
+CELL_ROWS = 1 << 16
+#: Standard deviations around its mode within which a count is drawn; what lies beyond is below a double's resolution.
+_REACH = 12
+
+
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
+    """How many of n items drawn from good + bad ones are good, for any totals.
+
+    Inversion of the exact law: its values relative to the mode follow from the
+    ratios of neighbouring ones, so nothing has to be approximated by another law.
+    """
+    low, high = max(0, n - bad), min(n, good)
+    if low == high:
+        return low
+    total = good + bad
+    mode = min(max((n + 1) * (good + 1) // (total + 2), low), high)
+    share = good / total
+    reach = int(_REACH * (n * share * (1 - share) * (total - n) / max(total - 1, 1)) ** 0.5) + 40
+    low, high = max(low, mode - reach), min(high, mode + reach)
+    k = np.arange(low, high, dtype=np.float64)
+    steps = np.log(good - k) + np.log(n - k) - np.log(k + 1) - np.log(bad - n + k + 1)
+    heights = np.concatenate([[0.0], np.cumsum(steps)])
+    weights = np.cumsum(np.exp(heights - heights.max()))
+    return low + int(np.searchsorted(weights, rng.random() * weights[-1], "right").clip(0, len(weights) - 1))
 
 
 def communication_matrix(counts: np.ndarray, shards: int = SHARDS, seed: int = SEED) -> np.ndarray:
-    """counts of each origin -> how many rows each origin sends to each shard.
+    """counts of each partition -> how many rows each sends to each shard.
 
-    Shard sizes differ by one at most. Row by row, an origin's part of what the
+    Shard sizes differ by one at most. Row by row, a partition's part of what the
     shards still need is multivariate hypergeometric.
     """
     total = int(counts.sum())
-    need = np.full(shards, total // shards, np.int64)
-    need[: total % shards] += 1
+    need = [total // shards + (s < total % shards) for s in range(shards)]
     rng = np.random.default_rng(seed)
     out = np.zeros((len(counts), shards), np.int64)
-    for i, n in enumerate(counts):
-        left = int(need.sum())
-        for s in range(shards - 1):  # one shard at a time: numpy's bound of 10**9 is on each draw
-            if n == 0:
-                break
-            out[i, s] = rng.hypergeometric(need[s], left - need[s], n) if left < 10**9 else _large(rng, int(need[s]), left, int(n))
+    for i, n in enumerate(counts.tolist()):
+        left = sum(need)
+        for s in range(shards):
             left -= need[s]
-            n -= out[i, s]
-        out[i, -1] += n
-        need -= out[i]
+            out[i, s] = hypergeometric(rng, need[s], left, n)
+            n -= int(out[i, s])
+            need[s] -= int(out[i, s])
     return out
 
 
-def _large(rng: np.random.Generator, good: int, total: int, n: int) -> int:
-    """A hypergeometric count for totals past numpy's bound: the normal law with
-    its exact mean and variance, rounded and held to the possible values."""
-    p = good / total
-    sd = (n * p * (1 - p) * (total - n) / max(total - 1, 1)) ** 0.5
-    return int(min(max(round(n * p + sd * rng.standard_normal()), 0, n - (total - good)), n, good))
+def _dealt(rows: DataFrame, shards: int, seed: int) -> DataFrame:
+    """rows -> with shard and slot (0, 1, ... in each shard); columns origin and at are added and used."""
+    at = F.monotonically_increasing_id()
+    rows = written(rows.withColumns({"origin": F.shiftright(at, 33).cast("int"), "at": at.bitwiseAND((1 << 33) - 1)}), "origins")
+    found = rows.groupBy("origin").count().orderBy("origin").collect()  # a row a partition
+    counts = np.array([r["count"] for r in found], np.int64)
+    origins = np.array([r["origin"] for r in found], np.int64)
+    shared = rows.sparkSession.sparkContext.broadcast((origins, communication_matrix(counts, shards, seed)))
+    keyed = lambda k: _labeller(shared, seed, k)
+    dealt = rows.mapInArrow(keyed(rows.columns.index("origin")), rows.withColumn("shard", F.lit(0)).schema)
+    # the second, inside the shard: cells of the shard in a row, and ranks inside the cells
+    cells = max(1, -(-int(counts.sum()) // (shards * CELL_ROWS)))
+    k2 = F.xxhash64(F.lit(seed + 2), "origin", "at")
+    cell = F.pmod(F.shiftrightunsigned(k2, 7), F.lit(cells)).cast("int")
+    sums = rows.select("origin", "at").mapInArrow(keyed(0), "origin int, at long, shard int").groupBy("shard", cell.alias("cell")).agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("shard").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(F.col("shard").alias("s"), F.col("cell").alias("c"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    inside = F.row_number().over(Window.partitionBy("shard", "cell").orderBy("k2", "origin", "at")) - 1
+    out = dealt.withColumns({"k2": k2, "cell": cell}).withColumn("inside", inside)
+    out = out.join(sums, (F.col("shard") == F.col("s")) & (F.col("cell") == F.col("c")))
+    return out.withColumn("slot", (F.col("start") + F.col("inside")).cast("long"))
 
 
-def assign_shards(docs: DataFrame, shards: int = SHARDS, origins: int = ORIGINS, seed: int = SEED) -> DataFrame:
+def _labeller(shared, seed: int, place: int):
+    """Batches with columns origin and at, from `place` on -> with the shard of each row."""
+
+    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, matrix = shared.value
+        of, labels = None, None
+        for batch in batches:
+            origin, at = (batch.column(k).to_numpy() for k in (place, place + 1))
+            shard = np.zeros(batch.num_rows, np.int32)
+            cuts = np.flatnonzero(np.concatenate([[True], origin[1:] != origin[:-1], [True]])) if len(origin) else [0]
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                if origin[lo] != of:  # the first permutation: a partition's rows in a random order, cut by its row of the matrix
+                    of = origin[lo]
+                    own = matrix[np.searchsorted(known, of)]
+                    labels = np.random.default_rng([seed, int(of)]).permutation(np.repeat(np.arange(len(own), dtype=np.int32), own))
+                shard[lo:hi] = labels[at[lo:hi]]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shard)], [*batch.schema.names, "shard"])
+
+    return label
+
+
+def assign_shards(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """doc_id, size (UTF-8 bytes of the text plus 1), text_crc32, law, shard,
     slot (0, 1, ... in each shard), grown_shard (null under this law).
 
-    Nulls: a null text has size 1 and the crc32 of no bytes, 0; a null doc_id
-    hashes like any other value. Repeated rows are rows of their own and get
-    slots of their own; equal ones are interchangeable. Fewer rows than shards
-    leave the last shards empty; an empty table gives no rows.
+    Nulls: a null text has size 1 and the crc32 of no bytes, 0; a null doc_id is
+    like any other. Repeated rows are rows of their own and get slots of their
+    own. Fewer rows than shards leave the last shards empty; an empty table gives
+    no rows. Other columns are not read. Reruns over the same files with the same
+    splits agree.
     """
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select(
-        "doc_id",
-        (F.octet_length(text) + 1).cast("long").alias("size"),
-        F.crc32(text.cast("binary")).alias("text_crc32"),
-    )
-    key = F.xxhash64(F.lit(seed), "doc_id", "text_crc32", "size")
-    rows = rows.withColumn("k1", key).withColumn("origin", F.pmod(F.xxhash64(F.lit(seed + 1), "k1"), F.lit(origins)).cast("int"))
-    counts = np.zeros(origins, np.int64)
-    for r in rows.groupBy("origin").count().collect():  # one number an origin
-        counts[r["origin"]] = r["count"]
-    cuts = np.cumsum(communication_matrix(counts, shards, seed), axis=1)
-    matrix = docs.sparkSession.createDataFrame([(i, [int(x) for x in c]) for i, c in enumerate(cuts)], "origin int, cuts array<long>")
-    # the first permutation, inside the origin; the row's place picks its shard
-    place = F.row_number().over(Window.partitionBy("origin").orderBy("k1", "doc_id", "size"))
-    dealt = rows.withColumn("place", place).join(F.broadcast(matrix), "origin")
-    dealt = dealt.withColumn("shard", F.size(F.filter("cuts", lambda c: c < F.col("place"))))
-    # the second, inside the shard: cells of the shard in a row, and ranks inside the cells
-    dealt = dealt.withColumn("k2", F.xxhash64(F.lit(seed + 2), "k1", "place", "origin"))
-    dealt = dealt.withColumn("cell", F.pmod(F.shiftrightunsigned("k2", 7), F.lit(CELLS * 8)).cast("int"))
-    sums = dealt.groupBy("shard", "cell").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("shard").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("shard", "cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    inside = F.row_number().over(Window.partitionBy("shard", "cell").orderBy("k2", "origin", "place")) - 1
-    out = dealt.withColumn("inside", inside).join(sums, ["shard", "cell"])
-    return out.select(
-        "doc_id",
-        "size",
-        "text_crc32",
-        F.lit("rows").alias("law"),
-        "shard",
-        (F.col("start") + F.col("inside")).cast("long").alias("slot"),
-        F.lit(None).cast("int").alias("grown_shard"),
+    rows = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    return _dealt(rows, shards, seed).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
 
 
-def sharded_documents(docs: DataFrame, shards: int = SHARDS, origins: int = ORIGINS, seed: int = SEED) -> DataFrame:
+def sharded_documents(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """The documents, columns as given, with `shard` and `slot` (in place of
-    columns of these names). Repeated rows get places of their own."""
-    plan = assign_shards(docs, shards, origins, seed)
-    places = plan.groupBy(F.xxhash64("doc_id", "text_crc32", "size").alias("of")).agg(F.array_sort(F.collect_list(F.struct("shard", "slot"))).alias("places"))
-    text = F.coalesce("text", F.lit(""))
-    key = F.xxhash64("doc_id", F.crc32(text.cast("binary")), (F.octet_length(text) + 1).cast("long"))
-    kept = [c for c in docs.columns if c not in ("shard", "slot")]
-    rows = docs.select(F.struct(*kept).alias("row"), key.alias("key"))
-    # as many places as rows have a key: the n-th row of a key takes its n-th place
-    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy(F.lit(0))))
-    out = rows.join(places, F.col("key") == F.col("of")).select("row", F.element_at("places", F.col("n")).alias("place"))
-    return out.select("row.*", "place.shard", "place.slot")
+    columns of these names). Repeated rows, null ids and texts get places of
+    their own; an empty table gives no rows. Whole rows are exchanged once."""
+    kept = [c for c in docs.columns if c.lower() not in ("shard", "slot")]
+    out = _dealt(docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row")), shards, seed)
+    return out.select("row.*", "shard", "slot")
