@@ -8,8 +8,8 @@ each document two or three times, and the total is within one copy of exact.
 
 Only (key, size, source) rows are shuffled, never texts. The prefix sum is in
 two levels: documents are ranked inside cells (source, size class, split), and
-the cells, of which a source has a bounded number, are summed before. A hot
-source is thereby spread over `splits` x size classes tasks.
+the cells are summed before. There are as many splits as the table's rows fill
+with CELL_ROWS, so a hot source is spread over cells of bounded size.
 """
 
 from __future__ import annotations
@@ -17,9 +17,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scratch import written
+
 WEIGHTS = (5, 2, 1)
 CEILING = 3
-SPLITS = 64
+CELL_ROWS = 1 << 17
 SEED = "mix-1"
 
 
@@ -28,41 +30,47 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+def numbered_sources(sizes: DataFrame) -> DataFrame:
+    """(source, source_size) -> with `turn`, 0, 1, ... in code-point order, null last. Each range of names starts after those before."""
+    order = [F.col("source").isNull(), F.col("source")]
+    parts = int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    at = F.monotonically_increasing_id()
+    rows = sizes.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    rows = written(rows.withColumns({"part": F.shiftright(at, 33), "at": at.bitwiseAND((1 << 33) - 1)}), "sources")
+    start, starts = 0, []
+    for r in rows.groupBy("part").count().orderBy("part").collect():  # a row a range
+        starts.append((r["part"], start))
+        start += r["count"]
+    starts = sizes.sparkSession.createDataFrame(starts, "part long, start long")
+    return rows.join(F.broadcast(starts), "part").select("source", "source_size", (F.col("start") + F.col("at")).alias("turn"))
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, ceiling: int = CEILING) -> DataFrame:
     """(source, source_size) -> with `target`: the total of all sizes shared by
     weight, weights dealt in code-point order of the sources (null last) in
     turn, no target above `ceiling` times its source's size.
 
     Capping and resharing until none is above ends at one level L with target
-    min(ceiling * size, L * weight). The sources that are capped come first in
-    the order of ceiling * size / weight, so L follows from running sums. The
-    windows run over one row a source, not over documents.
+    min(ceiling * size, L * weight). Each round is one sum over the sources: the
+    level rises to what the sources capped at the last level leave for the others,
+    and stays when it caps no more. Sources are numbered in ranges of their names,
+    so that no task holds all of them.
     """
     turn = F.array(*[F.lit(int(w)) for w in weights])
-    by_name = Window.orderBy(F.col("source").isNull(), F.col("source"))
-    by_cap = Window.orderBy(F.col("cap") / F.col("weight"), "turn")
-    everything = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    before = by_cap.rowsBetween(Window.unboundedPreceding, -1)
-    out = (
-        sizes.withColumn("turn", F.row_number().over(by_name) - 1)
-        .withColumn("weight", turn[F.col("turn") % len(weights)])
-        .withColumn("cap", F.col("source_size") * ceiling)
-    )
-    out = out.withColumns(
-        {
-            "capped": F.coalesce(F.sum("cap").over(before), F.lit(0)),
-            "rest": F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0)),
-            "total": F.sum("source_size").over(everything),
-        }
-    ).withColumn("level", (F.col("total") - F.col("capped")) / F.col("rest"))
-    # the level is that of the first source, in this order, that its own share leaves below its cap
-    level = F.min(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.struct(F.col("cap") / F.col("weight"), "turn", "level")))
-    out = out.withColumn("chosen", level.over(everything)["level"])
-    return out.select(
-        "source",
-        "source_size",
-        F.coalesce(F.least(F.col("cap").cast("double"), F.col("chosen") * F.col("weight")), F.col("cap").cast("double")).alias("target"),
-    )
+    out = numbered_sources(sizes).withColumn("weight", turn[(F.col("turn") % len(weights)).cast("int")])
+    out = written(out.select("source", "source_size", "weight", (F.col("source_size") * ceiling).alias("cap")), "targets")
+    level, capped = 0.0, -1
+    while True:
+        full = F.col("cap") <= F.lit(level) * F.col("weight")
+        got = out.agg(
+            F.sum("source_size"), F.coalesce(F.sum(F.when(full, F.col("cap"))), F.lit(0)), F.sum(F.when(~full, F.col("weight"))), F.count(F.when(full, True))
+        ).first()
+        if got[2] is None or got[3] == capped:
+            break
+        capped, level = got[3], (got[0] - got[1]) / got[2]
+    # as doubles, a level that no source is above caps them all
+    target = F.col("cap").cast("double") if got[2] is None else F.least(F.col("cap").cast("double"), F.lit(level) * F.col("weight"))
+    return out.select("source", "source_size", target.alias("target"))
 
 
 def offset(source: Column) -> Column:
@@ -71,15 +79,16 @@ def offset(source: Column) -> Column:
     return F.conv(hexed, 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def systematic_copies(rows: DataFrame, splits: int = SPLITS) -> DataFrame:
+def systematic_copies(rows: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
     """rows (doc_id, size, source, tie) -> with source_size, target and `copies`.
 
-    Order within a source: size class (steps of 7 %), split of the id, id, tie.
-    Sizes in that order rise, so words taken stay near the target and not only
+    Order within a source: size class (steps of 7 %), split (a hash of id and
+    text, so null ids are dealt out too), id, tie. Sizes in that order rise, so words taken stay near the target and not only
     documents.
     """
     cells = rows.withColumn("klass", F.floor(10 * F.log2(F.col("size") + 1)).cast("int"))
-    cells = cells.withColumn("split", F.coalesce(F.pmod("doc_id", F.lit(splits)), F.lit(0)).cast("int"))
+    splits = -(-rows.count() // cell_rows) or 1
+    cells = cells.withColumn("split", F.pmod(F.xxhash64("doc_id", "tie"), F.lit(splits)).cast("int"))
     key = ["source", "klass", "split"]
     per_cell = cells.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("cell_size"))
     per_source = per_cell.groupBy("source").agg(F.sum("cell_size").alias("source_size"))
@@ -97,33 +106,34 @@ def systematic_copies(rows: DataFrame, splits: int = SPLITS) -> DataFrame:
     return out.select("r.*", "source_size", "target", copies.cast("long").alias("copies"))
 
 
-def mix_sources(docs: DataFrame, splits: int = SPLITS) -> DataFrame:
+def mix_sources(docs: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
     """What the mix takes of each document: doc_id, size, source_size, target,
     copies, taken (= copies x size).
 
     Nulls: a null text has size 0; a null source is a source of its own, after
-    all others; a null doc_id goes to split 0 and sorts first. A source whose
+    all others; a null doc_id sorts first. A source whose
     size is 0 has target 0 and takes nothing. Repeated rows are documents of
     their own; among rows with equal doc_id and size the text's hash decides,
     and rows equal in all of these are interchangeable. An empty table gives no
     rows. Other columns of docs are not read.
     """
     rows = docs.select("doc_id", word_count(F.col("text")).alias("size"), "source", F.xxhash64("text").alias("tie"))
-    out = systematic_copies(rows, splits)
+    out = systematic_copies(rows, cell_rows)
     return out.select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-def mixed_documents(docs: DataFrame, splits: int = SPLITS) -> DataFrame:
+def mixed_documents(docs: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
     """The mix itself: every document as often as it is taken, columns as given.
 
     Rows equal in doc_id, source, size and text hash are one document here, with
-    the copies of all of them.
+    the copies of all of them. Nulls are as in mix_sources(); columns may have any
+    name; an empty table gives no rows.
     """
     tie = F.xxhash64("text")
     size = word_count(F.col("text"))
     rows = docs.select("doc_id", size.alias("size"), "source", tie.alias("tie"))
-    takes = systematic_copies(rows, splits).groupBy("doc_id", "source", "size", "tie").agg(F.sum("copies").alias("copies"))
-    keyed = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", size.alias("size"), tie.alias("tie"))
+    takes = systematic_copies(rows, cell_rows).groupBy("doc_id", "source", "size", "tie").agg(F.sum("copies").alias("copies"))
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "source", size.alias("size"), tie.alias("tie"))
     # one row for each distinct document carries all its copies
     keyed = keyed.dropDuplicates(["doc_id", "source", "size", "tie"])
     on = [F.col(f"d.{c}").eqNullSafe(F.col(f"t.{c}")) for c in ("doc_id", "source", "size", "tie")]
