@@ -1,11 +1,14 @@
 """Toxicity by weak supervision.
 
 Voters mark texts: lexicon voters hold one insult each, pattern voters a word
-stem that labelled toxic texts share, and in how many different words of a text
-it must be. A generative model of the votes, fitted
-by expectation maximisation without labels, estimates how often each voter
-fires in toxic and in clean texts, and how strongly voters move together given
-the class; a voter's evidence is divided among those it moves with. Its
+stem in 1, 2 .. LEVELS different words of a text. Pattern voters are chosen on
+the labelled texts of the training part: those that labelled toxic texts share
+and clean ones hardly have. No label goes further than that choice.
+
+A generative model of the votes, fitted by expectation maximisation without
+labels, estimates how often each voter fires in clean texts and in each of up to
+KINDS kinds of toxic ones, and the correlation of each two voters, overall and
+given the kind; voters that move together share one voter's evidence. It starts from the votes alone. Its
 posteriors are the targets of a logistic regression over stems and words, which
 scores every text.
 
@@ -25,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textblocks as tb
+from .scratch import written
 
 #: Words of the lexicon voters.
 LEXICON = (
@@ -35,12 +39,15 @@ MAX_LABELLED = 20_000
 #: Bytes of a stem, which is a proper beginning of a word; a feature is a stem in 1, 2 .. LEVELS different words.
 STEMS = (4, 5, 6, 7)
 LEVELS = 3
-MAX_VOTERS, MAX_FEATURES, MAX_CANDIDATES = 256, 512, 50_000
+#: Size of the models, whatever the data: voters of the label model, features of the classifier.
+MAX_VOTERS, MAX_FEATURES = 256, 512
 #: A stem must be in so many labelled toxic texts (and half the square root of
 #: their number), with at least this likelihood ratio statistic and share of toxic texts.
 LEAST_TEXTS, LEAST_RATIO, LEAST_SHARE = 3, 11.0, 0.85
-#: From this correlation on, given the class, voters share their evidence.
-CORRELATED = 0.5
+#: From this correlation on voters share their evidence: given the class, and overall, where only copies are so near.
+CORRELATED, COPIED = 0.5, 0.9
+#: Kinds of toxic texts that the label model can tell apart: voters of one kind rest where another kind is.
+KINDS = 8
 _WHOLE = np.uint64(0x27D4EB2F165667C5)
 
 
@@ -156,30 +163,74 @@ def _ratio(bad: np.ndarray, good: np.ndarray, n_bad: int, n_good: int) -> np.nda
     return np.where(bad * n_good > good * n_bad, 2 * g, 0)
 
 
-def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 25) -> np.ndarray:
-    """Posteriors of rows from votes (0/1; texts x voters), started from rough guesses.
+@dataclass
+class LabelModel:
+    """Share of texts of each kind, the last being the clean ones; how often each
+    voter fires in them (voters x kinds); correlation of each two voters given the
+    kind; each one's share of the evidence of the voters it moves with."""
+
+    rates: np.ndarray
+    fires: np.ndarray
+    correlation: np.ndarray
+    share: np.ndarray
+
+    @property
+    def toxic(self) -> np.ndarray:
+        return self.fires[:, :-1] @ self.rates[:-1] / self.rates[:-1].sum()
+
+    @property
+    def clean(self) -> np.ndarray:
+        return self.fires[:, -1]
+
+    def kinds(self, votes: np.ndarray) -> np.ndarray:
+        rests = np.log(1 - self.fires) * self.share[:, None]
+        odds = np.log(self.rates) + rests.sum(axis=0) + votes @ (np.log(self.fires) * self.share[:, None] - rests)
+        odds = np.exp(odds - odds.max(axis=1, keepdims=True))
+        return odds / odds.sum(axis=1, keepdims=True)
+
+    def posteriors(self, votes: np.ndarray) -> np.ndarray:
+        return 1 - self.kinds(votes)[:, -1]
+
+
+def _correlations(centred: np.ndarray) -> np.ndarray:
+    cov = centred.T @ centred / max(len(centred), 1)
+    sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
+    out = cov / np.outer(sd, sd)
+    np.fill_diagonal(out, 0)
+    return out
+
 
-    Expectation maximisation over class rate and each voter's firing rates. A
-    voter that does not fire abstains; texts in which none fires have the vote
-    of one more voter, for the clean class. A voter's log odds are divided by
-    one plus its strong correlations, given the class, with the others.
+def label_model(votes: np.ndarray, rounds: int = 25) -> LabelModel:
+    """Fitted to votes (0/1; texts x voters) alone, by expectation maximisation.
+
+    Voters are taken to fire more in toxic texts: the first guess of a text is how
+    many fire in it, a group of copies being one voter, against the mean of all
+    texts. Kinds start as the texts of the voter that fires most in what no kind
+    has yet. That a voter rests is evidence as well. A voter's log odds are divided
+    by one plus its strong correlations with the others.
     """
-    n = len(votes)
-    votes = np.hstack([votes, ~votes.any(axis=1, keepdims=True)]).astype(np.float64)
-    p = start.astype(np.float64)
+    votes = votes.astype(np.float64)
+    n, overall = len(votes), _correlations(votes - votes.mean(axis=0))
+    copies = np.where(overall >= COPIED, overall, 0.0)
+    fired = votes @ (1 / (1 + copies.sum(axis=1)))
+    guess = (fired / max(fired.mean(), 1e-9)) ** 2
+    left = np.clip(guess / (guess + 1), 0.01, 0.99)
+    parts: list[np.ndarray] = []
+    while len(parts) < KINDS:
+        own = left * votes[:, np.argmax(left @ votes)]
+        if parts and own.sum() < max(5, n**0.5 / 8):
+            break
+        parts.append(own)
+        left = left - own
+    part = np.stack([*parts, 1 - np.sum(parts, axis=0)], axis=1)
     for _ in range(rounds):
-        rate = (p.sum() + 1) / (n + 2)
-        one = (votes.T @ p + 0.02) / (p.sum() + 1)
-        none = (votes.T @ (1 - p) + 0.02) / (n - p.sum() + 1)
-        centred = votes - np.outer(p, one) - np.outer(1 - p, none)
-        cov = centred.T @ centred / max(n, 1)
-        sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
-        moved = cov / np.outer(sd, sd)
-        moved[moved < CORRELATED] = 0
-        np.fill_diagonal(moved, 0)
-        odds = np.log(rate / (1 - rate)) + votes @ (np.log(one / none) / (1 + moved.sum(axis=1)))
-        p = 1 / (1 + np.exp(-np.clip(odds, -50, 50)))
-    return p
+        rates = (part.sum(axis=0) + 1) / (n + part.shape[1])
+        fires = np.minimum((votes.T @ part + 0.02) / (part.sum(axis=0) + 1), 0.999)
+        given = _correlations(votes - part @ fires.T)
+        share = 1 / (1 + np.maximum(np.where(given >= CORRELATED, given, 0.0), copies).sum(axis=1))
+        model = LabelModel(rates, fires, given, share)
+        part = model.kinds(votes)
+    return model
 
 
 def fit_linear(x: np.ndarray, target: np.ndarray, steps: int = 300, rate: float = 0.5, decay: float = 1e-4) -> tuple[np.ndarray, float]:
@@ -226,16 +277,16 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Score
     if not n_bad or n_bad == len(ids):
         return _lexicon_scorer(lexicon)
     chosen = spark.createDataFrame(ids, "doc_id long, toxic int")
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic")
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    # one text an id, so that what is fitted on is as many texts as ids
+    texts = written(texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")), "labelled")
 
     least = max(LEAST_TEXTS, int(n_bad**0.5 / 2))
-    rows = _stem_counts(texts.where("toxic = 1"), None).where(F.col("bad") >= least)
-    rows = rows.groupBy("feature").agg(F.max("bad").alias("bad")).orderBy(F.desc("bad"), "feature").limit(MAX_CANDIDATES)
-    stems = np.array([r["feature"] for r in rows.collect()], np.int64).view(np.uint64)
-    counted = _stem_counts(texts, np.unique(np.concatenate([stems, lexicon]))).collect()  # LEVELS * MAX_CANDIDATES rows at most
-    key = np.array([r["feature"] for r in counted], np.int64).view(np.uint64)
-    level = np.array([r["level"] for r in counted], np.int64)
-    bad, good = (np.array([r[k] for r in counted], np.int64) for k in ("bad", "good"))
+    rows = _stem_counts(texts.where("toxic = 1"), None).where(F.col("bad") >= least).select("feature").distinct()
+    stems = np.sort(rows.toArrow().column("feature").to_numpy()).view(np.uint64)  # of the bounded sample's texts
+    counted = _stem_counts(texts, np.unique(np.concatenate([stems, lexicon]))).toArrow()  # LEVELS rows a stem at most
+    key = counted.column("feature").to_numpy().view(np.uint64)
+    level, bad, good = (counted.column(k).to_numpy().astype(np.int64) for k in ("level", "bad", "good"))
     ratio = _ratio(bad, good, n_bad, len(ids) - n_bad)
     ratio[(bad < least) | (bad < LEAST_SHARE * (bad + good)) | np.isin(key, lexicon)] = 0
     best = np.lexsort((level, key, -ratio))
@@ -261,9 +312,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Score
         own = column[r["at"]]
         x[i, own[own >= 0]] = 1
     votes = x[:, :MAX_VOTERS]  # the lexicon, then the stems from the best on
-    toxic = dict(ids)
-    guess = np.array([0.05 + 0.9 * toxic[r["doc_id"]] for r in marked])
-    fitted, constant = fit_linear(x, label_model(votes, guess))
+    votes = votes > 0
+    fitted, constant = fit_linear(x, label_model(votes).posteriors(votes))
     weights = np.zeros(len(known) * LEVELS)
     weights[columns] = fitted
     return Scorer(known, weights, constant)
@@ -294,7 +344,12 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def clean_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that are not predicted toxic, columns as given."""
+    """The documents that are not predicted toxic, columns as given.
+
+    Texts without words and null texts score as such a text does, below half;
+    null ids and repeated rows are judged each by its text. An empty table gives
+    no rows, and without labels the lexicon alone judges.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
     at = docs.columns.index("text")
 
