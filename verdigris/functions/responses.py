@@ -8,34 +8,76 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Openings of a refusal, looked for in the first REFUSAL_WINDOW characters.
-REFUSALS = ("i cannot", "i can't", "i am unable", "i'm unable", "as an ai", "i'm sorry", "i am sorry", "ขออภัย", "ไม่สามารถ")
+#: What a refusal says in its first REFUSAL_WINDOW characters.
+REFUSALS = (
+    "i'm sorry",
+    "i am sorry",
+    "i cannot",
+    "i can't",
+    "i won't",
+    "i'm unable",
+    "i am unable",
+    "unable to assist",
+    "unable to provide",
+    "cannot assist",
+    "cannot comply",
+    "as an ai",
+    "as a language model",
+    "ขออภัย",
+    "ขอโทษ",
+    "ไม่สามารถ",
+)
 REFUSAL_WINDOW = 200
-_FENCE = re.compile(r"^\s*```[^\n]*\n(?P<body>.*?)(?:```\s*)?$", re.S)
+_BRACE_OR_STRING = re.compile(r'"(?:[^"\\]|\\.)*"?|[{}]', re.S)
+
+
+def without_mark(text: str) -> str:
+    return text.removeprefix("\ufeff")
+
+
+def unfenced(text: str) -> str:
+    """The body of a code fence that the text starts with, closed or not."""
+    head, line, body = text.strip().partition("\n")
+    if not head.startswith("```") or not line:
+        return text
+    return (body.rpartition("```")[0] if "```" in body else body).strip()
+
+
+def first_object(text: str) -> str:
+    """From the first brace to the one that closes it; a cut-off object is no object, nor is one inside it."""
+    start, depth = text.find("{"), 0
+    for token in _BRACE_OR_STRING.finditer(text, start) if start >= 0 else ():
+        depth += {"{": 1, "}": -1}.get(token[0], 0)
+        if not depth:
+            return text[start : token.end()]
+    return text
+
+
+REPAIRS = (("bom", without_mark), ("fence", unfenced), ("prose", first_object))
 
 
 def read_object(text: str) -> tuple[object, list[str]] | None:
-    """The JSON value of a response and the repairs it took: a byte order mark or a
-    code fence taken off, or the first complete object out of the prose around it."""
-    repairs = []
-    if text.startswith("﻿"):
-        text, repairs = text[1:], ["bom"]
-    fenced = _FENCE.match(text)
-    for body, step in ((text.strip(), []), (fenced["body"].strip() if fenced else None, ["fence"])):
-        if body:
-            try:
-                return json.loads(body), repairs + step
-            except ValueError:
-                pass
-    reader, at = json.JSONDecoder(), text.find("{")
-    while at >= 0:
+    """The JSON value of a response and the repairs it took, each on top of those before."""
+    taken: list[str] = []
+    for name, repair in (("", str), *REPAIRS):
+        mended = repair(text)
+        if name and mended.strip() == text.strip() and name != "bom" or name == "bom" and mended == text:
+            continue
+        text = mended
+        taken += [name] if name else []
         try:
-            return reader.raw_decode(text, at)[0], [*repairs, "prose"]
+            return json.loads(text), taken
         except ValueError:
-            at = text.find("{", at + 1)
+            pass
     return None
 
 
+def refuses(text: str) -> bool:
+    """Of a text without a JSON value: whether it opens as a refusal. What opens as an object declines nothing."""
+    head = text.strip()[:REFUSAL_WINDOW].lower()
+    return not head.startswith("{") and any(r in head for r in REFUSALS)
+
+
 _KIND = T.StructType([T.StructField("kind", T.StringType()), T.StructField("keys", T.ArrayType(T.StringType())), T.StructField("repairs", T.ArrayType(T.StringType()))])
 
 
@@ -48,8 +90,7 @@ def parsed(text: pd.Series) -> pd.DataFrame:
         if found is not None:
             value, repairs = found
             return ("object", sorted(value), repairs) if isinstance(value, dict) else ("other", [], repairs)
-        head = (t or "")[:REFUSAL_WINDOW].lower()
-        return ("refusal" if any(r in head for r in REFUSALS) else "none", [], [])
+        return ("refusal" if refuses(t or "") else "none", [], [])
 
     return pd.DataFrame([one(t) for t in text], columns=["kind", "keys", "repairs"])
 

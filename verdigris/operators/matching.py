@@ -20,16 +20,23 @@ def bounded(df: DataFrame, most: int = MAX_BROADCAST_ROWS) -> DataFrame:
 
 
 def either_key_join(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]], left_id: str, right_id: str) -> DataFrame:
-    """(left_id, right_id) pairs that agree on any of the key pairs, once each.
+    """(left_id, right_id) pairs that agree on any of the key pairs, once each, of
+    rows that these ids identify.
 
     A condition with OR would be a nested loop; this is one equality join a key
-    pair, unioned. Null and blank keys match nothing.
+    pair, unioned. A later join leaves out what an earlier one has found, so the
+    pairs need no distinct. Null and blank keys match nothing.
     """
     out = None
-    for a, b in pairs:
-        one = left.select(left_id, F.col(a).alias("_a")).join(right.select(right_id, F.col(b).alias("_b")), F.col("_a") == F.col("_b")).where(F.trim("_a") != "").select(left_id, right_id)
+    a = left.select(F.col(left_id), *[F.col(x).alias(f"_a{k}") for k, (x, _) in enumerate(pairs)])
+    b = right.select(F.col(right_id), *[F.col(y).alias(f"_b{k}") for k, (_, y) in enumerate(pairs)])
+    for k in range(len(pairs)):
+        one = a.where(F.trim(f"_a{k}") != "").join(b, F.col(f"_a{k}") == F.col(f"_b{k}"))
+        for j in range(k):
+            one = one.where(~F.coalesce((F.col(f"_a{j}") == F.col(f"_b{j}")) & (F.trim(f"_a{j}") != ""), F.lit(False)))
+        one = one.select(left_id, right_id)
         out = one if out is None else out.unionByName(one)
-    return out.distinct()
+    return out
 
 
 def left_with_either(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]], left_id: str, right_id: str) -> DataFrame:
@@ -44,7 +51,7 @@ def similar_names(names: DataFrame, master: DataFrame, name: str, key: str, leas
     Similarity is computed once for each pair of distinct texts that can reach
     the threshold: with m common bytes at most min(len), Jaro is at most
     (2 + short / long) / 3 and Winkler adds 0.4 of the rest, so pairs of very
-    different lengths, and pairs without a common byte set, are not compared.
+    different lengths are not compared.
     The distinct texts of the smaller side are broadcast after a count.
     """
     a = names.select(F.col(name).alias("a")).where("a is not null and a <> ''").distinct().withColumn("la", F.octet_length("a"))

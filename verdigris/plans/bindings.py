@@ -60,12 +60,12 @@ select user_id * 100 + event_id % 3 as req_id, event_id, event_type as class, ev
   case when event_type = 'click' then null else value / 10 end as ttft_s, event_id % 300 as completion_tokens
 from {events}""",
     "ext": """
-select o_orderkey as er_id, o_custkey % 50 as company, case when o_orderkey % 9 = 0 then ' ' else 'IV' || cast(o_orderkey % 400 as string) end as invoice,
+select o_orderkey as er_id, o_custkey as company, case when o_orderkey % 9 = 0 then ' ' else 'IV' || cast(o_orderkey as string) end as invoice,
   cast(floor(o_totalprice) as bigint) % 1000 as vat, o_orderdate as doc_date, o_orderkey % 6 as scenario, o_orderpriority as remark, o_custkey % 5 = 0 as issue, o_orderkey % 7 = 0 as copied
-from {orders} where o_orderkey % 5 = 0""",
+from {orders}""",
     "ledger": """
-select l_orderkey * 10 + l_linenumber as z_id, min(l_suppkey) % 50 as company, 'IV' || cast(min(l_partkey) % 400 as string) as invoice, cast(floor(min(l_extendedprice)) as bigint) % 1000 as vat,
-  min(l_shipdate) as clear_date, min(l_partkey) % 100 as payment_doc from {lineitem} where l_orderkey % 5 = 1 group by l_orderkey * 10 + l_linenumber""",
+select l_orderkey * 10 + l_linenumber as z_id, min(l_suppkey) as company, 'IV' || cast(min(l_partkey) as string) as invoice, cast(floor(min(l_extendedprice)) as bigint) % 1000 as vat,
+  min(l_shipdate) as clear_date, min(l_partkey) % 100 as payment_doc from {lineitem} group by l_orderkey * 10 + l_linenumber""",
     "texts": """
 select doc_id, substr(text, 1, 120) as ref, replace(substr(text, 4, 120), 'the', 'teh') as hyp, doc_id % 4 as family
 from {documents} where doc_id % 3 = 0 and length(text) > 10 and bit_length(substr(text, 1, 130)) = 8 * length(substr(text, 1, 130))""",

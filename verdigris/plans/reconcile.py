@@ -26,8 +26,10 @@ def both(name: str, sql: str, *frames: str) -> None:
     QUERIES[name] = run_sql(sql, *frames)
 
 
-_CAND = """c as (select e.*, l.z_id, l.company as z_company, l.invoice as z_invoice, l.vat as z_vat, l.clear_date, l.payment_doc from {ext} as e
-  left join {ledger} as l on e.company = l.company or (trim(e.invoice) <> '' and e.invoice = l.invoice))"""
+_CAND = """k as (select e.er_id, l.z_id from {ext} as e join {ledger} as l on e.company = l.company
+  union select e.er_id, l.z_id from {ext} as e join {ledger} as l on trim(e.invoice) <> '' and e.invoice = l.invoice),
+c as (select e.*, l.z_id, l.company as z_company, l.invoice as z_invoice, l.vat as z_vat, l.clear_date, l.payment_doc from {ext} as e
+  left join k on e.er_id = k.er_id left join {ledger} as l on k.z_id = l.z_id)"""
 
 
 @query("j09_either_key", f"with {_CAND} select er_id, z_id from c", "ext", "ledger")

@@ -77,7 +77,7 @@ s as (select item_id, arm, n >= 2 and distinct_values = 1 as stable from a)
 select count_if(x.stable and y.stable) as both_right, count_if(x.stable and not y.stable) as inc_only, count_if(not x.stable and y.stable) as cand_only, count_if(not x.stable and not y.stable) as both_wrong
 from s as x join s as y on x.item_id = y.item_id and x.arm = 0 and y.arm = 1""", "runs")
 both("c17_reliability", "select event_type, count(*) as calls, count_if(outcome = 'ok') as ok, count_if(outcome = 'ok') >= 0.99 * count(*) as reliable, count_if(completion_tokens is null) as no_usage from {runs} as r group by event_type", "runs")
-both("c20_call_budget", "select count(distinct item_id) * max(replicate) as calls, max_by(event_type, cost) as dearest, round(max(cost), 4) as price from {runs} as r", "runs")
+both("c20_call_budget", "select count(distinct item_id) * max(replicate) as calls, max_by(event_type, (coalesce(cost, -1), -event_id)) as dearest, round(max(cost), 4) as price from {runs} as r", "runs")
 
 _FINAL = """f as (select * from {requests} as r qualify row_number() over (partition by req_id order by attempt desc, event_id desc) = 1)"""
 
