@@ -12,21 +12,29 @@ same offset, so they meet in the sample in the same way, with a third of the
 positions. A sample suffix's bucket is its first KMER bytes.
 
 1. A sample suffix covers a run of windows, those whose least hash it is; the
-   run's bytes have a name (a 64-bit hash). Suffixes are dealt out by bucket
+   run's bytes have a name (a 56-bit hash). Suffixes are dealt out by bucket
    and sorted by name and document. A run whose name came before in the bucket,
    from a smaller document, is repeated whole: the long tie is resolved by the
    name. If a bucket holds several names, the first run of each is undecided.
 2. The windows of undecided runs, a few hundredths of all, are suffixes of
-   their own, dealt out and sorted by the hash of their 50 bytes and document;
+   their own, dealt out and sorted by a 96-bit hash of their 50 bytes and document;
    all but those of the smallest document are repeated.
 
-Documents get their marks by id and cut themselves. Only hashes and positions
-are sorted; texts move twice, to meet their marks.
+Only the least document of a name or window can leave the others undecided. So a
+task settles its own rows first: what a smaller document of the same task has is
+repeated, and is dealt out anywhere; of the rest each name goes out once a task,
+with a mark if its document has it at several places. However often a string
+stands in a corpus, no task gets more of it than there are tasks.
+
+Documents get their marks by id, find the other places of marked strings among
+their own bytes, and cut themselves. Only hashes and positions are sorted; texts
+move twice, to meet their marks. Hashes are salted anew in every run.
 """
 
 from __future__ import annotations
 
 import hashlib
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,35 +43,45 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textblocks as tb
-from .scratch import freed, written
+from .scratch import written
 
 LENGTH = 50
 KMER = 24
 _NAME_BITS = np.uint64((1 << 24) - 1)
-_AT = 1 << 31
+#: A place: 2**31 * start + windows; that the document has the string elsewhere too; that it is settled.
+_AT, _MORE, _SETTLED = 1 << 31, 1 << 61, 1 << 62
+_PLACE = _MORE - 1
+#: Rows that a task settles among themselves at a time.
+CHUNK = 1 << 20
+_LOW = np.int64(0xFFFFFFFF)
+
+
+def new_salt() -> int:
+    return int.from_bytes(os.urandom(8), "little")
 
 
 class Hashes:
     """Hashes of byte strings of a block."""
 
-    def __init__(self, data: np.ndarray):
+    def __init__(self, data: np.ndarray, salt: int):
         n = len(data)
         up, self.down = tb.powers(n + 1)
+        codes = tb.mix(tb._BYTE + np.array([salt], np.uint64))
         self.run = np.zeros(n + 1, np.uint64)
-        np.cumsum(tb._BYTE[data] * up[:n], dtype=np.uint64, out=self.run[1:])
+        np.cumsum(codes[data] * up[:n], dtype=np.uint64, out=self.run[1:])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return tb.mix((self.run[end] - self.run[start]) * self.down[start] + (end - start).astype(np.uint64) * tb._BASE)
 
 
-def runs(block: tb.Block, length: int = LENGTH, kmer: int = KMER) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def runs(block: tb.Block, salt: int, length: int = LENGTH, kmer: int = KMER) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Runs of windows with one least hash: document, first and last window's
     start (in the block), that hash (the bucket), name of the run's bytes."""
     n = len(block.data)
     none = np.zeros(0, np.int64)
     if n < length:
         return none, none, none, none.view(np.uint64), none.view(np.uint64)
-    hashes = Hashes(block.data)
+    hashes = Hashes(block.data, salt)
     at = np.arange(n - kmer + 1)
     least, span, wide = hashes.of(at, at + kmer), 1, length - kmer + 1
     while 2 * span <= wide:
@@ -89,45 +107,81 @@ def text_tags(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.hash(text).alias("tag"), text.alias("text"))
 
 
-def sample_suffixes(tagged: DataFrame, length: int, kmer: int) -> DataFrame:
-    """key, name, doc_id, tag, at: the runs of all documents. A key is 40 bits
-    of the bucket's hash and 24 of the name's, so rows are few bytes; `name` is
-    32 bits more of the name. `at` is 2**31 * start + windows."""
+_ROWS = "key long, mark long, doc_id long, at long"
+
+
+def settle(key: np.ndarray, mark: np.ndarray, ids: pa.Array, at: np.ndarray) -> pa.RecordBatch:
+    """Rows of strings (key, and the upper half of mark; the lower is the text's tag)
+    -> what other tasks need of them: strings of larger documents settled, under
+    keys that spread them; of the least document one row a text, marked if there were more."""
+    doc = _ids(ids)
+    order = np.argsort(key, kind="stable")
+    name = mark >> 32
+    if ((key[order[1:]] == key[order[:-1]]) & (name[order[1:]] != name[order[:-1]])).any():
+        order = np.lexsort((name, key))
+    k, m = key[order], name[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (k[1:] != k[:-1]) | (m[1:] != m[:-1])
+    group = np.cumsum(new) - 1
+    least = np.minimum.reduceat(doc[order], np.flatnonzero(new)) if len(order) else doc
+    settled = np.zeros(len(order), bool)
+    settled[order] = doc[order] > least[group]
+    left = order[~settled[order]]
+    of, tag = group[~settled[order]], mark[left] & _LOW
+    by = np.lexsort((tag, of))
+    first = np.ones(len(by), bool)
+    first[1:] = (of[by[1:]] != of[by[:-1]]) | (tag[by[1:]] != tag[by[:-1]])
+    times = np.diff(np.append(np.flatnonzero(first), len(by)))
+    one = left[by[first]]
+    gone = np.flatnonzero(settled)
+    spread = tb.mix(doc[gone].view(np.uint64) * tb._BASE + at[gone].view(np.uint64)).view(np.int64)
+    take = np.concatenate([one, gone])
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(np.concatenate([key[one].view(np.int64), spread])),
+            pa.array(mark[take]),
+            ids.take(pa.array(take)),
+            pa.array(np.concatenate([at[one] | np.where(times > 1, _MORE, 0), at[gone] | _SETTLED])),
+        ],
+        ["key", "mark", "doc_id", "at"],
+    )
+
+
+def _chunks(parts: Iterator[tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    held, size = [], 0
+
+    def done() -> pa.RecordBatch:
+        key, mark, at = (np.concatenate([h[i] for h in held]) for i in (0, 1, 3))
+        return settle(key, mark, pa.concat_arrays([h[2] for h in held]), at)
+
+    for part in parts:
+        held.append(part)
+        size += len(part[0])
+        if size >= CHUNK:
+            yield done()
+            held, size = [], 0
+    if held:
+        yield done()
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _mark(name: np.ndarray, tag: pa.Array) -> np.ndarray:
+    """32 bits of a name above the tag."""
+    return ((name >> np.uint64(32)).astype(np.int64) << 32) | (tag.to_numpy(zero_copy_only=False).astype(np.int64) & _LOW)
+
+
+def sample_suffixes(tagged: DataFrame, salt: int, length: int, kmer: int) -> DataFrame:
+    """The runs of all documents. A key is 40 bits of the bucket's hash and 24 of
+    the name's, so rows are few bytes; the mark has 32 bits more of the name."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
             for block in tb.blocks(batch.column(2)):
-                doc, lo, hi, bucket, name = runs(block, length, kmer)
+                doc, lo, hi, bucket, name = runs(block, salt, length, kmer)
                 take = pa.array(doc + block.lo)
                 key = (tb.mix(bucket) & ~_NAME_BITS) | (name & _NAME_BITS)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(key.view(np.int64)),
-                        pa.array((name >> np.uint64(32)).astype(np.uint32).view(np.int32)),
-                        batch.column(0).take(take),
-                        batch.column(1).take(take),
-                        pa.array((lo - block.offsets[doc]) * _AT + hi - lo + 1),
-                    ],
-                    ["key", "name", "doc_id", "tag", "at"],
-                )
-
-    return tagged.where(F.octet_length("text") >= length).mapInArrow(cut, "key long, name int, doc_id long, tag int, at long")
-
+                yield key, _mark(name, batch.column(1).take(take)), batch.column(0).take(take), (lo - block.offsets[doc]) * _AT + hi - lo + 1
 
-def _whole_keys(batches: Iterator[pa.RecordBatch], mask: np.uint64) -> Iterator[pa.RecordBatch]:
-    """The rows of sorted batches again, as batches with all rows of each key (the first column)."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        key = batch.column(0).to_numpy().view(np.uint64) & mask
-        cut = int(np.argmax(key == key[-1]))  # sorted: the last key's rows are at the end
-        if cut:
-            yield from pa.Table.from_batches([*held, batch.slice(0, cut)]).combine_chunks().to_batches()
-            held = []
-        held.append(batch.slice(cut))
-    if held:
-        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+    return tagged.where(F.octet_length("text") >= length).mapInArrow(lambda b: _chunks(cut(b)), _ROWS)
 
 
 def _ids(column: pa.Array) -> np.ndarray:
@@ -135,55 +189,99 @@ def _ids(column: pa.Array) -> np.ndarray:
     return column.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
 
 
+def _out(batch: pa.RecordBatch, rows: np.ndarray, repeated: np.ndarray) -> pa.RecordBatch:
+    """doc_id, tag, at, decided of some rows."""
+    take = pa.array(rows)
+    tag = (batch.column(1).to_numpy()[rows] & _LOW).astype(np.uint32).view(np.int32)
+    return pa.RecordBatch.from_arrays([batch.column(2).take(take), pa.array(tag), pa.array(batch.column(3).to_numpy()[rows] & ~np.int64(_SETTLED)), pa.array(repeated[rows])], ["doc_id", "tag", "at", "decided"])
+
+
+class _Names:
+    """First documents of names in sorted batches, each carried over to the next batch."""
+
+    def __init__(self) -> None:
+        self.key, self.name, self.doc = None, None, 0
+
+    def firsts(self, key: np.ndarray, name: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether a row begins a name, and the document with which its name began."""
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (name[1:] != name[:-1])
+        new[0] = self.key != key[0] or self.name != name[0]
+        at = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
+        first = np.where(at < 0, self.doc, doc[np.maximum(at, 0)])
+        self.key, self.name, self.doc = key[-1], name[-1], first[-1]
+        return new, first
+
+
 def scan_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted sample suffixes -> doc_id, tag, at, decided (repeated) or not."""
-    for batch in _whole_keys(batches, ~_NAME_BITS):
-        key, name = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
+    """Sorted sample suffixes -> doc_id, tag, at, decided (repeated) or not.
+
+    Held from batch to batch are the last bucket's names and documents so far (one,
+    or several) and, until both are several, the first run of what it has.
+    """
+    known = _Names()
+    bucket_of, names, low, high, waiting = None, 0, 0, 0, []
+    for batch in batches:
+        settled = (batch.column(3).to_numpy() & _SETTLED) != 0
+        if settled.any():
+            yield _out(batch, np.flatnonzero(settled), settled)
+            batch = batch.filter(pa.array(~settled))
+        if not batch.num_rows:
+            continue
+        key, name, doc = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy() >> 32, _ids(batch.column(2))
         bucket = key & ~_NAME_BITS
-        doc = _ids(batch.column(2))
-        new_bucket = np.ones(len(bucket), bool)
-        new_bucket[1:] = bucket[1:] != bucket[:-1]
-        new_name = np.ones(len(bucket), bool)
-        new_name[1:] = (key[1:] != key[:-1]) | (name[1:] != name[:-1])
-        first = doc[np.maximum.accumulate(np.where(new_name, np.arange(len(doc)), 0))]
+        new, first = known.firsts(key, name, doc)
         repeated = doc > first
-        of = np.cumsum(new_bucket) - 1
-        starts = np.flatnonzero(new_bucket)
-        names = np.add.reduceat(new_name.astype(np.int64), starts)
-        several = np.maximum.reduceat(doc, starts) != np.minimum.reduceat(doc, starts)
-        open_ = ~repeated & ((names > 1) & several)[of]
-        keep = pa.array(np.flatnonzero(repeated | open_))
-        yield pa.RecordBatch.from_arrays([*[batch.column(k).take(keep) for k in (2, 3, 4)], pa.array(repeated).take(keep)], ["doc_id", "tag", "at", "decided"])
-
-
-def open_windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """(doc_id, tag, text, marks) -> hash, doc_id, tag, at of every window of the marked runs."""
+        starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+        of = np.cumsum(np.concatenate([[True], bucket[1:] != bucket[:-1]])) - 1
+        many, least, most = np.add.reduceat(new.astype(np.int64), starts), np.minimum.reduceat(doc, starts), np.maximum.reduceat(doc, starts)
+        if bucket[0] == bucket_of:
+            many[0], least[0], most[0] = many[0] + names, min(least[0], low), max(most[0], high)
+        else:
+            waiting = []
+        several = (many > 1) & (least != most)
+        if several[0]:
+            yield from waiting
+            waiting = []
+        yield _out(batch, np.flatnonzero(repeated | several[of]), repeated)
+        if len(starts) > 1:
+            waiting = []
+        bucket_of, names, low, high = bucket[-1], many[-1], least[-1], most[-1]
+        if not several[-1]:
+            waiting.append(_out(batch, np.flatnonzero(~repeated & (of == of[-1])), repeated))
+
+
+def open_windows(batches: Iterator[pa.RecordBatch], salt: int, length: int) -> Iterator[tuple]:
+    """(doc_id, tag, text, marks) -> every window of the marked runs."""
     for batch in batches:
         marks = batch.column(3)
         for block in tb.blocks(batch.column(2)):
-            hashes = Hashes(block.data)
+            hashes, others = Hashes(block.data, salt), Hashes(block.data, salt ^ 1)
             own = marks.slice(block.lo, block.n)
             many = own.value_lengths().to_numpy(zero_copy_only=False)
-            first, count = np.divmod(own.flatten().to_numpy(), _AT)
+            places = own.flatten().to_numpy()
+            first, count = np.divmod(places & _PLACE, _AT)
             doc = np.repeat(np.repeat(np.arange(block.n), many), count)
             start = np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
             there = start + block.offsets[doc]
             take = pa.array(doc + block.lo)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(hashes.of(there, there + length).view(np.int64)), batch.column(0).take(take), batch.column(1).take(take), pa.array(start * _AT + 1)],
-                ["hash", "doc_id", "tag", "at"],
-            )
+            key, name = (h.of(there, there + length) for h in (hashes, others))
+            yield key, _mark(name, batch.column(1).take(take)), batch.column(0).take(take), start * _AT + 1 | np.repeat(places & _MORE, count)
 
 
 def scan_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted windows -> doc_id, tag, at of the repeated ones."""
-    for batch in _whole_keys(batches, ~np.uint64(0)):
-        key, doc = batch.column(0).to_numpy(), _ids(batch.column(1))
-        new = np.ones(len(key), bool)
-        new[1:] = key[1:] != key[:-1]
-        first = doc[np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))]
-        keep = pa.array(np.flatnonzero(doc > first))
-        yield pa.RecordBatch.from_arrays([batch.column(k).take(keep) for k in (1, 2, 3)], ["doc_id", "tag", "at"])
+    known = _Names()
+    for batch in batches:
+        settled = (batch.column(3).to_numpy() & _SETTLED) != 0
+        if settled.any():
+            yield _out(batch, np.flatnonzero(settled), settled)
+            batch = batch.filter(pa.array(~settled))
+        if batch.num_rows:
+            doc = _ids(batch.column(2))
+            _, first = known.firsts(batch.column(0).to_numpy(), batch.column(1).to_numpy() >> 32, doc)
+            repeated = doc > first
+            yield _out(batch, np.flatnonzero(repeated), repeated)
 
 
 def _with_marks(tagged: DataFrame, marks: DataFrame, how: str) -> DataFrame:
@@ -193,28 +291,36 @@ def _with_marks(tagged: DataFrame, marks: DataFrame, how: str) -> DataFrame:
     return out.select("doc_id", "tag", "text", F.coalesce("marks", F.array().cast("array<long>")).alias("marks"))
 
 
-def decided_runs(tagged: DataFrame, length: int, kmer: int) -> DataFrame:
-    parts = int(tagged.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bucket = F.shiftrightunsigned("key", 24)
-    suffixes = sample_suffixes(tagged, length, kmer).repartition(parts, bucket).sortWithinPartitions("key", "name", F.asc_nulls_first("doc_id"))
-    return written(suffixes.mapInArrow(scan_buckets, "doc_id long, tag int, at long, decided boolean"), "runs")
+_FOUND = "doc_id long, tag int, at long, decided boolean"
+
+
+def _sorted(rows: DataFrame, deal) -> DataFrame:
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, deal).sortWithinPartitions("key", F.shiftright("mark", 32), F.asc_nulls_first("doc_id"))
 
 
-def repeated_singles(tagged: DataFrame, undecided: DataFrame, length: int) -> DataFrame:
-    parts = int(tagged.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    windows = _with_marks(tagged, undecided, "inner").mapInArrow(lambda b: open_windows(b, length), "hash long, doc_id long, tag int, at long")
-    windows = windows.repartition(parts, "hash").sortWithinPartitions("hash", F.asc_nulls_first("doc_id"))
-    return written(windows.mapInArrow(scan_windows, "doc_id long, tag int, at long"), "windows")
+def repeated_windows(docs: DataFrame, salt: int, length: int = LENGTH, kmer: int = KMER) -> DataFrame:
+    """doc_id, tag, at: runs of repeated windows, at = 2**31 * start + how many windows, and _MORE."""
+    tagged = text_tags(docs)
+    suffixes = _sorted(sample_suffixes(tagged, salt, length, kmer), F.shiftrightunsigned("key", 24))
+    found = written(suffixes.mapInArrow(scan_buckets, _FOUND), "runs")
+    undecided = _with_marks(tagged, found.where("not decided"), "inner")
+    windows = undecided.mapInArrow(lambda b: _chunks(open_windows(b, salt, length)), _ROWS)
+    single = written(_sorted(windows, F.col("key")).mapInArrow(scan_windows, _FOUND), "windows")
+    return found.where("decided").unionByName(single).drop("decided")
 
 
-def repeated_windows(docs: DataFrame, length: int = LENGTH, kmer: int = KMER) -> DataFrame:
-    """doc_id, tag, at: runs of repeated windows, at = 2**31 * start + how many windows."""
-    spark = docs.sparkSession
-    found = decided_runs(text_tags(docs), length, kmer)
-    freed(spark)
-    single = repeated_singles(text_tags(docs), found.where("not decided").drop("decided"), length)
-    freed(spark)
-    return found.where("decided").drop("decided").unionByName(single)
+def other_places(data: np.ndarray, hashes: np.ndarray, start: np.ndarray, windows: np.ndarray, length: int) -> np.ndarray:
+    """Starts of the windows of one document that equal one of the given runs' windows; hashes are those of all its windows."""
+    own = np.repeat(start - np.cumsum(windows) + windows, windows) + np.arange(windows.sum())
+    known, at = np.unique(hashes[own], return_index=True)
+    place = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+    like = np.flatnonzero(known[place] == hashes)
+    model = own[at[place[like]]]
+    for k in range(length):
+        same = data[like + k] == data[model + k]
+        like, model = like[same], model[same]
+    return like
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, kmer: int = KMER) -> DataFrame:
@@ -225,15 +331,29 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, kmer: int = KMER) -> D
     document, before all others. A text shorter than `length` bytes loses
     nothing. An empty table gives no rows. Other columns are not read.
     """
-    repeated = repeated_windows(docs, length, kmer)
+    salt = new_salt()
+    repeated = repeated_windows(docs, salt, length, kmer)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in tb.blocks(batch.column(2)):
                 own = batch.column(3).slice(block.lo, block.n)
                 many = own.value_lengths().to_numpy(zero_copy_only=False)
-                start, windows = np.divmod(own.flatten().to_numpy(), _AT)
-                start = start + block.offsets[np.repeat(np.arange(block.n), many)]
+                places = own.flatten().to_numpy()
+                start, windows = np.divmod(places & _PLACE, _AT)
+                doc = np.repeat(np.arange(block.n), many)
+                more = np.flatnonzero(places & _MORE)
+                if len(more):
+                    hashes, found = Hashes(block.data, salt), []
+                    for d in np.unique(doc[more]):
+                        lo, hi = block.offsets[d], block.offsets[d + 1]
+                        at = np.arange(lo, hi - length + 1)
+                        mine = more[doc[more] == d]
+                        found.append(lo + other_places(block.data[lo:hi], hashes.of(at, at + length), start[mine], windows[mine], length))
+                    extra = np.concatenate(found)
+                    start, windows = np.concatenate([start + block.offsets[doc], extra]), np.concatenate([windows, np.ones(len(extra), np.int64)])
+                else:
+                    start = start + block.offsets[doc]
                 steps = np.zeros(len(block.data) + 1, np.int64)
                 np.add.at(steps, start, 1)
                 np.add.at(steps, start + windows + length - 1, -1)
