@@ -20,8 +20,8 @@ from .scratch import written
 
 _ICU = "com.ibm.icu"
 _KINDS = ("", "edited_", "next_")
-#: Digests shared by several texts are broadcast up to this count, else joined.
-MAX_BROADCAST_DIGESTS = 10_000
+#: Rows that are broadcast to others up to this count, else both are shuffled: digests, ids with a hash.
+MAX_BROADCAST = 500_000
 #: White space of Unicode's White_Space property.
 _SPACE = r"[\x09-\x0D\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 
@@ -75,7 +75,7 @@ def buckets_by_id(docs: DataFrame, buckets: int) -> list[int]:
 
 
 def with_next(docs: DataFrame, buckets: int) -> DataFrame:
-    """(doc_id, text) -> with next_text: the text of the next row in ascending
+    """(doc_id, text) -> with next_id, next_text: the next row in ascending
     doc_id order, after the last the first; null ids come first, ties by text.
 
     Rows are dealt by ranges of doc_id, and each range also gets the first row
@@ -92,7 +92,8 @@ def with_next(docs: DataFrame, buckets: int) -> DataFrame:
     heads = firsts.join(F.broadcast(pairs), "bucket").select("doc_id", "text", F.col("before").alias("bucket"), F.lit(1).alias("head"))
     both = dealt.select("doc_id", "text", "bucket", F.lit(0).alias("head")).unionByName(heads)
     w = Window.partitionBy("bucket").orderBy("head", F.asc_nulls_first("doc_id"), "text")
-    return both.withColumn("next_text", F.lead("text").over(w)).where("head = 0").drop("head", "bucket")
+    after = {"next_id": F.lead("doc_id").over(w), "next_text": F.lead("text").over(w)}
+    return both.withColumns(after).where("head = 0").drop("head", "bucket")
 
 
 def edited(text: Column, after: Column) -> Column:
@@ -106,6 +107,40 @@ def likeness(a: Column, b: Column) -> Column:
     return (a == b).cast("double")
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """df to be broadcast if it has few rows."""
+    return F.broadcast(df) if df.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST else df
+
+
+def with_texts(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """rows (doc_id, own, next_id, next_own, ..) -> with text and next_text, found by id and hash."""
+    both = [F.struct(F.col(i).alias("id"), F.col(h).alias("hash")) for i, h in (("doc_id", "own"), ("next_id", "next_own"))]
+    keys = rows.select(F.inline(F.array(*both)))
+    keys = written(keys.distinct(), "wanted")
+    text = F.coalesce("text", F.lit(""))
+    found = docs.select(F.col("doc_id").alias("id_"), F.xxhash64(text).alias("hash_"), text.alias("text_"))
+    found = found.join(bounded(keys), F.col("id_").eqNullSafe(F.col("id")) & (F.col("hash_") == F.col("hash")), "left_semi").dropDuplicates(["id_", "hash_"])
+    found = written(found, "again")
+    for name, at, own in (("text", "doc_id", "own"), ("next_text", "next_id", "next_own")):
+        side = found.select(F.col("id_").alias("i"), F.col("hash_").alias("h"), F.col("text_").alias(name))
+        rows = rows.join(side, F.col(at).eqNullSafe(F.col("i")) & (F.col(own) == F.col("h"))).drop("i", "h")
+    return rows
+
+
+def suspects(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """(canon, digest) of the texts and edited texts in buckets of several rows."""
+    names = rows.select(F.explode(F.array("digest", "edited_digest")).alias("of")).groupBy("of").count().where("count > 1").select("of")
+    names = bounded(written(names, "several"))
+    plain = rows.join(names, F.col("digest") == F.col("of"), "left_semi").select(F.col("doc_id").alias("id"), F.col("own").alias("hash"))
+    plain = bounded(written(plain.distinct(), "copies"))
+    text = F.coalesce("text", F.lit(""))
+    found = docs.select("doc_id", F.xxhash64(text).alias("own"), text.alias("text"))
+    found = found.join(plain, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("own") == F.col("hash")), "left_semi").select(canonical(F.col("text")).alias("canon"))
+    changed = with_texts(docs, rows.join(names, F.col("edited_digest") == F.col("of"), "left_semi"))
+    changed = changed.select(canonical(edited(F.col("text"), F.col("next_text"))).alias("canon"))
+    return found.unionByName(changed).withColumn("digest", digest(F.col("canon")))
+
+
 def fingerprint_edits(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
     near_edited, near_next for every document and its edited text.
@@ -115,15 +150,17 @@ def fingerprint_edits(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     ids are ordered by text, repeated rows keep their rows. An empty table gives
     no rows. Other columns of docs are not read.
 
-    Texts are moved once, to meet the text after them. Inside equal buckets the
-    bytes are compared by the SHA-256 of the canonical text that was taken then.
+    Texts are moved once, to meet the text after them. Those in a bucket of
+    several rows are fetched again, and their canonical bytes are compared.
     """
-    spark = docs.sparkSession
-    buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = buckets or 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = with_next(docs.select("doc_id", "text"), buckets)
     rows = rows.withColumn("edited_text", edited(F.col("text"), F.col("next_text")))
     rows = rows.select(
         "doc_id",
+        "next_id",
+        F.xxhash64("text").alias("own"),
+        F.xxhash64("next_text").alias("next_own"),
         F.char_length("text").cast("long").alias("n_chars"),
         F.sha2("edited_text", 256).alias("edited_sha256"),
         canonical(F.col("text")).alias("canon"),
@@ -131,17 +168,19 @@ def fingerprint_edits(docs: DataFrame, buckets: int | None = None) -> DataFrame:
         canonical(F.col("next_text")).alias("next_canon"),
     )
     rows = rows.withColumns({f"{k}digest": digest(F.col(f"{k}canon")) for k in _KINDS})
-    rows = rows.withColumns({f"{k}bytes": F.unhex(F.sha2(f"{k}canon", 256)) for k in _KINDS})
-    rows = written(rows.drop("text", "next_text", "edited_text", "canon", "edited_canon", "next_canon"), "fingerprints")
-    both = rows.select(F.inline(F.array(*[F.struct(F.col(f"{k}digest").alias("digest"), F.col(f"{k}bytes").alias("bytes")) for k in _KINDS[:2]])))
-    groups = both.groupBy("digest").agg(F.min("bytes").alias("least"), F.max("bytes").alias("most"))
-    shared = written(groups.where(F.col("least") != F.col("most")).select(F.col("digest").alias("shared")), "shared-digests")
-    few = shared.count() <= MAX_BROADCAST_DIGESTS
+    rows = written(rows.drop("canon", "edited_canon", "next_canon"), "fingerprints")
+    shared = bounded(written(shared_digests(suspects(docs, rows)), "shared-digests"))
+    canons = rows
     for k in _KINDS:
-        s = F.broadcast(shared) if few else shared
-        plain = F.col(f"{k}digest")
-        rows = rows.join(s, plain == F.col("shared"), "left")
-        rows = rows.withColumn(f"{k}fp", F.when(F.col("shared").isNull(), plain).otherwise(F.concat(plain, F.lit("-"), F.lower(F.hex(f"{k}bytes"))))).drop("shared")
+        canons = canons.join(shared, F.col(f"{k}digest") == F.col("shared"), "left").withColumn(f"{k}odd", F.col("shared").isNotNull()).drop("shared")
+    odd = F.col("odd") | F.col("edited_odd") | F.col("next_odd")
+    plain_rows = canons.where(~odd).withColumns({f"{k}fp": F.col(f"{k}digest") for k in _KINDS})
+    # of a digest that stands for several texts: their SHA-256 behind it, for which the texts are needed once more
+    whole = with_texts(docs, canons.where(odd))
+    for k, text in zip(_KINDS, (F.col("text"), edited(F.col("text"), F.col("next_text")), F.col("next_text")), strict=True):
+        named = F.concat(f"{k}digest", F.lit("-"), F.sha2(canonical(text), 256))
+        whole = whole.withColumn(f"{k}fp", F.when(F.col(f"{k}odd"), named).otherwise(F.col(f"{k}digest")))
+    rows = plain_rows.unionByName(whole.select(*plain_rows.columns))
     return rows.select(
         "doc_id",
         "n_chars",
