@@ -1,14 +1,12 @@
 """Tables written to the cluster's shared folder, to cut lineage.
 
-The folder is the session's ``spark.checkpoint.dir``; only where that is unset
-(tests, notebooks) a folder under /tmp is set for the session.
+The folder is the session's ``spark.checkpoint.dir``; only where that is unset in
+local mode (tests, notebooks) a folder under /tmp is set for the session.
 """
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     known = spark.conf.get("spark.checkpoint.dir", None)
     if not known:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         known = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", known)
     return known.rstrip("/")
@@ -41,12 +41,3 @@ def dropped(*tables: DataFrame) -> None:
             jvm = table.sparkSession._jvm
             at = jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def freed(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete shuffle files that no table needs any more; it
-    acts when the driver collects its garbage, Python's proxies first."""
-    for _ in range(3):
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(1)
