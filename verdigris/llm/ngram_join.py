@@ -234,9 +234,9 @@ def with_nodes(table: DataFrame) -> tuple[DataFrame, DataFrame]:
         twins = nodes.where("check <> other").select(F.col("node").alias("twin"))
         if twins.isEmpty():
             return table, nodes.drop("other")
-        dropped(nodes)
         new = F.when(F.col("twin").isNotNull(), F.xxhash64("node", "check")).otherwise(F.col("node"))
         table = written(table.join(twins, F.col("node") == F.col("twin"), "left").withColumn("node", new).drop("twin"), "prefixes")
+        dropped(nodes)
 
 
 def hash_order(tokens: np.ndarray, salt: np.uint64) -> np.ndarray:
@@ -298,9 +298,11 @@ def hot_edges(postings: DataFrame, percent: int) -> DataFrame:
     """a, b: edges that keep the nodes of a long list together, by size class: to
     the least node of the list in the same class, and in the class below."""
     long_ = postings.where(F.col("times") > SHORT_LIST).select("token", "node", size_class(percent).alias("klass"))
-    lead = long_.groupBy("token", "klass").agg(F.min("node").alias("lead"))
+    lead = written(long_.groupBy("token", "klass").agg(F.min("node").alias("lead")), "leads")
     to = long_.select("token", "node", F.explode(F.array("klass", F.col("klass") - 1)).alias("k"))
     lead = lead.select(F.col("token").alias("t"), F.col("klass").alias("c"), "lead")
+    if lead.count() <= MAX_BROADCAST_IDS:
+        lead = F.broadcast(lead)
     edges = to.join(lead, (F.col("token") == F.col("t")) & (F.col("k") == F.col("c")))
     return edges.select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct()
 
