@@ -8,9 +8,12 @@ document is probed with its own shingles; a shared prefix shingle gives the one
 place where the window can stand, which must lie inside the document (length
 and position bounds), and there all words are compared.
 
-The benchmark is taken in blocks of bounded bytes, each broadcast for one pass
-over the documents. Documents are never shuffled; a block of Arrow rows is
-probed with numpy, and a word's identity is its 64-bit hash.
+The benchmark is taken in blocks of bounded bytes, one at a time: its index is
+built, broadcast for one pass over the documents and given up again. A benchmark
+of one block is judged in that pass. Of more, each pass writes the marks of the
+documents that are hit, and they are joined before anything is judged. Documents'
+texts are never shuffled; a block of Arrow rows is probed with numpy. A word's
+identity is its 64-bit hash, of 13 of which in a row a hit is made.
 """
 
 from __future__ import annotations
@@ -23,13 +26,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import textblocks as tb
+from .rows import rows_where
+from .scratch import written
 
 WINDOW = 13
 GRAM = 3
 ITEM_BLOCK_BYTES = 8 << 20
+#: Rows (an id and a digest) that are broadcast to the texts up to this count; beyond, both sides are shuffled.
+MAX_BROADCAST_IDS = 500_000
+#: A word, as the byte class of textblocks.ALNUM has it after lower-casing.
+_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: A document is contaminated if at least one in so many of its words is hit.
 ONE_IN = 20
 
@@ -91,10 +99,6 @@ def _probe(hashes: np.ndarray, first: np.ndarray, g: int, keys: np.ndarray, siev
     return at[some[ok]], place[ok]
 
 
-def _texts(batch: pa.RecordBatch) -> pa.Array:
-    return batch.column(batch.schema.get_field_index("text"))
-
-
 def shingle_counts(docs: DataFrame, shingles: dict[int, np.ndarray]) -> dict[tuple[int, int], int]:
     """How often each of the given shingles stands in the documents."""
     sieves = {g: _sieve(k) for g, k in shingles.items()}
@@ -102,7 +106,7 @@ def shingle_counts(docs: DataFrame, shingles: dict[int, np.ndarray]) -> dict[tup
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = {g: np.zeros(len(k), np.int64) for g, k in shingles.items()}
         for batch in batches:
-            for block in tb.blocks(_texts(batch)):
+            for block in tb.blocks(batch.column(0)):
                 _, _, hashes, first = block.words(tb.ALNUM)
                 for g, k in shingles.items():
                     _, place = _probe(hashes, first, g, k, sieves[g])
@@ -164,17 +168,118 @@ def _hits(index: ItemIndex, block: tb.Block) -> tuple[np.ndarray, np.ndarray, np
     return first, np.cumsum(marks[:-1]) > 0, pairs // max(len(index.names), 1), pairs % max(len(index.names), 1)
 
 
-def item_blocks(benchmark: DataFrame, most: int = ITEM_BLOCK_BYTES) -> Iterator[list[tuple[str, str]]]:
-    """The items, (id as text, text), in lists of bounded bytes. Items without text are left out."""
+def item_blocks(benchmark: DataFrame, most: int = ITEM_BLOCK_BYTES) -> tuple[int, Iterator[list[tuple[str, str]]]]:
+    """How many blocks there are, and the items, (id as text, text), in lists of
+    bounded bytes, each collected when it is asked for. Items without text are left out."""
     items = benchmark.where("text is not null and text <> ''").select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text")
     total = items.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     n = 1 + total // most
-    for i in range(n):
-        own = items if n == 1 else items.where(F.pmod(F.xxhash64("text", "item_id"), F.lit(n)) == i)
-        yield [(r["item_id"], r["text"]) for r in own.collect()]  # about `most` bytes
 
+    def lists() -> Iterator[list[tuple[str, str]]]:
+        for i in range(n):
+            own = items if n == 1 else items.where(F.pmod(F.xxhash64("text", "item_id"), F.lit(n)) == i)
+            yield [(r["item_id"], r["text"]) for r in own.collect()]  # about `most` bytes
+
+    return n, lists()
+
+
+def _judged(words: np.ndarray, hit: np.ndarray) -> np.ndarray:
+    return (hit > 0) & (ONE_IN * hit >= words)
+
+
+def _sha(items: set[str]) -> str:
+    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
+
+
+_RESULT = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
-_HIT_SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("hit", T.BinaryType()), T.StructField("items", T.ArrayType(T.StringType()))])
+
+def _result(words, hit, items: list[set[str]]) -> list[pa.Array]:
+    words, hit = np.array(words, np.int64), np.array(hit, np.int64)
+    return [pa.array(words), pa.array(hit), pa.array([len(x) for x in items], pa.int64()), pa.array([_sha(x) for x in items], pa.string()), pa.array(_judged(words, hit))]
+
+
+def _block_hits(index: ItemIndex | None, block: tb.Block) -> tuple[np.ndarray, np.ndarray, list[set[str]]]:
+    """First words of the block's documents, hit flag of each word, items of each document."""
+    items: list[set[str]] = [set() for _ in range(block.n)]
+    if index is None:
+        _, _, hashes, first = block.words(tb.ALNUM)
+        return first, np.zeros(len(hashes), bool), items
+    first, flags, docs, owners = _hits(index, block)
+    for d, o in zip(docs.tolist(), owners.tolist(), strict=True):
+        items[d].add(index.names[o])
+    return first, flags, items
+
+
+def _in_one_pass(docs: DataFrame, index: ItemIndex | None) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(index)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, hit, items = [], [], []
+            for block in tb.blocks(batch.column(1)):
+                first, flags, own = _block_hits(shared.value, block)
+                total = np.concatenate([[0], np.cumsum(flags)])
+                words += np.diff(first).tolist()
+                hit += (total[first[1:]] - total[first[:-1]]).tolist()
+                items += own
+            yield pa.RecordBatch.from_arrays([batch.column(0), *_result(words, hit, items)], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+
+    return docs.select("doc_id", "text").mapInArrow(scan, f"doc_id long, {_RESULT}")
+
+
+def _marks(docs: DataFrame, index: ItemIndex, number: int) -> DataFrame:
+    """doc_id, key (of the text), block, hit (a bit a word), items: of the documents that this block of items hits."""
+    shared = docs.sparkSession.sparkContext.broadcast(index)
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, hits, names = [], [], []
+            for block in tb.blocks(batch.column(1)):
+                first, flags, items = _block_hits(shared.value, block)
+                for d in range(block.n):
+                    if items[d]:
+                        rows.append(block.lo + d)
+                        hits.append(np.packbits(flags[first[d] : first[d + 1]]).tobytes())
+                        names.append(sorted(items[d]))
+            own = [batch.column(k).take(pa.array(rows, pa.int64())) for k in (0, 2)]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(hits, pa.binary()), pa.array(names, pa.list_(pa.string()))], ["doc_id", "key", "hit", "items"])
+
+    found = docs.select("doc_id", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("key"))
+    found = written(found.mapInArrow(mark, "doc_id long, key string, hit binary, items array<string>"), "marks")
+    shared.unpersist()
+    return found.withColumn("block", F.lit(number))
+
+
+def _in_passes(docs: DataFrame, indexes: Iterator[ItemIndex]) -> DataFrame:
+    """doc_id, key and the result of every row, by one pass a block of items."""
+    marks = None
+    for k, index in enumerate(indexes):
+        one = _marks(docs, index, k)
+        marks = one if marks is None else marks.unionByName(one)
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, hit, items = batch.column(2).to_numpy(), [], []
+            for n, own in zip(words.tolist(), batch.column(3), strict=True):
+                parts = own.as_py() or []
+                flags = np.zeros(n, bool)
+                for part in parts:
+                    flags |= np.unpackbits(np.frombuffer(part["hit"], np.uint8), count=n).astype(bool)
+                hit.append(int(flags.sum()))
+                items.append({x for part in parts for x in part["items"]})
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *_result(words, hit, items)], ["doc_id", "key", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+
+    key = F.sha2(F.coalesce("text", F.lit("")), 256)
+    rows = docs.select("doc_id", key.alias("key"), F.coalesce(F.regexp_count(F.lower(F.col("text")), F.lit(_WORD)), F.lit(0)).cast("long").alias("n_words"))
+    if marks is None:
+        together = rows.withColumn("marks", F.lit(None).cast("array<struct<hit:binary,items:array<string>>>"))
+    else:
+        # a row of a text a block, and blocks are few
+        one = marks.groupBy("doc_id", "key", "block").agg(F.first(F.struct("hit", "items")).alias("mark"))
+        own = one.groupBy(F.col("doc_id").alias("of"), F.col("key").alias("k")).agg(F.collect_list("mark").alias("marks"))
+        together = rows.join(own, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("key") == F.col("k")), "left").select("doc_id", "key", "n_words", "marks")
+    return together.mapInArrow(join, f"doc_id long, key string, {_RESULT}")
 
 
 def scan_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -185,100 +290,40 @@ def scan_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW)
     words hits nothing. Repeated documents keep their rows; an empty table
     gives no rows. Documents may carry other columns; they are not read.
     """
-    from .scratch import dropped, written
-
-    indexes = [item_index(docs, items, window) for items in item_blocks(benchmark) if items]
-    carried = docs.select("doc_id", "text")
-    old = None
-    for k, index in enumerate(indexes[:-1]):  # only where the benchmark is larger than one block
-        shared = docs.sparkSession.sparkContext.broadcast(index)
-        carried = written(carried.mapInArrow(_marker(shared, k == 0), _HIT_SCHEMA), "hits")
-        dropped(*([old] if old is not None else []))
-        old = carried
-    shared = docs.sparkSession.sparkContext.broadcast(indexes[-1] if indexes else None)
-    fresh = len(indexes) <= 1
-
-    def final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [np.zeros(0, np.int64)] * 2
-            n_items, sha = [], []
-            words, hit = [], []
-            for block, first, flags, items in _marked(batch, shared.value, fresh):
-                total = np.concatenate([[0], np.cumsum(flags)])
-                words.append(np.diff(first))
-                hit.append(total[first[1:]] - total[first[:-1]])
-                for own in items:
-                    n_items.append(len(own))
-                    sha.append(hashlib.sha256(",".join(sorted(own)).encode()).hexdigest())
-            rows = [np.concatenate(x) if x else rows[0] for x in (words, hit)]
-            bad = (rows[1] > 0) & (ONE_IN * rows[1] >= rows[0])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(rows[0]), pa.array(rows[1]), pa.array(n_items, pa.int64()), pa.array(sha, pa.string()), pa.array(bad)],
-                ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
-            )
-
-    return carried.mapInArrow(final, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
-
-
-def _marked(batch: pa.RecordBatch, index: ItemIndex | None, fresh: bool) -> Iterator[tuple[tb.Block, np.ndarray, np.ndarray, list[set[str]]]]:
-    """Blocks of a batch with hit flags and item names, those of earlier passes included."""
-    for block in tb.blocks(_texts(batch)):
-        items: list[set[str]] = [set() for _ in range(block.n)]
-        if index is None:
-            _, _, hashes, first = block.words(tb.ALNUM)
-            flags = np.zeros(len(hashes), bool)
-        else:
-            first, flags, docs, owners = _hits(index, block)
-            for d, o in zip(docs.tolist(), owners.tolist(), strict=True):
-                items[d].add(index.names[o])
-        if not fresh:
-            hit, names = batch.column(2), batch.column(3)
-            for d in range(block.n):
-                n = first[d + 1] - first[d]
-                flags[first[d] : first[d + 1]] |= np.unpackbits(np.frombuffer(hit[block.lo + d].as_py(), np.uint8), count=int(n)).astype(bool)
-                items[d].update(names[block.lo + d].as_py())
-        yield block, first, flags, items
-
-
-def _marker(shared, fresh: bool):
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hits, names = [], []
-            for _, first, flags, items in _marked(batch, shared.value, fresh):
-                hits += [np.packbits(flags[a:b]).tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
-                names += [sorted(x) for x in items]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hits, pa.binary()), pa.array(names, pa.list_(pa.string()))], _HIT_SCHEMA.names)
-
-    return mark
+    n, lists = item_blocks(benchmark)
+    if n == 1:
+        items = next(lists)
+        return _in_one_pass(docs, item_index(docs, items, window) if items else None)
+    return _in_passes(docs, (item_index(docs, items, window) for items in lists if items)).drop("key")
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The documents that are not contaminated, all columns as given.
-
-    One pass: a document's hits by all blocks of items are joined before it is
-    judged.
-    """
-    lists = [items for items in item_blocks(benchmark) if items]
-    if not lists:
-        return docs
-    shared = [docs.sparkSession.sparkContext.broadcast(item_index(docs, items, window)) for items in lists]
-    at = docs.columns.index("text")
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+    """The documents that are not contaminated, all columns as given, whatever
+    their names. Null texts have no words and are clean, as all are if there is no
+    item; repeated rows are judged each. An empty table gives no rows."""
+    n, lists = item_blocks(benchmark)
+    if n == 1:
+        items = next(lists)
+        if not items:
+            return docs
+        shared = docs.sparkSession.sparkContext.broadcast(item_index(docs, items, window))
+
+        def clean(texts: pa.Array) -> np.ndarray:
             good = []
-            for block in tb.blocks(batch.column(at)):
-                found = None
-                for index in shared:
-                    first, flags, _, _ = _hits(index.value, block)
-                    found = flags if found is None else found | flags
-                total = np.concatenate([[0], np.cumsum(found)])
-                hit = total[first[1:]] - total[first[:-1]]
-                good.append((hit == 0) | (ONE_IN * hit < np.diff(first)))
-            if good:
-                yield batch.filter(pa.array(np.concatenate(good)))
-
-    return docs.mapInArrow(keep, docs.schema)
+            for block in tb.blocks(texts):
+                first, flags, _, _ = _hits(shared.value, block)
+                total = np.concatenate([[0], np.cumsum(flags)])
+                good.append(~_judged(np.diff(first), total[first[1:]] - total[first[:-1]]))
+            return np.concatenate(good)
+
+        return rows_where(docs, clean)
+    found = _in_passes(docs, (item_index(docs, items, window) for items in lists if items))
+    bad = written(found.where("contaminated").select("doc_id", "key").distinct(), "contaminated")
+    if bad.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS:
+        bad = F.broadcast(bad)
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("key"))
+    same = F.col("w.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("w.key") == F.col("b.key"))
+    return whole.alias("w").join(bad.alias("b"), same, "left_anti").select("row.*")
 
 
 def oracle_sql(window: int = WINDOW) -> str:

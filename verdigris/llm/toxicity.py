@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textblocks as tb
+from .rows import rows_where
 from .scratch import written
 
 #: Words of the lexicon voters.
@@ -351,12 +352,4 @@ def clean_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     no rows, and without labels the lexicon alone judges.
     """
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
-    at = docs.columns.index("text")
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = [shared.value.scores(block) < 0.5 for block in tb.blocks(batch.column(at))]
-            if good:
-                yield batch.filter(pa.array(np.concatenate(good)))
-
-    return docs.mapInArrow(keep, docs.schema)
+    return rows_where(docs, lambda texts: np.concatenate([shared.value.scores(block) < 0.5 for block in tb.blocks(texts)]))
