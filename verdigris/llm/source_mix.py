@@ -8,8 +8,8 @@ each document two or three times, and the total is within one copy of exact.
 
 Only (key, size, source) rows are shuffled, never texts. The prefix sum is in
 two levels: documents are ranked inside cells (source, size class, split), and
-the cells are summed before. There are as many splits as the table's rows fill
-with CELL_ROWS, so a hot source is spread over cells of bounded size.
+the cells are summed before. A size class of a source has as many splits as its
+rows fill with CELL_ROWS, so a hot source is spread over cells of bounded size.
 """
 
 from __future__ import annotations
@@ -17,11 +17,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from verdigris.operators.matching import bounded
+
 from .scratch import written
 
 WEIGHTS = (5, 2, 1)
 CEILING = 3
-CELL_ROWS = 1 << 17
+#: Rows that are ranked together, about.
+CELL_ROWS = 1 << 10
 SEED = "mix-1"
 
 
@@ -79,16 +82,23 @@ def offset(source: Column) -> Column:
     return F.conv(hexed, 16, 10).cast("double") / F.lit(4294967296.0)
 
 
+def sized(docs: DataFrame) -> DataFrame:
+    """doc_id, size, source, tie (a hash of the text): what the mix needs of the texts, read once."""
+    return written(docs.select("doc_id", word_count(F.col("text")).alias("size"), "source", F.xxhash64("text").alias("tie")), "sizes")
+
+
 def systematic_copies(rows: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
     """rows (doc_id, size, source, tie) -> with source_size, target and `copies`.
 
     Order within a source: size class (steps of 7 %), split (a hash of id and
-    text, so null ids are dealt out too), id, tie. Sizes in that order rise, so words taken stay near the target and not only
-    documents.
+    text, so null ids are dealt out too), id, tie. Sizes in that order rise, so
+    words taken stay near the target and not only documents.
     """
     cells = rows.withColumn("klass", F.floor(10 * F.log2(F.col("size") + 1)).cast("int"))
-    splits = -(-rows.count() // cell_rows) or 1
-    cells = cells.withColumn("split", F.pmod(F.xxhash64("doc_id", "tie"), F.lit(splits)).cast("int"))
+    sizes = cells.groupBy("source", "klass").agg(F.ceil(F.count(F.lit(1)) / cell_rows).alias("splits"))
+    sizes = bounded(written(sizes.select(F.col("source").alias("s"), F.col("klass").alias("k"), "splits"), "classes"))
+    cells = cells.join(sizes, F.col("source").eqNullSafe(F.col("s")) & (F.col("klass") == F.col("k"))).drop("s", "k")
+    cells = written(cells.withColumn("split", F.pmod(F.xxhash64("doc_id", "tie"), "splits").cast("int")).drop("splits"), "cells")
     key = ["source", "klass", "split"]
     per_cell = cells.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("cell_size"))
     per_source = per_cell.groupBy("source").agg(F.sum("cell_size").alias("source_size"))
@@ -117,8 +127,7 @@ def mix_sources(docs: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
     and rows equal in all of these are interchangeable. An empty table gives no
     rows. Other columns of docs are not read.
     """
-    rows = docs.select("doc_id", word_count(F.col("text")).alias("size"), "source", F.xxhash64("text").alias("tie"))
-    out = systematic_copies(rows, cell_rows)
+    out = systematic_copies(sized(docs), cell_rows)
     return out.select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
@@ -131,8 +140,7 @@ def mixed_documents(docs: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
     """
     tie = F.xxhash64("text")
     size = word_count(F.col("text"))
-    rows = docs.select("doc_id", size.alias("size"), "source", tie.alias("tie"))
-    takes = systematic_copies(rows, cell_rows).groupBy("doc_id", "source", "size", "tie").agg(F.sum("copies").alias("copies"))
+    takes = systematic_copies(sized(docs), cell_rows).groupBy("doc_id", "source", "size", "tie").agg(F.sum("copies").alias("copies"))
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "source", size.alias("size"), tie.alias("tie"))
     # one row for each distinct document carries all its copies
     keyed = keyed.dropDuplicates(["doc_id", "source", "size", "tie"])
