@@ -1,8 +1,10 @@
 """License scan: base phrases, and an exact set-similarity join with templates.
 
-A block is a line of a text, taken as the set of its words. A template (one
-line of a licence notice, as a set of words) is found in every block that
-holds at least `threshold` of the template's words. The join is exact:
+A block is a window of a text's words, whatever the lines, taken as a set: for a
+template of up to w words, w a power of two, windows of 2 w words begin at every
+w-th word, so what is as long as the template lies whole in one of them. A
+template (a sentence of a licence notice, as a set of words) is found in every
+block that holds at least `threshold` of the template's words. The join is exact:
 
 * tokens are ordered globally, rare first, by their count over all documents;
 * prefix filter: a block that holds `need = ceil(threshold * n)` of a
@@ -55,11 +57,18 @@ THRESHOLD = 0.85
 _NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
-def template_tokens(templates=TEMPLATES) -> list[tuple[int, str, list[str]]]:
-    """(number, label, sorted distinct words) of each template, cut as texts are."""
+LEAST_STEP = 8
+
+
+def template_tokens(templates=TEMPLATES) -> list[tuple[int, str, list[str], int]]:
+    """(number, label, sorted distinct words, step of its windows) of each template, cut as texts are."""
     import re
 
-    return [(i, label, sorted({w for w in re.split(_NOT_WORD, line.lower()) if w})) for i, (label, line) in enumerate(templates)]
+    out = []
+    for i, (label, line) in enumerate(templates):
+        words = [w for w in re.split(_NOT_WORD, line.lower()) if w]
+        out.append((i, label, sorted(set(words)), max(LEAST_STEP, 1 << (len(words) - 1).bit_length())))
+    return out
 
 
 def spaced_words(text: Column) -> Column:
@@ -128,29 +137,33 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, threshold: float = THRES
     spark = docs.sparkSession
     listed = template_tokens(templates)
     spaced = docs.select("doc_id", "text", spaced_words(F.coalesce("text", F.lit(""))).alias("s"))
-    vocabulary = sorted({w for _, _, words in listed for w in words})
+    vocabulary = sorted({w for _, _, words, _ in listed for w in words})
     counts = token_counts(spaced, vocabulary)
     order = sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))
     rank = {w: i for i, w in enumerate(order)}
 
     index = []
-    for i, label, words in listed:
+    for i, label, words, step in listed:
         need = math.ceil(threshold * len(words) - 1e-9)
         by_rank = sorted(words, key=rank.get)
-        index += [(by_rank[p], i, label, p, len(words), need, by_rank) for p in range(len(words) - need + 1)]
+        index += [(by_rank[p], step, i, label, p, len(words), need, by_rank) for p in range(len(words) - need + 1)]
     keys = sorted({row[0] for row in index})
-    index_df = spark.createDataFrame(index, "word string, template int, label string, place int, n int, need int, tokens array<string>")
+    index_df = spark.createDataFrame(index, "word string, step int, template int, label string, place int, n int, need int, tokens array<string>")
 
     # one pattern, so that the optimiser cannot copy the normalisation once for each key
     has_key = F.col("s").rlike(f" (?:{'|'.join(keys)}) ")
     key = F.xxhash64("text")
     base = spaced.select("doc_id", key.alias("tie"), *[c.alias(k) for k, c in base_columns(F.col("s"), phrases).items()])
 
-    blocks = spaced.where(has_key).select("doc_id", key.alias("tie"), F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line"))
-    blocks = blocks.select("doc_id", "tie", spaced_words(F.col("line")).alias("s")).where(has_key)
-    ordered = F.array_intersect(F.array(*[F.lit(w) for w in order]), F.split("s", " +"))  # keeps the global order
-    blocks = blocks.select("doc_id", "tie", ordered.alias("block")).where(F.size("block") >= int(min(r[5] for r in index)))
-    hits = blocks.select("doc_id", "tie", "block", F.posexplode("block").alias("at", "word")).join(F.broadcast(index_df), "word")
+    words = spaced.where(has_key).select("doc_id", key.alias("tie"), F.split(F.btrim("s"), " +").alias("words"))
+    steps = F.array(*[F.lit(x) for x in sorted({row[1] for row in index})])
+    blocks = words.select("doc_id", "tie", "words", F.explode(steps).alias("step"))
+    starts = F.explode(F.sequence(F.lit(1), F.size("words"), F.col("step"))).alias("start")
+    blocks = blocks.select("doc_id", "tie", "words", "step", starts).select("doc_id", "tie", "step", F.slice("words", F.col("start"), 2 * F.col("step")).alias("block"))
+    blocks = blocks.where(F.arrays_overlap("block", F.array(*[F.lit(w) for w in keys])))
+    ordered = F.array_intersect(F.array(*[F.lit(w) for w in order]), "block")  # keeps the global order
+    blocks = blocks.select("doc_id", "tie", "step", ordered.alias("block")).where(F.size("block") >= int(min(r[6] for r in index)))
+    hits = blocks.select("doc_id", "tie", "step", "block", F.posexplode("block").alias("at", "word")).join(F.broadcast(index_df), ["word", "step"])
     # from the first shared token on; an earlier one in the prefix is another row, which passes if this pair can match
     follows = F.least(F.size("block") - F.col("at"), F.col("n") - F.col("place"))
     earlier = F.least(F.col("at"), F.col("place"))
@@ -174,11 +187,11 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, threshold: float = THRES
 
 
 def oracle_sql(templates=TEMPLATES, threshold: float = THRESHOLD, phrases=BASE_PHRASES) -> str:
-    """The same by brute force: every line against every template, in DuckDB."""
+    """The same by brute force: every window against every template, in DuckDB."""
     rows = []
-    for i, label, words in template_tokens(templates):
+    for i, label, words, step in template_tokens(templates):
         need = math.ceil(threshold * len(words) - 1e-9)
-        rows.append(f"({i}, '{label}', {words!r}, {len(words)}, {need})")
+        rows.append(f"({i}, '{label}', {words!r}, {len(words)}, {need}, {step})")
     cut = lambda x: f"list_filter(string_split_regex(lower(replace({x}, 'K', 'ĸ')), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '')"
     at = []
     for phrase, label in phrases:
@@ -186,10 +199,11 @@ def oracle_sql(templates=TEMPLATES, threshold: float = THRESHOLD, phrases=BASE_P
         at.append(f"select k, i, '{label}' as label from numbered, unnest(range(len(words))) as r(i) where " + " and ".join(f"words[i + {n + 1}] = '{w}'" for n, w in enumerate(p)))
     return f"""
 with numbered as (select row_number() over () as k, doc_id, text, {cut("coalesce(text, '')")} as words from documents),
-templates(t, label, tokens, n, need) as (values {", ".join(rows)}),
-lines as (select distinct k, {cut("line")} as words from (select k, unnest(string_split(coalesce(text, ''), chr(10))) as line from numbered)),
-found as (select k, label, len(list_intersect(list_distinct(words), tokens)) / n as share from lines, templates
-  where len(list_intersect(list_distinct(words), tokens)) >= need),
+templates(t, label, tokens, n, need, step) as (values {", ".join(rows)}),
+blocks as (select k, step, list_distinct(words[i + 1 : i + 2 * step]) as block
+  from numbered, (select distinct step from templates) as s, unnest(range(0, len(words), step)) as r(i)),
+found as (select k, label, len(list_intersect(block, tokens)) / n as share from blocks join templates using (step)
+  where len(list_intersect(block, tokens)) >= need),
 base as ({" union all ".join(at)}),
 base_sum as (select k, count(*) as n_base, min(i) as first_word, max(i) as last_word,
   array_to_string(list_sort(list(distinct label)), ',') as base_labels from base group by k),
