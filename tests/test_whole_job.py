@@ -53,24 +53,6 @@ def test_edit_counts_of_long_texts():
     assert similarity.edit_counts(text, text) == (0, 0, 0)
 
 
-def test_repeated_share_as_without_the_early_end():
-    def plain(text):
-        n, best = len(text), 0.0
-        for at in (n // 4, n // 2, 3 * n // 4):
-            for size in range(20, min(400, n // 4)):
-                unit = text[at : at + size]
-                times = text.count(unit) if len(unit) == size else 0
-                if times >= 3:
-                    best = max(best, times * size / n)
-        return best
-
-    rng = random.Random(1)
-    for _ in range(60):
-        unit = "".join(rng.choices("abc", k=rng.randrange(1, 90)))
-        text = "".join(unit if rng.random() < 0.7 else "".join(rng.choices("abc", k=30)) for _ in range(rng.randrange(30)))
-        assert similarity.repeated_share(text) == plain(text)
-
-
 def test_transcript_scores_take_whole_texts_of_all_rows(spark, small):
     texts = {r["doc_id"]: r["text"] for r in table(spark, small, "documents").collect()}
     seen = {r["doc_id"] for r in entry.queries()["t05_runaways"](spark, small).collect()}

@@ -1,7 +1,9 @@
 """Quantiles under named conventions: which element of the sorted values is taken.
 
-One window ranks the values of a group and counts them; only the picked rows
-are aggregated. Approximate percentiles follow none of these rules.
+Values are counted by STEPS steps between a group's least and greatest; running
+sums over these few counts tell in which step a wanted place lies, and only the
+distinct values of that step are ordered. No group is sorted as a whole.
+Approximate percentiles follow none of these rules.
 """
 
 from __future__ import annotations
@@ -28,9 +30,26 @@ def _at(rule: str, q: float, n: Column) -> Column:
     return F.greatest(F.lit(1), F.least(n, place)).cast("long")
 
 
+STEPS = 4096
+
+
 def quantiles(df: DataFrame, value: str, picks: dict[str, tuple[str, float]], by: Sequence[str] = (), digits: int = 6) -> DataFrame:
     """by, n, and for each name the element that (rule, q) picks; nulls are left out."""
-    w = Window.partitionBy(*by)
-    ranked = df.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"), F.row_number().over(w.orderBy(value)).alias("_r"), F.count(F.lit(1)).over(w).alias("_n"))
-    chosen = [F.round(F.max(F.when(F.col("_r") == _at(rule, q, F.col("_n")), F.col("_v"))), digits).alias(name) for name, (rule, q) in picks.items()]
-    return ranked.groupBy(*by).agg(F.max("_n").alias("n"), *chosen)
+    rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"))
+    ends = rows.groupBy(*by).agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.count(F.lit(1)).alias("_n"))
+    same = lambda a, b: [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in by] or [F.lit(True)]
+    # one row a value, with its step
+    values = rows.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_times"))
+    width = F.col("_high").cast("double") - F.col("_low")
+    step = F.when(width > 0, F.least(F.floor((F.col("_v") - F.col("_low")) / width * STEPS), F.lit(STEPS - 1))).otherwise(F.lit(0))
+    values = values.alias("v").join(ends.alias("e"), same("v", "e")).select("v.*", "_n", step.cast("int").alias("_step"))
+    steps = values.groupBy(*by, "_step").agg(F.sum("_times").alias("_in"), F.max("_n").alias("_n"))
+    upto = F.sum("_in").over(Window.partitionBy(*by).orderBy("_step"))
+    wanted = F.array(*[_at(rule, q, F.col("_n")) for rule, q in picks.values()])
+    steps = steps.withColumn("_before", upto - F.col("_in"))
+    steps = steps.where(F.exists(wanted, lambda p: (p > F.col("_before")) & (p <= F.col("_before") + F.col("_in")))).select(*by, "_step", "_before")
+    near = values.alias("v").join(steps.alias("s"), [*same("v", "s"), F.col("v._step") == F.col("s._step")]).select("v.*", "_before")
+    near = near.withColumn("_upto", F.col("_before") + F.sum("_times").over(Window.partitionBy(*by, "_step").orderBy("_v")))
+    here = lambda rule, q: (_at(rule, q, F.col("_n")) <= F.col("_upto")) & (_at(rule, q, F.col("_n")) > F.col("_upto") - F.col("_times"))
+    chosen = [F.round(F.max(F.when(here(rule, q), F.col("_v"))), digits).alias(name) for name, (rule, q) in picks.items()]
+    return near.groupBy(*by).agg(F.max("_n").alias("n"), *chosen)

@@ -66,9 +66,6 @@ from {orders}""",
     "ledger": """
 select l_orderkey * 10 + l_linenumber as z_id, min(l_suppkey) as company, 'IV' || cast(min(l_partkey) as string) as invoice, cast(floor(min(l_extendedprice)) as bigint) % 1000 as vat,
   min(l_shipdate) as clear_date, min(l_partkey) % 100 as payment_doc from {lineitem} group by l_orderkey * 10 + l_linenumber""",
-    "texts": """
-select doc_id, substr(text, 1, 120) as ref, replace(substr(text, 4, 120), 'the', 'teh') as hyp, doc_id % 4 as family
-from {documents} where doc_id % 3 = 0 and length(text) > 10 and bit_length(substr(text, 1, 130)) = 8 * length(substr(text, 1, 130))""",
     "whole_texts": """
 select doc_id, text as ref, replace(substr(text, 4), 'the', 'teh') as hyp, doc_id % 4 as family from {documents}""",
     "transcripts": """

@@ -153,7 +153,15 @@ def c07(spark, d):
     return arms.select("d", stats.sign_band_of("d").alias("band"))
 
 
-@query("c08_verdict", None)
+@query(
+    "c08_verdict",
+    f"""with {_CLUSTERS}, two as (select {_TWO} from k), wins_of as (select inc_only, cand_only, inc_only + cand_only as d, wins,
+  sum(exp(lgamma(d + 1) - lgamma(wins + 1) - lgamma(d - wins + 1) - d * ln(2.0))) over (order by wins desc) as tail
+  from two, unnest(range((inc_only + cand_only + 1) // 2, inc_only + cand_only + 1)) as r(wins)),
+band_of as (select inc_only, cand_only, min(case when tail <= 1.0 / 64 + 0.000000000001 then 2 * wins - d end) as band from wins_of group by inc_only, cand_only)
+select inc_only, cand_only, cast(band as int) as band, case when band is null then 'UNDERPOWERED' when cand_only - inc_only >= band then 'AHEAD' when inc_only - cand_only >= band then 'BEHIND' else 'INDISTINGUISHABLE' end as verdict from band_of""",
+    "gt", "inc", "cand",
+)
 def c08(spark, d):
     two = pr.disagreement(_clusters(spark, d)).withColumn("band", stats.sign_band_of(F.col("inc_only") + F.col("cand_only")))
     return two.select("inc_only", "cand_only", "band", stats.verdict(F.col("cand_only") - F.col("inc_only"), F.col("band")).alias("verdict"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import normalize as nz
 from ..operators import matching
 from ..operators import reconcile as rc
-from ..operators.ranking import global_row_number
+from ..operators.ranking import global_forward_fill, global_row_number
 from .bindings import frame, run_sql, table, with_frames
 
 QUERIES: dict = {}
@@ -70,14 +70,14 @@ def j25(spark, d):
     return ledger.join(states, F.col("z_id") == F.col("of"), "left").select("z_id", F.coalesce("mapped", F.lit("OPEN")).alias("status"))
 
 
-_NAMES = "select distinct p_name as name from part where p_partkey % 2 = 0", "select distinct case when p_partkey % 3 = 0 then upper(left(p_name, 1)) || substr(p_name, 2) else p_name end as master from part"
+_NAMES = "select distinct p_name as name from part", "select distinct case when p_partkey % 3 = 0 then upper(left(p_name, 1)) || substr(p_name, 2) else p_name end as master from part"
 
 
 @query("j08_similar_names", f"with a as ({_NAMES[0]}), b as ({_NAMES[1]}) select name, master from a, b where jaro_winkler_similarity(name, master) >= 0.9")
 def j08(spark, d):
     part = table(spark, d, "part")
     name = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.upper(F.left("p_name", F.lit(1))), F.substr("p_name", F.lit(2)))).otherwise(F.col("p_name"))
-    return matching.similar_names(part.where("p_partkey % 2 = 0").select(F.col("p_name").alias("name")), part.select(name.alias("master")), "name", "master", 0.9)
+    return matching.similar_names(part.select(F.col("p_name").alias("name")), part.select(name.alias("master")), "name", "master", 0.9)
 
 
 @query("t14_jaro_winkler", "select n_name, r_name, jaro_winkler_similarity(lower(n_name), lower(r_name)) >= 0.6 as near from nation, region where n_regionkey = r_regionkey")
@@ -125,7 +125,7 @@ both("p11_redaction", "select er_id, case when issue then null else invoice end
 both("p12_confidence", "select er_id, round((a + b + c) / 3 * 100, 2) as score from (select er_id, case when trim(invoice) <> '' then 1e0 else 0e0 end as a, round(exp(-abs(vat % 7)), 2) as b, case when issue then 0e0 else 1e0 end as c from {ext} as e) as x", "ext")
 both("p13_remark", "select er_id, nullif(concat_ws(', ', case when issue then 'issue' end, case when copied then 'copy' end, case when trim(invoice) = '' then 'no invoice' end), '') as remark from {ext} as e", "ext")
 both("p15_bands", "select c_custkey, case when c_acctbal >= 7500 then 'excellent' when c_acctbal >= 5000 then 'good' when c_acctbal >= 0 then 'acceptable' else 'unacceptable' end as band from {customer}")
-both("p16_blank_rows", "select doc_id from {documents} where text is null or trim(text) = ''")
+both("p16_blank_rows", "select doc_id from (select doc_id, case when doc_id % 11 = 0 then '  ' when doc_id % 13 = 0 then null else text end as text from {documents}) as t where text is null or trim(text) = ''")
 both("p17_route", "select o_orderkey, concat_ws('/', cast(year(o_orderdate) as string), split_part(o_orderpriority, '-', 1), case when o_orderpriority like '%URGENT%' then 'fast' else 'slow' end) as route from {orders}")
 both("p19_complaint", "select er_id, remark like '1-%' or remark like '2-%' or remark like '3-%' as complaint from {ext} as e", "ext")
 both("p20_ratio_flags", "select o_orderkey, case when cast(split_part(x, '/', 1) as bigint) > 0 then 'Y' else 'N' end as flag from (select o_orderkey, cast(o_orderkey % 3 as string) || '/3' as x from {orders}) as t")
@@ -142,7 +142,7 @@ both("j14_distinct_both", "select a.k from (select distinct o_custkey as k from
 both("j15_latest_attribute", "select c_custkey, o.o_orderkey, o.o_orderpriority from {customer} left join (select o_custkey, o_orderkey, o_orderpriority, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) as rn from {orders}) as o on c_custkey = o.o_custkey and o.rn = 1")
 both("j16_snapshot", "select o_orderkey, s.name from {orders} left join (select cast(s_suppkey as string) as k, min(s_name) as name from {supplier} group by s_suppkey) as s on cast(o_custkey as string) = s.k")
 both("j17_membership", "select s_suppkey, a.k is not null or b.k is not null as active from {supplier} left join (select distinct l_suppkey as k from {lineitem} where l_quantity > 49) as a on s_suppkey = a.k left join (select distinct ps as k from (select l_suppkey as ps from {lineitem} where l_discount > 0.09) as x) as b on s_suppkey = b.k")
-both("j21_anti", "select c_custkey from {customer} where not exists (select 1 from {orders} where o_custkey = c_custkey)")
+both("j21_anti", "select c_custkey from {customer} where not exists (select 1 from {orders} where o_custkey = c_custkey and o_totalprice > 250000)")
 both("j22_failed_attribution", "select f.user_id, f.event_id from (select user_id, event_id, event_type, row_number() over (partition by user_id order by event_id desc) as rn from {events}) as f join (select distinct user_id as u from {events} where event_type = 'purchase') as p on f.user_id = p.u where rn = 1 and event_type = 'error'")
 both("j24_blank_slots", "select count(*) as rows_seen, count_if(g.call_id is null) as orphans, count_if(g.secondary is null and i.secondary is not null) as fabricated from {inc} as i left join {gt} as g on i.call_id = g.call_id and i.product = g.product", "inc", "gt")
 
@@ -160,22 +160,20 @@ def j19(spark, d):
     return matching.positional_join(a, b, ["g"], F.col("n_name"), F.col("s_suppkey"))
 
 
-@query("j20_corpus_diff", "with a as (select doc_id, substr(text, 1, 50) as t, row_number() over (order by doc_id) as rn from documents where doc_id % 2 = 0), b as (select doc_id, substr(text, 1, 50) as t, row_number() over (order by doc_id) as rn from documents where doc_id % 2 = 1) select a.doc_id, b.doc_id as other, a.t = b.t as same from a join b using (rn)")
+@query("j20_corpus_diff", "with a as (select doc_id, text as t, row_number() over (order by doc_id) as rn from documents where doc_id % 2 = 0), b as (select doc_id, text as t, row_number() over (order by doc_id) as rn from documents where doc_id % 2 = 1) select a.doc_id, b.doc_id as other, a.t = b.t as same from a join b using (rn)")
 def j20(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", F.substring("text", 1, 50).alias("t"))
+    rows = table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("t"))
     a = global_row_number(rows.where("doc_id % 2 = 0"), "doc_id", "rn")
     b = global_row_number(rows.where("doc_id % 2 = 1"), "doc_id", "rn").select(F.col("doc_id").alias("other"), F.col("t").alias("u"), "rn")
     return a.join(b, "rn").select("doc_id", "other", (F.col("t") == F.col("u")).alias("same"))
 
 
-@query("j23_category_lookup", "with m as (select p_partkey, case when p_partkey % 5 = 0 then p_brand end as grp, p_type from part), f as (select p_type, last_value(grp ignore nulls) over (order by p_partkey rows between unbounded preceding and current row) as grp, p_partkey from m), k as (select lower(p_type) as t, min(grp) as grp from f where p_partkey <= 40 group by 1) select p.p_partkey, coalesce(k.grp, 'Other') as category from part as p left join k on lower(p.p_type) = k.t")
+@query("j23_category_lookup", "with m as (select p_partkey, case when p_partkey % 5 = 0 then p_brand end as grp, p_type from part), f as (select p_type, last_value(grp ignore nulls) over (order by p_partkey rows between unbounded preceding and current row) as grp, p_partkey from m), k as (select lower(p_type) as t, min(grp) as grp from f group by 1) select p.p_partkey, coalesce(k.grp, 'Other') as category from part as p left join k on lower(p.p_type) = k.t")
 def j23(spark, d):
-    from pyspark.sql import Window
-
     part = table(spark, d, "part")
-    w = Window.orderBy("p_partkey").rowsBetween(Window.unboundedPreceding, 0)
-    mapping = part.where("p_partkey <= 40").withColumn("grp", F.last(F.when(F.col("p_partkey") % 5 == 0, F.col("p_brand")), ignorenulls=True).over(w))
-    mapping = mapping.groupBy(F.lower("p_type").alias("t")).agg(F.min("grp").alias("grp"))
+    rows = part.select("p_partkey", "p_type", F.when(F.col("p_partkey") % 5 == 0, F.col("p_brand")).alias("grp"))
+    filled = global_forward_fill(rows, "p_partkey", "grp")
+    mapping = filled.groupBy(F.lower("p_type").alias("t")).agg(F.min("grp").alias("grp"))
     return part.join(mapping, F.lower("p_type") == F.col("t"), "left").select("p_partkey", F.coalesce("grp", F.lit("Other")).alias("category"))
 
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import jsons
 from ..operators import islands, quantiles, ranking
+from ..operators import runs as run_ops
 from ..operators.scoring import last_of_each
 from .bindings import frame, run_sql, table, with_frames
 
@@ -205,3 +207,43 @@ def w01(spark, d):
 @query("w13_row_index", "select o_orderkey, row_number() over (order by o_orderkey) - 1 as idx from orders")
 def w13(spark, d):
     return ranking.global_row_number(table(spark, d, "orders"), "o_orderkey", "n").select("o_orderkey", (F.col("n") - 1).alias("idx"))
+
+
+_NESTED = "'{\"a\": {\"k\": ' || cast(event_id as string) || '}, \"b\": [' || cast(user_id as string) || ', {\"k\": ' || props || '}]}'"
+
+
+@query("k03_canonical_sha", "select event_id, sha256(cast(json(props) as varchar)) as sha from events")
+def k03(spark, d):
+    return table(spark, d, "events").select("event_id", jsons.canonical_sha(F.concat(F.lit(" "), F.replace("props", F.lit(":"), F.lit(" :  ")))).alias("sha"))
+
+
+@query("p23_json_round_trip", "select event_id, coalesce(json_valid(case when event_id % 9 = 0 then left(props, 4) else props end), false) as same from events")
+def p23(spark, d):
+    text = F.when(F.col("event_id") % 9 == 0, F.left("props", F.lit(4))).otherwise(F.col("props"))
+    return table(spark, d, "events").select("event_id", jsons.round_trip(text).alias("same"))
+
+
+@query("p25_json_lookup", f"select event_id, json_extract_string(t, '$.b[0]') as at, json_extract_string(t, '$.b[1].k.k') as deep, len(json_extract(t, '$..k')) as found from (select event_id, {_NESTED} as t from events)")
+def p25(spark, d):
+    rows = table(spark, d, "events").select("event_id", F.expr(_NESTED).alias("t"))
+    return rows.select("event_id", jsons.at_path(F.col("t"), "b.0").alias("at"), jsons.at_path(F.col("t"), "b.1.k.k").alias("deep"), F.size(jsons.values_of(F.col("t"), "k")).cast("long").alias("found"))
+
+
+#: Probes of six calls of a user, one after the other.
+_PROBES = """select item_id, cast(floor((replicate - 1) / 6) as bigint) as probe, outcome, case when event_id % 50 = 0 then 'other' else 'm' end as model, 'p' as provider,
+  case event_id % 40 when 0 then 5 when 1 then null else 0 end as reasoning_tokens, case when event_id % 60 = 7 then 10 else 9 end as prompt_tokens,
+  case when event_id % 97 = 0 then 404 else 200 end as http_status from {runs} as r"""
+
+
+@query(
+    "c19_qualification",
+    f"""with x as ({_PROBES}), s as (select item_id, probe, count(*) as calls, count_if(outcome = 'ok') as parse_ok, count_if(http_status = 404) as refused, count_if(outcome = 'not_json') as shape,
+  count_if(reasoning_tokens <> 0) as reasoned, count_if(reasoning_tokens is null) as unknown, count_if(model <> 'm') as others, count(distinct prompt_tokens) as kinds from x group by item_id, probe)
+select item_id, probe, calls, parse_ok, case when refused > 0 then 'REQUEST_INCOMPATIBLE' when shape > 0 then 'SCHEMA_INCOMPATIBLE' when reasoned > 0 then 'REGIME_INCOMPATIBLE' when others > 0 then 'IDENTITY_INCOMPATIBLE'
+  when kinds > 1 or unknown > 0 then 'PROVENANCE_INCOMPATIBLE' when calls <> 6 or parse_ok <> 6 then 'SCHEMA_INCOMPATIBLE' else 'QUALIFIED' end as status from s""",
+    "runs",
+)
+def c19(spark, d):
+    calls = spark.sql(_PROBES, runs=frame(spark, d, "runs"))
+    # the item of a probe is asked for by one name, so that prompt tokens of its calls can be compared
+    return run_ops.qualification(calls.withColumnRenamed("item_id", "user").withColumn("item_id", F.lit(1)), ["user", "probe"], "m", "p").withColumnRenamed("user", "item_id")

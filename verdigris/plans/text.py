@@ -29,20 +29,16 @@ def _scored(spark, d, kind):
     return tr.error_counts(rows, "ref", "hyp", kind)
 
 
-def _not_long(spark, d):
-    """Edit counts of all rows but those that ran away in length."""
-    size = lambda c: F.length(F.replace(c, F.lit(" "), F.lit("")))
-    return tr.error_counts(frame(spark, d, "texts").where(size("hyp") <= 1.5 * size("ref")), "ref", "hyp", "char")
-
 
 @query("t01_edit_counts", None)
 def t01(spark, d):
     return _scored(spark, d, "char").select("doc_id", "substituted", "deleted", "inserted", "units")
 
 
-@query("t02_edit_distance", "select doc_id, levenshtein(ref, hyp) as distance from {texts} as t", "texts")
+@query("t02_edit_distance", None)
 def t02(spark, d):
-    return frame(spark, d, "texts").select("doc_id", F.levenshtein("ref", "hyp").alias("distance"))
+    rows = tr.error_counts(frame(spark, d, "whole_texts"), "ref", "hyp", "char")
+    return rows.select("doc_id", (F.col("substituted") + F.col("deleted") + F.col("inserted")).alias("distance"))
 
 
 @query("t03_word_errors", None)
@@ -61,17 +57,17 @@ def t05(spark, d):
     return tr.with_runaways(rows, "ref", "hyp").select("doc_id", "runaway")
 
 
-@query("t06_pooled_rate", "select count(*) as items, cast(sum(levenshtein(ref, hyp)) as bigint) as errors, cast(sum(length(ref)) as bigint) as units, round(sum(levenshtein(ref, hyp)) / sum(length(ref)), 6) as rate from {texts} as t where length(replace(hyp, ' ', '')) <= 1.5 * length(replace(ref, ' ', ''))", "texts")
+@query("t06_pooled_rate", None)
 def t06(spark, d):
-    return tr.pooled_rate(_not_long(spark, d))
+    return tr.pooled_rate(_scored(spark, d, "char"))
 
 
-@query("t07_rate_by_family", "select family, count(*) as items, cast(sum(levenshtein(ref, hyp)) as bigint) as errors, cast(sum(length(ref)) as bigint) as units, round(sum(levenshtein(ref, hyp)) / nullif(sum(length(ref)), 0), 6) as rate from {texts} as t where length(replace(hyp, ' ', '')) <= 1.5 * length(replace(ref, ' ', '')) group by family", "texts")
+@query("t07_rate_by_family", None)
 def t07(spark, d):
-    return tr.pooled_rate(_not_long(spark, d), ["family"])
+    return tr.pooled_rate(_scored(spark, d, "char"), ["family"])
 
 
-both("t08_entity_recovery", "select doc_id, instr(replace(hyp, ' ', ''), replace(substr(ref, 10, 12), ' ', '')) > 0 as surface from {texts} as t", "texts")
+both("t08_entity_recovery", "select doc_id, instr(replace(hyp, ' ', ''), replace(substr(ref, 10, 12), ' ', '')) > 0 as surface from {whole_texts} as t", "whole_texts")
 
 
 @query("t09_digit_runs", "select doc_id, len(regexp_extract_all(text, '(?:(?:one|two|the|of)[ ]?){3,}')) as runs from documents")
@@ -79,10 +75,9 @@ def t09(spark, d):
     return table(spark, d, "documents").select("doc_id", F.size(F.regexp_extract_all("text", F.lit("(?:(?:one|two|the|of)[ ]?){3,}"), 0)).cast("long").alias("runs"))
 
 
-@query("t11_outlier_share", "select family, arg_max(doc_id, levenshtein(ref, hyp) * 10000000 - doc_id) as worst, round(max(levenshtein(ref, hyp)) / nullif(sum(levenshtein(ref, hyp)), 0), 6) as share from {texts} as t group by family", "texts")
+@query("t11_outlier_share", None)
 def t11(spark, d):
-    rows = frame(spark, d, "texts").select("family", "doc_id", F.levenshtein("ref", "hyp").cast("long").alias("e"))
-    return rows.groupBy("family").agg(F.max_by("doc_id", F.col("e") * 10_000_000 - F.col("doc_id")).alias("worst"), F.round(F.max("e") / F.nullif(F.sum("e"), F.lit(0)), 6).alias("share"))
+    return tr.outlier_share(_scored(spark, d, "char"), "doc_id", ["family"])
 
 
 _LAT, _LON = "13 + (s_suppkey % 100) / 1000e0", "100 + (s_suppkey % 77) / 1000e0"
@@ -241,7 +236,7 @@ def a51(spark, d):
 
 
 both("l02_unresolved", "select s.event_id from (select event_id from {events} where event_id % 2 = 0) as s where not exists (select 1 from (select event_id as f from {events} where event_id % 6 = 0) as x where x.f = s.event_id)")
-both("l03_resume", "select m.user_id, m.replicate from (select distinct user_id, event_id % 3 as replicate from {events}) as m where not exists (select 1 from {events} as e where e.user_id = m.user_id and e.event_id % 3 = m.replicate and e.event_type <> 'error')")
+both("l03_resume", "select m.user_id, m.replicate from (select distinct user_id, event_id % 3 as replicate from {events}) as m where not exists (select 1 from {events} as e where e.user_id = m.user_id and e.event_id % 3 = m.replicate and e.event_type = 'signup')")
 both("l05_retention", "select o_orderkey, cast(day as string) as day from (select o_orderkey, case when o_orderkey % 10 = 0 then null else cast(o_orderdate as date) end as day from {orders}) as x where day is null or day >= date '1996-01-01'")
 both("l06_job_expiry", "select o_custkey from {orders} group by o_custkey having max(cast(o_orderdate as date)) < date '1997-01-01'")
 both("l08_terminal_stamp", "select user_id, event_id, event_type from (select user_id, event_id, event_type, row_number() over (partition by user_id order by event_id desc) as rn from {events}) as x where rn = 1 and event_type not in ('purchase', 'error')")
