@@ -29,7 +29,7 @@ from .scratch import written
 SHARDS = 8
 SEED = 20240607
 #: Rows that are ranked together in the second permutation, about.
-CELL_ROWS = 1 << 16
+CELL_ROWS = 1 << 12
 #: Standard deviations around its mode within which a count is drawn; what lies beyond is below a double's resolution.
 _REACH = 12
 
