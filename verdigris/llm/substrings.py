@@ -133,18 +133,15 @@ def settle(key: np.ndarray, mark: np.ndarray, ids: pa.Array, at: np.ndarray) ->
     first[1:] = (of[by[1:]] != of[by[:-1]]) | (tag[by[1:]] != tag[by[:-1]])
     times = np.diff(np.append(np.flatnonzero(first), len(by)))
     one = left[by[first]]
-    gone = np.flatnonzero(settled)
-    spread = tb.mix(doc[gone].view(np.uint64) * tb._BASE + at[gone].view(np.uint64)).view(np.int64)
-    take = np.concatenate([one, gone])
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(np.concatenate([key[one].view(np.int64), spread])),
-            pa.array(mark[take]),
-            ids.take(pa.array(take)),
-            pa.array(np.concatenate([at[one] | np.where(times > 1, _MORE, 0), at[gone] | _SETTLED])),
-        ],
-        ["key", "mark", "doc_id", "at"],
-    )
+    settled[one] = False
+    kept = settled.copy()
+    kept[one] = True
+    flags = np.where(settled, _SETTLED, 0)
+    flags[one] = np.where(times > 1, _MORE, 0)
+    spread = tb.mix(doc.view(np.uint64) * tb._BASE + at.view(np.uint64))
+    take = np.flatnonzero(kept)  # in the texts' order, in which rows are much like their neighbours
+    out = (np.where(settled, spread, key)[take].view(np.int64), mark[take], ids.take(pa.array(take)), (at | flags)[take])
+    return pa.RecordBatch.from_arrays([pa.array(x) if isinstance(x, np.ndarray) else x for x in out], ["key", "mark", "doc_id", "at"])
 
 
 def _chunks(parts: Iterator[tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]]) -> Iterator[pa.RecordBatch]:
