@@ -22,12 +22,21 @@ def shared_dir(spark: SparkSession) -> str:
     return known.rstrip("/")
 
 
+#: Spark's setting to delete a query's shuffle files when it has ended, and not when the driver happens to collect its garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder, read back: a lost executor
-    costs a reread, not a recomputation."""
+    costs a reread, not a recomputation. What was shuffled for it is given up."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/verdigris/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    known = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, known)
     out = spark.read.schema(df.schema).parquet(path)
     out._verdigris_path = path
     return out
