@@ -54,3 +54,15 @@ def test_json_texts(spark):
     assert [r["p"] for r in got] == ["x", "x", None, None] and got[0]["z"] is None
     assert sorted(got[0]["v"]) == sorted(['{"k":2}', "2", '"x"']) and got[2]["v"] == got[3]["v"] == []
     assert [r["r"] for r in got] == [True, True, False, False]
+
+
+def test_only_singles_fails_where_a_key_is_there_twice(spark):
+    import pytest
+
+    from verdigris.operators import paired
+
+    schema = "call_id string, phone string, product string, call_result string, main string, secondary string, third string"
+    one = spark.createDataFrame([("1", "2", "tol", "save", None, None, None)], schema)
+    assert paired.only_singles(paired.units(one, one, one)).count() == 1
+    with pytest.raises(Exception, match="several rows"):
+        paired.only_singles(paired.units(one, one.union(one), one)).collect()

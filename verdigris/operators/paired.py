@@ -37,6 +37,12 @@ def refuse_duplicates(joined: DataFrame) -> DataFrame:
     return joined
 
 
+def only_singles(joined: DataFrame) -> DataFrame:
+    """As refuse_duplicates(), but in the pass that reads the rows: it fails where a key has several."""
+    fine = F.assert_true((F.col("n_gt") <= 1) & (F.col("n_inc") <= 1) & (F.col("n_cand") <= 1), "a key has several rows on one side")
+    return joined.where(fine.isNull())
+
+
 def _claims(side: Column, dimension: str) -> Column:
     """Whether an arm's row says something in the dimension; an unparsed row counts as saying something."""
     said = side["call_result"].isNotNull() if dimension == "call_result" else F.size(side["reasons"]) > 0

@@ -23,7 +23,7 @@ def query(name: str, sql: str | None, *frames: str):
 
 def _units(spark, d) -> DataFrame:
     sides = [last_of_each(frame(spark, d, n), KEYS, "pos") for n in ("gt", "inc", "cand")]
-    return pr.refuse_duplicates(pr.units(*sides))
+    return pr.only_singles(pr.units(*sides))
 
 
 def _side(name: str, frame: str) -> str:
