@@ -83,3 +83,21 @@ def test_bootstrap_has_all_arms_and_all_resamples(spark, small):
 
     low, high = round(got["a"]["low"] * n), round(got["a"]["high"] * n)
     assert abs(below(low) - 1 / 64) < 0.006 and abs(below(high) - 63 / 64) < 0.006
+
+
+def test_rates_distances_and_outliers_of_a_small_table(spark, tmp_path):
+    rng = random.Random(12)
+    texts = [" ".join(rng.choices(["the", "cat", "on", "mat", "ก", "é"], k=rng.randrange(1, 25))) for _ in range(30)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    ask = lambda name: entry.queries()[name](spark, str(tmp_path)).collect()
+    counts = {i: (plain_edit_counts(t, t[3:].replace("the", "teh")), len(t)) for i, t in enumerate(texts)}
+    errors = {i: sum(e) for i, (e, _) in counts.items()}
+    assert {r["doc_id"]: r["distance"] for r in ask("t02_edit_distance")} == errors
+    (one,) = ask("t06_pooled_rate")
+    units = sum(n for _, n in counts.values())
+    assert (one["items"], one["errors"], one["units"], one["rate"]) == (30, sum(errors.values()), units, round(sum(errors.values()) / units, 6))
+    families = {f: [i for i in counts if i % 4 == f] for f in range(4)}
+    assert {r["family"]: r["errors"] for r in ask("t07_rate_by_family")} == {f: sum(errors[i] for i in own) for f, own in families.items()}
+    worst = {f: max(own, key=lambda i: (errors[i], -i)) for f, own in families.items()}
+    got = {r["family"]: (r["worst"], r["share"]) for r in ask("t11_outlier_share")}
+    assert got == {f: (w, round(errors[w] / sum(errors[i] for i in families[f]), 6)) for f, w in worst.items()}
