@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, fingerprints, license_scan, ngram_join, pii, sharding, source_mix, substrings, token_files, toxicity
+from . import bpe, decontam, fingerprints, license_scan, merkle, ngram_join, pii, sharding, source_mix, substrings, token_files, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +66,18 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(_table(spark, sf_dir, "documents"))
 
 
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    file = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    out = bpe.decode_documents(bpe.encode_documents(_table(spark, sf_dir, "documents"), file), file)
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audit(_table(spark, sf_dir, "documents"))
+
+
 _QUERIES = (
     op1_license_scan,
     op2_token_files,
@@ -77,6 +89,8 @@ _QUERIES = (
     op8_toxicity,
     op9_decontamination,
     op10_sharding,
+    op12_byte_bpe,
+    op13_merkle_manifest,
 )
 
 
