@@ -33,10 +33,10 @@ from . import textblocks as tb
 from .token_files import pretoken_starts
 
 #: States that a transducer keeps, and pairs of neighbours that it remembers, at most.
-MAX_STATES = 3 << 16
-MAX_PAIRS = 1 << 19
+MAX_STATES = 1 << 17
+MAX_PAIRS = 1 << 18
 #: Pieces up to so many bytes that a worker keeps with their ids, at most.
-SHORT_PIECE, MAX_MET = 32, 1 << 18
+SHORT_PIECE, MAX_MET = 32, 1 << 17
 #: A text beyond so many bytes is cut where white space begins, which is a cut between pieces anyway.
 LONG_TEXT = 4 << 20
 
@@ -109,11 +109,14 @@ class Transducer:
         #: whether a token is always made later than its halves
         self.in_order = all(h < rank or h not in self.halves for rank, halves in self.halves.items() for h in halves)
         self.pairs: dict[tuple[int, int], bool] = {}
+        self.states: dict[tuple, _State] = {}
         self.forget()
 
     def forget(self) -> None:
+        for state in self.states.values():  # they refer to each other
+            state.moves.clear()
         self.start = _State(((self.root, -1, ()),))
-        self.states: dict[tuple, _State] = {self.start.items: self.start}
+        self.states = {self.start.items: self.start}
 
     def neighbours(self, a: int, b: int) -> bool:
         """Whether merging leaves the bytes of tokens a and b as these two."""
