@@ -5,11 +5,12 @@ merging can make. A sequence of such tokens is what merging gives if and only
 if every two neighbours are what merging gives for their own bytes, so reading
 a piece byte by byte is a finite-state matter: at each byte some tokens are
 half read, each behind the one sequence that ends where it began. A state of
-the transducer is that set, with what these sequences do not share; what all
-of them share is emitted. States and their moves are made when a text first
-needs them, kept in a table of bounded size, and forgotten together when it is
-full. How far emission can lag behind is bounded by the tokens' length and the
-ties among them, not by the text.
+the transducer is that set; a move tells the token with which a text that ended
+there would end. States and moves are made when a text first needs them, kept
+in a table of bounded size, and forgotten together when it is full. Tokens are
+emitted up to the place where the sequences of all that is half read meet; how
+far that lags behind is bounded by the tokens' length and the ties among them,
+not by the text.
 
 Decoding is the way back: bytes by id, in any portions, with a state machine of
 UTF-8 that tells whole characters from a tail that the next ids complete.
@@ -37,6 +38,8 @@ MAX_STATES = 1 << 17
 MAX_PAIRS = 1 << 18
 #: Pieces up to so many bytes that a worker keeps with their ids, at most.
 SHORT_PIECE, MAX_MET = 32, 1 << 17
+#: A node of the trie with so many tokens below has them listed. Bytes of a piece that are read before what is settled is emitted.
+FEW, PORTION = 12, 1 << 12
 #: A text beyond so many bytes is cut where white space begins, which is a cut between pieces anyway.
 LONG_TEXT = 4 << 20
 
@@ -62,26 +65,34 @@ def merge(ranks: dict[bytes, int], piece: bytes, parts_left: int = 1) -> list[by
 
 
 class _Node:
-    """Of the trie: what may follow, and the token that ends here (-1: none)."""
+    """Of the trie: what may follow, the token that ends here (-1: none), bytes
+    from the root, and the tokens that end here or further on (None: many)."""
 
-    __slots__ = ("next", "token")
+    __slots__ = ("below", "depth", "next", "token")
 
-    def __init__(self) -> None:
+    def __init__(self, depth: int) -> None:
         self.next: dict[int, _Node] = {}
-        self.token = -1
+        self.token, self.depth = -1, depth
+        self.below: tuple[int, ...] | None = None
+
+    def gather(self) -> list[int]:
+        found = [t for node in self.next.values() for t in node.gather()] + ([self.token] if self.token >= 0 else [])
+        if len(found) <= FEW:
+            self.below = tuple(sorted(found))
+        return found
 
 
 class _State:
-    """items: (half-read node, last token before it, tokens before it that others
-    lack); the last item is the one with nothing half read."""
+    """items: a half-read node each, with the token before it or, where few
+    tokens can still come of the node, with those that may stand behind that
+    token. The last item is the one with nothing half read. moves: by byte, the
+    next state and the token that a text ending there would end with."""
 
-    __slots__ = ("items", "moves", "rest")
+    __slots__ = ("items", "moves")
 
     def __init__(self, items: tuple) -> None:
         self.items = items
-        self.moves: dict[int, tuple[_State, tuple[int, ...]]] = {}
-        #: what is emitted when the piece ends here
-        self.rest: tuple[int, ...] = items[-1][2]
+        self.moves: dict[int, tuple[_State, int]] = {}
 
 
 class Transducer:
@@ -93,7 +104,8 @@ class Transducer:
             raise ValueError(f"the ranks lack {len(missing)} single bytes")
         self.ranks, self.max_states = ranks, max_states
         self.tokens = {rank: token for token, rank in ranks.items()}
-        self.root = _Node()
+        self.size = {rank: len(token) for token, rank in ranks.items()}
+        self.root = _Node(0)
         #: the last merge that makes a token
         self.halves: dict[int, tuple[int, int]] = {}
         for token, rank in ranks.items():
@@ -104,8 +116,10 @@ class Transducer:
                 self.halves[rank] = (ranks[parts[0]], ranks[parts[1]])
             at = self.root
             for byte in token:
-                at = at.next.setdefault(byte, _Node())
+                at = at.next.setdefault(byte, _Node(at.depth + 1))
             at.token = rank
+        self.root.gather()
+        self.root.below = None
         #: whether a token is always made later than its halves
         self.in_order = all(h < rank or h not in self.halves for rank, halves in self.halves.items() for h in halves)
         self.pairs: dict[tuple[int, int], bool] = {}
@@ -115,7 +129,7 @@ class Transducer:
     def forget(self) -> None:
         for state in self.states.values():  # they refer to each other
             state.moves.clear()
-        self.start = _State(((self.root, -1, ()),))
+        self.start = _State(((self.root, -1),))
         self.states = {self.start.items: self.start}
 
     def neighbours(self, a: int, b: int) -> bool:
@@ -151,58 +165,74 @@ class Transducer:
             else:
                 taken, b = b + 1, other[0]
 
-    def _move(self, state: _State, byte: int) -> tuple[_State, tuple[int, ...]]:
-        items, whole = [], None
-        for node, last, pending in state.items:
+    def _move(self, state: _State, byte: int) -> tuple[_State, int]:
+        items, whole = [], -1
+        for node, before in state.items:
             behind = node.next.get(byte)
             if behind is None:
                 continue
             token = behind.token
-            if token >= 0 and whole is None and (last < 0 or self.neighbours(last, token)):
-                whole = (self.root, token, (*pending, token))
-            if behind.next:
-                items.append((behind, last, pending))
-        items.append(whole)
-        shared, first = 0, items[0][2]
-        if len(items) == 1:
-            shared = len(first)
-        else:
-            others = [pending for _, _, pending in items]
-            for same in zip(*others, strict=False):
-                if same.count(same[0]) != len(same):
-                    break
-                shared += 1
-        after = tuple([(node, last, pending[shared:]) for node, last, pending in items]) if shared else tuple(items)
-        to = self.states.get(after)
+            if behind.below is None:
+                if token >= 0 and whole < 0 and (before < 0 or self.neighbours(before, token)):
+                    whole = token
+                items.append((behind, before))
+                continue
+            if node.below is None:
+                may = [t for t in behind.below if before < 0 or self.neighbours(before, t)]
+            else:
+                may = [t for t in before if t in behind.below]
+            if token in may:
+                whole = token
+                may.remove(token)
+            if may:
+                items.append((behind, tuple(may)))
+        items.append((self.root, whole))
+        name = tuple(items)
+        to = self.states.get(name)
         if to is None:
             if len(self.states) >= self.max_states:
                 self.forget()
                 state.moves.clear()
-            to = self.states[after] = _State(after)
-        state.moves[byte] = move = (to, first[:shared])
+            to = self.states[name] = _State(name)
+        state.moves[byte] = move = (to, whole)
         return move
 
+    def stream(self, portions: Iterable[bytes]) -> Iterator[list[int]]:
+        """ids of one piece that comes in portions, as soon as they are settled:
+        up to where the sequences of all half-read tokens have the same past."""
+        state, ends = self.start, []
+        for portion in portions:
+            for byte in portion:
+                state, token = state.moves.get(byte) or self._move(state, byte)
+                ends.append(token)
+            live = {len(ends) - node.depth for node, _ in state.items}
+            while len(live) > 1:
+                last = max(live)
+                live.remove(last)
+                live.add(last - self.size[ends[last - 1]])
+            settled = live.pop()
+            yield self._back(ends[:settled])
+            ends = ends[settled:]
+        yield self._back(ends)
+
+    def _back(self, ends: list[int]) -> list[int]:
+        out, at = [], len(ends)
+        while at:
+            out.append(ends[at - 1])
+            at -= self.size[ends[at - 1]]
+        out.reverse()
+        return out
+
     def encode(self, piece: bytes) -> list[int]:
         """ids of one piece."""
-        state, out = self.start, []
+        if len(piece) > PORTION:
+            return [i for part in self.stream(piece[at : at + PORTION] for at in range(0, len(piece), PORTION)) for i in part]
+        state, ends = self.start, []
         for byte in piece:
             move = state.moves.get(byte) or self._move(state, byte)
             state = move[0]
-            if move[1]:
-                out += move[1]
-        out += state.rest
-        return out
-
-    def stream(self, portions: Iterable[bytes]) -> Iterator[list[int]]:
-        """ids of one piece that comes in portions, as soon as they are settled."""
-        state = self.start
-        for portion in portions:
-            out: list[int] = []
-            for byte in portion:
-                state, more = state.moves.get(byte) or self._move(state, byte)
-                out += more
-            yield out
-        yield list(state.rest)
+            ends.append(move[1])
+        return self._back(ends)
 
 
 def _utf8_machine() -> np.ndarray:

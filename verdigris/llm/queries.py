@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, fingerprints, license_scan, merkle, ngram_join, pii, sharding, source_mix, substrings, token_files, toxicity
+from . import bpe, decontam, fingerprints, license_scan, merkle, ngram_join, phrases, pii, sharding, source_mix, substrings, token_files, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +66,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(_table(spark, sf_dir, "documents"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.find_phrases(_table(spark, sf_dir, "documents"))
+
+
 def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -89,6 +93,7 @@ _QUERIES = (
     op8_toxicity,
     op9_decontamination,
     op10_sharding,
+    op11_phrases,
     op12_byte_bpe,
     op13_merkle_manifest,
 )
@@ -99,4 +104,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": license_scan.oracle_sql(), "op9_decontamination": decontam.oracle_sql()}
+    return {"op1_license_scan": license_scan.oracle_sql(), "op9_decontamination": decontam.oracle_sql(), "op11_phrases": phrases.oracle_sql()}
