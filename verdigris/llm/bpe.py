@@ -34,10 +34,12 @@ from . import textblocks as tb
 from .token_files import pretoken_starts
 
 #: States that a transducer keeps, and pairs of neighbours that it remembers, at most.
-MAX_STATES = 1 << 17
-MAX_PAIRS = 1 << 18
+MAX_STATES = 1 << 16
+MAX_PAIRS = 1 << 17
 #: Pieces up to so many bytes that a worker keeps with their ids, at most.
-SHORT_PIECE, MAX_MET = 32, 1 << 17
+SHORT_PIECE, MAX_MET = 32, 1 << 16
+#: Texts that are encoded together. At most 2**20 less 1, so that tables of powers stay small.
+BLOCK_BYTES = (1 << 20) - 1
 #: A node of the trie with so many tokens below has them listed. Bytes of a piece that are read before what is settled is emitted.
 FEW, PORTION = 12, 1 << 12
 #: A text beyond so many bytes is cut where white space begins, which is a cut between pieces anyway.
@@ -317,13 +319,14 @@ def char_classes(pattern_classes: tuple[str, ...] = (r"\p{L}", r"\p{N}", r"\s"))
     """Class of every code point as the splitter's own regular expressions see it (the last class is `other`)."""
     import tiktoken
 
-    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
-    text = "".join(map(chr, points))
     single = {bytes([i]): i for i in range(256)}
     out = np.full(0x110000, len(pattern_classes), np.uint8)
     for k, pattern in enumerate(pattern_classes):
-        found = bytes(tiktoken.Encoding("probe", pat_str=pattern, mergeable_ranks=single, special_tokens={}).encode_ordinary(text))
-        out[np.frombuffer(found.decode().encode("utf-32-le"), np.uint32)] = k
+        probe = tiktoken.Encoding("probe", pat_str=pattern, mergeable_ranks=single, special_tokens={})
+        for first in range(0, 0x110000, 0x2000):  # surrogates, which no text has, are two such portions
+            if not 0xD800 <= first < 0xE000:
+                found = bytes(probe.encode_ordinary("".join(map(chr, range(first, min(first + 0x2000, 0xD800 if first < 0xD800 else 0x110000))))))
+                out[np.frombuffer(found.decode().encode("utf-32-le"), np.uint32)] = k
     return out
 
 
@@ -425,7 +428,7 @@ def encode_documents(docs: DataFrame, ranks_file: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(ranks_file)
         for batch in batches:
-            for block in tb.blocks(batch.column(1)):
+            for block in tb.blocks(batch.column(1), BLOCK_BYTES):
                 if block.n == 1 and len(block.data) > LONG_TEXT:
                     ends = _cuts(block.data, LONG_TEXT)
                     parts = [encoder.encode(block.data[a:b], np.array([0, b - a]))[0] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
@@ -449,11 +452,12 @@ def decode_documents(encoded: DataFrame, ranks_file: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = _decoder(ranks_file)
         for batch in batches:
-            texts = []
-            for ids in batch.column(at):
-                decoder.reset()
-                found = [decoder.feed(part) for part in _portions(np.frombuffer(ids.as_py() or b"", "<u4"))]
-                texts.append("".join([*found, decoder.finish()]))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
+            for lo in range(0, batch.num_rows, 256):
+                rows, texts = batch.slice(lo, 256), []
+                for ids in rows.column(at):
+                    decoder.reset()
+                    found = [decoder.feed(part) for part in _portions(np.frombuffer(ids.as_py() or b"", "<u4"))]
+                    texts.append("".join([*found, decoder.finish()]))
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
 
     return encoded.mapInArrow(run, StructType([*encoded.schema.fields, StructField("decoded", StringType())]))
