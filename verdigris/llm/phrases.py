@@ -26,11 +26,11 @@ from . import textblocks as tb
 from .perfect_hash import PerfectHash
 from .scratch import dropped, written
 
-MAX_SLOTS = 1 << 20
+MAX_SLOTS = 1 << 19
 #: Slots a row of counts has, rows of counts that one task of the tree adds.
 CHUNK, FAN_IN = 1 << 14, 16
-#: Keys that a mapper holds before it hands them on.
-MAX_HELD = 1 << 21
+#: Keys that a mapper holds before it hands them on, places of sequences that it handles together, bytes of texts likewise.
+MAX_HELD, PLACES, BLOCK_BYTES = 1 << 20, 1 << 19, (1 << 20) - 1
 #: Parts that a language's candidates are ranked in before the last ranking.
 RANK_PARTS = 64
 
@@ -82,7 +82,7 @@ def count_words(docs: DataFrame) -> DataFrame:
         for batch in batches:
             code, names = _distinct_langs(batch.column(0))
             hashes = np.array([_lang_hash(n) for n in names], np.uint64)
-            for block in tb.blocks(batch.column(1)):
+            for block in tb.blocks(batch.column(1), BLOCK_BYTES):
                 own = code[block.lo : block.hi]
                 starts, ends, keys, doc = _words(block, hashes[own])
                 if not len(keys):
@@ -152,7 +152,7 @@ def _encode(docs: DataFrame, shared: Broadcast, last: bool) -> DataFrame:
         own = shared.value
         for batch in batches:
             code, names = _distinct_langs(batch.column(0))
-            for block in tb.blocks(batch.column(1)):
+            for block in tb.blocks(batch.column(1), BLOCK_BYTES):
                 place, ids, offsets = own.find(block, code[block.lo : block.hi], names)
                 seq = np.zeros(offsets[-1], np.uint32)
                 seq[place] = ids
@@ -183,26 +183,35 @@ def _pairs(seq: np.ndarray) -> np.ndarray:
     return out
 
 
+def _portions(seq: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """First place and keys of portions of a sequence."""
+    for lo in range(0, len(seq), PLACES):
+        yield lo, _pairs(seq[lo : lo + PLACES + 1])[:PLACES]
+
+
 def _candidates(seqs: DataFrame, least: int) -> DataFrame:
     """key: the pairs of neighbouring slots that occur `least` times; each mapper's counts stop there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def together() -> tuple[np.ndarray, np.ndarray]:
+            keys, again = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+            return keys, np.minimum(np.bincount(again, weights=np.concatenate([n for _, n in held])), least).astype(np.int32)
 
-        def rows() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(held.view(np.int64)), pa.array(np.minimum(counts, least).astype(np.int32))], ["key", "n"])
+        def rows(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], ["key", "n"])
 
         for batch in batches:
-            keys = _pairs(_sequence(batch.column(0))[0])
-            keys, n = np.unique(keys[keys > 0], return_counts=True)
-            both, again = np.unique(np.concatenate([held, keys]), return_inverse=True)
-            counts = np.bincount(again, weights=np.concatenate([counts, n]), minlength=len(both)).astype(np.int64)
-            held = both
-            if len(held) > MAX_HELD:
-                yield rows()
-                held, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        if len(held):
-            yield rows()
+            for _, pairs in _portions(_sequence(batch.column(0))[0]):
+                keys, n = np.unique(pairs[pairs > 0], return_counts=True)
+                held.append((keys, np.minimum(n, least).astype(np.int32)))
+                if sum(len(k) for k, _ in held) > MAX_HELD:
+                    held = [together()]
+                    if len(held[0][0]) > MAX_HELD // 2:
+                        yield rows(*held.pop())
+        if held:
+            yield rows(*together())
 
     found = seqs.mapInArrow(run, "key long, n int").groupBy("key").agg(F.sum("n").alias("n"))
     return found.where(F.col("n") >= least).select("key")
@@ -222,11 +231,11 @@ def _relabel(seqs: DataFrame, shared: Broadcast) -> DataFrame:
         own = shared.value
         for batch in batches:
             seq, offsets = _sequence(batch.column(0))
-            pairs = _pairs(seq)
-            there = np.flatnonzero(pairs)
-            slots = own.hash.slots(pairs[there])
             out = np.zeros(len(seq), np.uint32)
-            out[there] = np.where(slots >= 0, slots + own.base, 0)
+            for lo, pairs in _portions(seq):
+                there = np.flatnonzero(pairs)
+                slots = own.hash.slots(pairs[there])
+                out[lo + there] = np.where(slots >= 0, slots + own.base, 0)
             if not batch.column(1).null_count:
                 out |= _sequence(batch.column(1))[0]
             yield pa.RecordBatch.from_arrays([batch.column(0), _binary(out, offsets)], ["seq", "next"])
@@ -252,8 +261,8 @@ def _slot_counts(seqs: DataFrame, base: int, size: int) -> DataFrame:
         counts = np.zeros(size, np.int64)
         for batch in batches:
             seq = _sequence(batch.column(0))[0]
-            seq = seq[(seq >= base) & (seq < base + size)]
-            counts += np.bincount(seq.astype(np.int64) - base, minlength=size)
+            seq = seq[(seq >= base) & (seq < base + size)] - np.uint32(base)
+            counts += np.bincount(seq, minlength=size)
         at = [i for i in range(0, size, CHUNK) if counts[i : i + CHUNK].any()]
         yield pa.RecordBatch.from_arrays(
             [pa.array([i // CHUNK for i in at], pa.int32()), pa.array([TaskContext.get().partitionId()] * len(at), pa.int32()), pa.array([_least_kind(counts[i : i + CHUNK]).tobytes() for i in at], pa.binary())],
