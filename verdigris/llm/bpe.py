@@ -34,10 +34,10 @@ from . import textblocks as tb
 from .token_files import pretoken_starts
 
 #: States that a transducer keeps, and pairs of neighbours that it remembers, at most.
-MAX_STATES = 1 << 16
+MAX_STATES = 1 << 17
 MAX_PAIRS = 1 << 17
 #: Pieces up to so many bytes that a worker keeps with their ids, at most.
-SHORT_PIECE, MAX_MET = 32, 1 << 16
+SHORT_PIECE, MAX_MET = 32, 3 << 16
 #: Texts that are encoded together. At most 2**20 less 1, so that tables of powers stay small.
 BLOCK_BYTES = (1 << 20) - 1
 #: A node of the trie with so many tokens below has them listed. Bytes of a piece that are read before what is settled is emitted.
@@ -231,9 +231,11 @@ class Transducer:
             return [i for part in self.stream(piece[at : at + PORTION] for at in range(0, len(piece), PORTION)) for i in part]
         state, ends = self.start, []
         for byte in piece:
-            move = state.moves.get(byte) or self._move(state, byte)
-            state = move[0]
-            ends.append(move[1])
+            try:
+                state, token = state.moves[byte]
+            except KeyError:
+                state, token = self._move(state, byte)
+            ends.append(token)
         return self._back(ends)
 
 
@@ -266,17 +268,10 @@ class Decoder:
         self.start = np.cumsum(self.length) - self.length
         self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
         self.known = self.length > 0
-        #: tokens that are whole characters; the machine steps through the others only
-        self.whole = np.zeros(size, bool)
-        for rank, token in enumerate(tokens):
-            state = 0
-            for byte in token:
-                state = _UTF8[state, byte]
-            self.whole[rank] = bool(token) and state == 0
         self.reset()
 
     def reset(self) -> None:
-        self.state, self.tail = 0, b""
+        self.tail = b""
 
     def to_bytes(self, ids: np.ndarray) -> np.ndarray:
         """The bytes of ids; an id that the ranks lack is an error."""
@@ -290,21 +285,15 @@ class Decoder:
     def feed(self, ids: np.ndarray) -> str:
         """The text of the whole characters that these ids complete; what is not
         UTF-8 becomes U+FFFD, a tail that more ids may complete is kept."""
-        data = self.to_bytes(ids).tobytes()
-        held, ended = self.tail + data, 0
-        if self.state or not self.whole[ids].all():
-            state = 0
-            for at, byte in enumerate(held):
-                state = _UTF8[state, byte]
-                if state == 8:  # a wrong byte ends a character and may begin one
-                    state = _UTF8[0, byte]
-                    state = 0 if state == 8 else state
-                    ended = at if state else at + 1
-                elif state == 0:
-                    ended = at + 1
-            self.state = int(state)
-        else:
-            ended = len(held)
+        held = self.tail + self.to_bytes(ids).tobytes()
+        ended = len(held)
+        for at in range(len(held) - 1, max(len(held) - 4, -1), -1):
+            if held[at] & 0xC0 != 0x80:  # the last character begins here
+                state = 0
+                for byte in held[at:]:
+                    state = int(_UTF8[state, byte])
+                ended = len(held) if state in (0, 8) else at
+                break
         self.tail = held[ended:]
         return held[:ended].decode("utf-8", "replace")
 
