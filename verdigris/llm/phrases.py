@@ -449,11 +449,16 @@ def oracle_sql() -> str:
 WITH pieces AS (
   SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), '{upper}', '{lower}'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
 ), lists AS (
-  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+  SELECT lang, row_number() OVER () AS piece_no, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), words AS (
+  SELECT lang, piece_no, unnest(w) AS w1, generate_subscripts(w, 1) AS i FROM lists
 ), places AS (
-  SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM lists, (VALUES (1), (2), (3)) AS sizes(k)
+  SELECT lang, w1, lead(w1) OVER piece AS w2, lead(w1, 2) OVER piece AS w3 FROM words WINDOW piece AS (PARTITION BY piece_no ORDER BY i)
+), phrases AS (
+  SELECT lang, 1 AS k, w1 AS phrase FROM places UNION ALL SELECT lang, 2, w1 || ' ' || w2 FROM places WHERE w2 IS NOT NULL
+  UNION ALL SELECT lang, 3, w1 || ' ' || w2 || ' ' || w3 FROM places WHERE w3 IS NOT NULL
 ), f AS (
-  SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase, count(*) AS f FROM places GROUP BY ALL
+  SELECT lang, k, phrase, count(*) AS f FROM phrases GROUP BY ALL
 ), totals AS (
   SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang
 ), candidates AS (
