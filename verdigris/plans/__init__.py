@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ("scoring", "paired", "runlog", "reconcile", "text")
+AREAS = ("scoring", "paired", "runlog", "reconcile", "text", "evidence")
 
 
 def all_queries() -> dict:

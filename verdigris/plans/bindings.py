@@ -72,6 +72,13 @@ select doc_id, text as ref, replace(substr(text, 4), 'the', 'teh') as hyp, doc_i
 select cast(conv_id as string) as item_id, turn, role, text from {conversations}""",
 }
 
+#: What a model quotes of each turn: the turn, the turn and the next one, with an artefact, in capitals, nothing.
+_SAID = "case role when 'user' then 'ลูกค้า:' when 'assistant' then 'เจ้าหน้าที่:' else '' end || coalesce(text, '')"
+FRAMES["quotes"] = f"""
+select item_id, turn % 2 as replicate, product, 'main' as slot, case kind when 0 then text when 1 then text || chr(10) || next_said when 2 then replace(text, 'e', 'e​') when 3 then upper(text) when 4 then ' ' end as keyword
+from (select cast(conv_id as string) as item_id, turn, text, 'p' || cast(turn as string) as product, (conv_id + turn) % 6 as kind, lead({_SAID}) over (partition by conv_id order by turn) as next_said from {{conversations}}) as turns
+union all select cast(conv_id as string), turn % 2, 'p' || cast(turn as string), 'third', substr(text, 2) from {{conversations}} where turn % 3 = 0"""
+
 Frame = dict[str, str]
 
 

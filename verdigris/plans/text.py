@@ -67,14 +67,6 @@ def t07(spark, d):
     return tr.pooled_rate(_scored(spark, d, "char"), ["family"])
 
 
-both("t08_entity_recovery", "select doc_id, instr(replace(hyp, ' ', ''), replace(substr(ref, 10, 12), ' ', '')) > 0 as surface from {whole_texts} as t", "whole_texts")
-
-
-@query("t09_digit_runs", "select doc_id, len(regexp_extract_all(text, '(?:(?:one|two|the|of)[ ]?){3,}')) as runs from documents")
-def t09(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.size(F.regexp_extract_all("text", F.lit("(?:(?:one|two|the|of)[ ]?){3,}"), 0)).cast("long").alias("runs"))
-
-
 @query("t11_outlier_share", None)
 def t11(spark, d):
     return tr.outlier_share(_scored(spark, d, "char"), "doc_id", ["family"])
@@ -94,15 +86,6 @@ def e01(spark, d):
     return table(spark, d, "events").select("event_id", F.explode(F.from_json("props", "map<string,bigint>")).alias("k", "v"))
 
 
-_QUOTE = "conv_id, turn, case when conv_id % 3 = 0 then translate(substr(text, 2, 12), 'etan', 'ETAN') else substr(text, 2, 12) || ', zzz qq' end as quote, text"
-
-
-@query("e14_evidence", f"with q as (select {_QUOTE} from conversations), s as (select conv_id, turn, text, trim(unnest(string_split(quote, ','))) as seg from q), h as (select *, contains(text, seg) as hit, contains(lower(text), lower(seg)) as low from s where seg <> '') select conv_id, turn, count(*) as segments, count_if(hit) as verbatim, count_if(not hit and low) as near, count_if(not hit and not low) as hard from h group by 1, 2")
-def e14(spark, d):
-    rows = table(spark, d, "conversations").select("conv_id", "turn", F.when(F.col("conv_id") % 3 == 0, F.translate(F.substring("text", 2, 12), "etan", "ETAN")).otherwise(F.concat(F.substring("text", 2, 12), F.lit(", zzz qq"))).alias("quote"), "text")
-    return tr.quoted(rows, "quote", "text")
-
-
 both("e15_partition_sums", "select count(*) = count_if(role = 'user') + count_if(role = 'assistant') + count_if(role = 'system') as holds, count(*) as n from {conversations}")
 both("e16_fabrication", """with s as (select i.call_id, i.secondary as label, g.secondary as truth from {inc} as i join {gt} as g on i.call_id = g.call_id and i.product = g.product where i.parse_ok union all
 select i.call_id, i.third, g.third from {inc} as i join {gt} as g on i.call_id = g.call_id and i.product = g.product where i.parse_ok)
@@ -149,9 +132,6 @@ def e23(spark, d):
     return table(spark, d, "documents").withColumn("_n", F.row_number().over(w)).where("_n <= 5").select("doc_id", "lang")
 
 
-both("e26_violations", "select conv_id, turn, 'role' as rule from {conversations} where role not in ('user', 'assistant') union all select conv_id, turn, 'blank' from {conversations} where trim(text) = '' union all select conv_id, turn, 'long' from {conversations} where length(text) > 400")
-
-
 @query("e27_citation_union", "select event_type, array_to_string(list_sort(list_distinct(list(cast(user_id % 13 as string)))), ',') as cites from events group by 1")
 def e27(spark, d):
     return table(spark, d, "events").groupBy("event_type").agg(F.array_join(F.array_sort(F.collect_set((F.col("user_id") % 13).cast("string"))), ",").alias("cites"))
