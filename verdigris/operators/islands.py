@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .matching import range_join
+
 
 def consecutive_runs(df: DataFrame, by: Sequence[str], order: Sequence[str], member: Column, least: int) -> DataFrame:
     """by, start, length of each run of at least `least` consecutive member rows; start is the first order column's value."""
@@ -24,6 +26,17 @@ def gaps(df: DataFrame, by: Sequence[str], ts: str, longer: float) -> DataFrame:
     return rows.withColumn("gap", F.col("gap_end") - F.col("gap_start")).where(F.col("gap") > longer)
 
 
+def excused_gaps(polls: DataFrame, requests: DataFrame, by: Sequence[str], ts: str, longer: float, at: str, ok: str) -> DataFrame:
+    """gaps() of polls with requests_in_window and successes_in_window, of the
+    requests that ended (at) inside it, and excused: some succeeded, so what was
+    polled was up and the poller was not."""
+    found = gaps(polls, by, ts, longer)
+    met = range_join(requests.select(*by, at, ok), found, at, "gap_start", "gap_end", by, "left")
+    n, good = F.count(at), F.count_if(F.coalesce(F.col(ok), F.lit(False)) & F.col(at).isNotNull())
+    out = met.groupBy(*by, "gap_start", "gap_end", "gap").agg(n.alias("requests_in_window"), good.alias("successes_in_window"))
+    return out.withColumn("excused", F.col("successes_in_window") > 0)
+
+
 def covered(df: DataFrame, by: Sequence[str], start: str, end: str) -> DataFrame:
     """by, covered, span: length of the union of intervals, and from first start to last end.
 

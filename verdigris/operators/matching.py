@@ -61,9 +61,32 @@ def similar_names(names: DataFrame, master: DataFrame, name: str, key: str, leas
     return a.join(bounded(b), reach).where(jaro_winkler("a", "b") >= least).select(F.col("a").alias(name), F.col("b").alias(key))
 
 
-def range_join(points: DataFrame, ranges: DataFrame, at: str, low: str, high: str) -> DataFrame:
-    """Points inside ranges (ends included); ranges are few, and broadcast after a count."""
-    return points.join(bounded(ranges), (F.col(at) >= F.col(low)) & (F.col(at) <= F.col(high)))
+def range_join(points: DataFrame, ranges: DataFrame, at: str, low: str, high: str, by: Sequence[str] = (), how: str = "inner") -> DataFrame:
+    """Points inside ranges (ends included) of whole numbers, with equal `by`;
+    how="left" keeps ranges without points too.
+
+    A range goes to bins as wide as the next power of two above its length, so
+    it lies in two of them at most, and a point to one bin of each width that
+    occurs, 64 at most and few as a rule: an equality join, whatever the ranges
+    are. Null ends and null points are in no bin.
+    """
+    width = F.length(F.bin(F.col(high).cast("long") - F.col(low).cast("long")))
+    held = ranges.withColumn("_bits", F.when(F.col(high) >= F.col(low), width))
+    bits = sorted(r["_bits"] for r in held.where("_bits is not null").select("_bits").distinct().collect())  # a row a width
+    ends = F.array_distinct(F.array(F.call_function("shiftright", F.col(low).cast("long"), F.col("_bits")), F.call_function("shiftright", F.col(high).cast("long"), F.col("_bits"))))
+    binned = held.withColumn("_bin", F.explode_outer(F.when(F.col("_bits").isNotNull(), ends)))
+    each = F.array(*[F.struct(F.lit(b).alias("_b"), F.shiftright(F.col(at).cast("long"), b).alias("_p")) for b in bits]) if bits else F.array().cast("array<struct<_b:int,_p:bigint>>")
+    renamed = points.withColumnsRenamed({c: f"_at_{c}" for c in by})
+    spread = renamed.where(F.col(at).isNotNull()).select("*", F.inline(each))
+    keys = (F.col("_bits") == F.col("_b")) & (F.col("_bin") == F.col("_p")) & (F.col(at) >= F.col(low)) & (F.col(at) <= F.col(high))
+    for c in by:
+        keys &= F.col(c) == F.col(f"_at_{c}")
+    inner = spread.join(binned, keys).drop("_b", "_p", "_bits", "_bin", *[f"_at_{c}" for c in by])
+    if how == "inner":
+        return inner
+    found = inner.select(*ranges.columns, *[c for c in points.columns if c not in by])
+    alone = ranges.join(found.select(*[F.col(c).alias(f"_r_{c}") for c in ranges.columns]).distinct(), [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in ranges.columns], "left_anti")
+    return found.unionByName(alone, allowMissingColumns=True)
 
 
 def positional_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_order: Column, right_order: Column) -> DataFrame:

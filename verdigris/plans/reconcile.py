@@ -133,12 +133,12 @@ both("p21_upsert", "select c.c_custkey, coalesce(u.name, c.c_name) as name from
 both("p22_trim_all", "select p_partkey, trim(x) as x, case when lower(y) in ('none', 'nan') then null else y end as y from (select p_partkey, ' ' || p_name || ' ' as x, case when p_partkey % 3 = 0 then 'None' else p_brand end as y from {part}) as t")
 both("p24_conditional_default", "select er_id, case when trim(invoice) = '' and vat = 0 then '' when trim(invoice) <> '' and vat = 0 then '0' else cast(vat as string) end as amount from {ext} as e", "ext")
 both("j06_inner_align", "select g.call_id, count(*) as n from {gt} as g join {cand} as c on g.call_id = c.call_id group by g.call_id", "gt", "cand")
-both("j07_left_match_flag", "select o_orderkey, o_custkey, c.k is not null as matched from {orders} left join (select c_custkey as k, min(c_name) as name from {customer} where c_custkey % 2 = 0 group by c_custkey) as c on o_custkey = c.k")
+both("j07_left_match_flag", "select o_orderkey, o_custkey, c.k is not null as matched from {orders} left join (select c_custkey as k, min(c_name) as name from {customer} group by c_custkey) as c on o_custkey * 2 = c.k")
 both("j10_tax_join", "select s_suppkey, c_custkey from {supplier} join {customer} on lpad(cast(s_suppkey * 3 as string), 13, '0') = lpad(cast(c_custkey as string), 13, '0')")
 both("j11_on_predicate", "select o_orderkey, l.l_partkey from {orders} left join (select l_orderkey, min(l_partkey) as l_partkey from {lineitem} group by l_orderkey) as l on o_orderkey = l.l_orderkey and l.l_partkey > 1000")
 both("j12_semi", "select c_custkey from {customer} where c_custkey in (select distinct o_custkey from {orders} where o_orderstatus = 'F')")
 both("j13_key_resolution", "select distinct c_custkey, n_name, r_name from {customer} join {nation} on c_nationkey = n_nationkey join {region} on n_regionkey = r_regionkey")
-both("j14_distinct_both", "select a.k from (select distinct o_custkey as k from {orders}) as a join (select distinct c_custkey as k from {customer} where c_custkey % 4 = 1) as b on a.k = b.k")
+both("j14_distinct_both", "select a.k from (select distinct o_custkey * 4 + 1 as k from {orders}) as a join (select distinct c_custkey as k from {customer}) as b on a.k = b.k")
 both("j15_latest_attribute", "select c_custkey, o.o_orderkey, o.o_orderpriority from {customer} left join (select o_custkey, o_orderkey, o_orderpriority, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) as rn from {orders}) as o on c_custkey = o.o_custkey and o.rn = 1")
 both("j16_snapshot", "select o_orderkey, s.name from {orders} left join (select cast(s_suppkey as string) as k, min(s_name) as name from {supplier} group by s_suppkey) as s on cast(o_custkey as string) = s.k")
 both("j17_membership", "select s_suppkey, a.k is not null or b.k is not null as active from {supplier} left join (select distinct l_suppkey as k from {lineitem} where l_quantity > 49) as a on s_suppkey = a.k left join (select distinct ps as k from (select l_suppkey as ps from {lineitem} where l_discount > 0.09) as x) as b on s_suppkey = b.k")

@@ -110,13 +110,13 @@ def a30(spark, d):
 
 both("e02_named_nothing", "select outcome, count_if(props is null or props = '{{}}') as empty, count(*) as n from {runs} as r group by outcome".replace("{{}}", "[]"), "runs")
 both("e04_key_collisions", "select count(*) as n, count(distinct item_id * 100000 + replicate) as keys from {runs} as r", "runs")
-both("e05_task_matrix", """with t as (select item_id, 1 as k from {runs} as r group by item_id), s as (select item_id, count(distinct replicate) as done, max(replicate) as top from {runs} as r where replicate <= 3 group by item_id)
-select cast(sum(3 - coalesce(done, 0)) as bigint) as missing, count_if(coalesce(done, 0) = 3) as complete from t left join s on t.item_id = s.item_id""", "runs")
+both("e05_task_matrix", """with s as (select item_id, count(distinct case when replicate <= 3 then replicate end) as done, count_if(replicate > 3) as extra from {runs} as r group by item_id)
+select cast(sum(3 - done) as bigint) as missing, cast(sum(extra) as bigint) as unexpected, count_if(done = 3 and extra = 0) as complete from s""", "runs")
 both("e06_instability", """select item_id, count(*) as replicates, count(distinct props) > 1 as raw_unstable, count(distinct outcome) > 1 as scored_unstable, count(distinct props) > 1 and count(distinct outcome) = 1 as cosmetic from {runs} as r group by item_id having count(*) > 1""", "runs")
 both("e07_decomposition", """with s as (select item_id, count(distinct props) > 1 as raw, count(distinct outcome) > 1 as scored from {runs} as r group by item_id having count(*) > 1)
 select count(*) as observable, count_if(raw) as raw_unstable, count_if(scored) as scored_unstable, round(avg(case when scored then 1e0 else 0e0 end), 6) as rate from s""", "runs")
-both("e08_flips", """with n as (select max(replicate) as reps, item_id from {runs} as r where replicate <= 4 group by item_id),
-c as (select item_id, event_type, count(distinct outcome) as kinds, count(distinct replicate) as seen from {runs} as r where replicate <= 4 group by item_id, event_type)
+both("e08_flips", """with n as (select max(replicate) as reps, item_id from {runs} as r group by item_id),
+c as (select item_id, event_type, count(distinct outcome) as kinds, count(distinct replicate) as seen from {runs} as r group by item_id, event_type)
 select count_if(kinds > 1 or seen < reps) as flips, count(*) as cells from c join n on c.item_id = n.item_id where reps >= 2""", "runs")
 both("e09_mechanisms", """with h as (select item_id, item_id % 10 as mechanism, count_if(outcome = 'ok') as hits, count(*) as n from {runs} as r group by item_id)
 select mechanism, case when count_if(hits = 0) > 0 then 'FAIL' when count_if(hits > 0 and hits < n) > 0 then 'FLAKY' else 'PASS' end as verdict, count_if(hits = n) as always_correct, count(*) as items from h group by mechanism""", "runs")
@@ -159,10 +159,17 @@ def w11(spark, d):
     return islands.consecutive_runs(_polls(spark, d), ["host"], ["us", "event_id"], F.col("event_type").isin("error", "view"), 4).select("host", F.col("start"), "length")
 
 
-@query("w12_gaps", """with p as (select user_id % 20 as host, epoch_us(ts) as us from events), g as (select host, lag(us) over (partition by host order by us) as gap_start, us as gap_end from p)
-select host, gap_start, gap_end, gap_end - gap_start as gap from g where gap_end - gap_start > 3600000000""")
+_ENDED = "epoch_us(ts) + cast(value * 60000000 as bigint)"
+
+
+@query("w12_gaps", f"""with p as (select user_id % 20 as host, epoch_us(ts) as us, {_ENDED} as ended, event_type <> 'error' as ok from events),
+g as (select host, gap_start, gap_end, gap_end - gap_start as gap from (select host, lag(us) over (partition by host order by us) as gap_start, us as gap_end from p) as x where gap_end - gap_start > 3600000000)
+select g.host, gap_start, gap_end, gap, count(p.ended) as requests_in_window, count(*) filter (p.ok) as successes_in_window, count(*) filter (p.ok) > 0 as excused
+from g left join p on g.host = p.host and p.ended between gap_start and gap_end group by g.host, gap_start, gap_end, gap""")
 def w12(spark, d):
-    return islands.gaps(_polls(spark, d), ["host"], "us", 3_600_000_000)
+    ended = F.unix_micros(F.col("ts").cast("timestamp")) + (F.col("value") * 60_000_000).cast("decimal(20,0)").cast("long")
+    requests = table(spark, d, "events").select((F.col("user_id") % 20).alias("host"), ended.alias("ended"), (F.col("event_type") != "error").alias("ok"))
+    return islands.excused_gaps(_polls(spark, d), requests, ["host"], "us", 3_600_000_000, "ended", "ok")
 
 
 @query("t10_interval_union", """with s as (select user_id, epoch_us(ts) // 1000000 as a, epoch_us(ts) // 1000000 + cast(value * 100 as bigint) as b from events),

@@ -221,7 +221,7 @@ both("l05_retention", "select o_orderkey, cast(day as string) as day from (selec
 both("l06_job_expiry", "select o_custkey from {orders} group by o_custkey having max(cast(o_orderdate as date)) < date '1997-01-01'")
 both("l08_terminal_stamp", "select user_id, event_id, event_type from (select user_id, event_id, event_type, row_number() over (partition by user_id order by event_id desc) as rn from {events}) as x where rn = 1 and event_type not in ('purchase', 'error')")
 both("l09_checkpoint_filter", "select event_id from {events} where event_type not in ('purchase', 'error')")
-both("l10_insert_only_merge", "select count_if(b.k is not null) as conflicts, count(*) as new_rows from (select o_orderkey as k from {orders} where o_orderkey % 10 = 0) as a left join (select o_orderkey as k from {orders} where o_orderkey % 10 = 1) as b on a.k = b.k")
+both("l10_insert_only_merge", "select count_if(b.k is not null) as conflicts, count(*) as new_rows from (select o_orderkey + o_custkey as k from {orders}) as a left join (select o_orderkey as k from {orders}) as b on a.k = b.k")
 both("l11_control_log", "select user_id, event_type, max(event_id) as last_id from {events} group by user_id, event_type")
 both("l07_month_expiry", "select date_part('year', o_orderdate) * 100 + date_part('month', o_orderdate) as month_no, count(*) as n from {orders} where date_part('year', o_orderdate) >= 1997 group by 1")
 
