@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import jsons
-from ..operators import islands, quantiles, ranking
+from ..operators import islands, operations, quantiles, ranking
 from ..operators import runs as run_ops
 from ..operators.scoring import last_of_each
 from .bindings import frame, run_sql, table, with_frames
@@ -63,8 +63,29 @@ def a32(spark, d):
 
 both("a21_median", "select event_type, round(median(value), 6) as median from {events} group by event_type")
 both("a22_latency_export", "select outcome, round(median(latency_s), 6) as median, round(max(latency_s), 6) as top from {runs} as r group by outcome", "runs")
-both("a23_operations", """select outcome, count(*) as calls, cast(sum(prompt_tokens) as bigint) as prompt_tokens, cast(sum(completion_tokens) as bigint) as completion_tokens,
-  count_if(completion_tokens is null) as missing_completion, round(sum(cost), 4) as cost_floor, count_if(cost is null) as missing_cost from {runs} as r group by outcome""", "runs")
+def _ranked(by: str, value: str, rows: str, **places: str) -> str:
+    """SQL of a rank's element for each group, built from row numbers."""
+    inner = f"select {by}, {value} as v, row_number() over (partition by {by} order by {value}) as r, count(*) over (partition by {by}) as n from {rows} as t where {value} is not null"
+    return f"select {by}, " + ", ".join(f"round(max(case when r = {p} then v end), 6) as {k}" for k, p in places.items()) + f" from ({inner}) as x group by {by}"
+
+
+_CEIL = {k: f"cast(ceil({q} * n) as bigint)" for k, q in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))}
+_TRUNC = "case when floor(0.95 * n) < 1 then n else cast(floor(0.95 * n) as bigint) end"
+_ROUNDED = "greatest(1, least(n, cast(round_even(0.95 * n + 0.5, 0) as bigint)))"
+
+
+@query(
+    "a23_operations",
+    f"""with s as (select event_type, count(*) as calls, count_if(outcome = 'ok') as parse_ok, round(count_if(outcome = 'ok') / count(*), 6) as parse_valid_rate, count_if(outcome = 'ok') >= 0.99 * count(*) as reliable,
+  round(max(latency_s), 6) as top, cast(sum(prompt_tokens) as bigint) as prompt_tokens, cast(sum(completion_tokens) as bigint) as completion_tokens, count_if(completion_tokens is null) as missing_completion,
+  round(sum(cost), 4) as cost_floor, count_if(cost is null) as missing_cost from {{runs}} as r group by event_type)
+select s.*, q.p50, q.p95, q.p99 from s join ({_ranked("event_type", "latency_s", "{runs}", **_CEIL)}) as q on s.event_type = q.event_type""",
+    "runs",
+)
+def a23(spark, d):
+    return operations.operational_summary(frame(spark, d, "runs"), ["event_type"])
+
+
 both("a24_histogram", "select outcome, replicate, count(*) as n from {runs} as r group by outcome, replicate", "runs")
 both("a25_token_spread", "select item_id, count(distinct prompt_tokens) as spread, count(distinct prompt_tokens) > 1 as split from {runs} as r where prompt_tokens > 0 group by item_id", "runs")
 both("a26_rates", "select item_id, round(avg(case when outcome = 'ok' then 1e0 else 0e0 end), 6) as ok_rate, count_if(completion_tokens is null) as missing_usage, round(sum(cost), 4) as cost from {runs} as r group by item_id", "runs")
@@ -72,8 +93,26 @@ both("a27_cost_per_correct", """with s as (select item_id, min(replicate) as rep
 c as (select r.event_type, r.cost, case when r.completion_tokens % 2 = 0 then 1 else 0 end as hit from {runs} as r join s on r.item_id = s.item_id and r.replicate = s.replicate)
 select event_type, cast(sum(hit) as bigint) as hits, round(sum(cost) / nullif(sum(hit), 0), 6) as cost_per_hit from c group by event_type""", "runs")
 both("a29_determinism", "select concurrency, count(*) as n, count_if(completion_tokens % 5 = 0) as mismatched from {requests} as r group by concurrency", "requests")
-both("a31_first_last", "select event_type, round(min(value), 6) as low, round(avg(value), 6) as mean, round(max(value), 6) as top, round(max_by(value, event_id) - min_by(value, event_id), 6) as delta from {events} group by event_type")
-both("a33_arm_table", "select event_type, outcome, count(*) as n, round(avg(latency_s), 6) as mean, cast(sum(case when prompt_tokens % 2 = 0 then prompt_tokens else 0 end) as bigint) as text_tokens, cast(sum(case when prompt_tokens % 2 = 1 then prompt_tokens else 0 end) as bigint) as audio_tokens from {runs} as r group by event_type, outcome", "runs")
+@query(
+    "a31_first_last",
+    f"""with s as (select event_type, count(value) as samples, round(min(value), 6) as low, round(avg(value), 6) as mean, round(max(value), 6) as top, round(max_by(value, event_id) - min_by(value, event_id), 6) as delta from events group by event_type)
+select s.*, q.p95 from s join ({_ranked("event_type", "value", "events", p95=_ROUNDED)}) as q on s.event_type = q.event_type""",
+)
+def a31(spark, d):
+    return operations.sample_blocks(table(spark, d, "events"), ["event_type"], "value", "event_id")
+
+
+@query(
+    "a33_arm_table",
+    f"""with s as (select event_type, outcome, count(*) as n, round(avg(latency_s), 6) as mean, cast(sum(case when prompt_tokens % 2 = 0 then prompt_tokens else 0 end) as bigint) as text_tokens,
+  cast(sum(case when prompt_tokens % 2 = 1 then prompt_tokens else 0 end) as bigint) as audio_tokens from {{runs}} as r group by event_type, outcome)
+select s.*, q.p50, q.p95 from s join ({_ranked("event_type, outcome", "latency_s", "{runs}", p50=_CEIL["p50"], p95=_TRUNC)}) as q on s.event_type = q.event_type and s.outcome = q.outcome""",
+    "runs",
+)
+def a33(spark, d):
+    return operations.arm_table(frame(spark, d, "runs").withColumn("audio", F.col("prompt_tokens") % 2 == 1), ["event_type", "outcome"])
+
+
 both("c16_stability", """with a as (select item_id, event_id % 2 as arm, count(*) as n, count(distinct completion_tokens % 3) as distinct_values from {runs} as r group by item_id, event_id % 2),
 s as (select item_id, arm, n >= 2 and distinct_values = 1 as stable from a)
 select count_if(x.stable and y.stable) as both_right, count_if(x.stable and not y.stable) as inc_only, count_if(not x.stable and y.stable) as cand_only, count_if(not x.stable and not y.stable) as both_wrong
