@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import spoken as sp
 from ..operators import evidence as ev
+from ..operators import leaks
 from ..operators import testsets as ts
 from ..operators import transcripts as tr
 from .bindings import CALL_RESULTS, PRODUCTS, REASONS, frame, frame_sql, pick, table
@@ -139,3 +140,16 @@ def t09(spark, d):
     for i, word in enumerate(sp.DIGIT_WORDS):
         said = F.replace(said, F.lit(str(i)), F.lit(word + " "))
     return table(spark, d, "orders").select("o_orderkey", F.array_join(sp.spoken_runs(tr.lossless(said)), ",").alias("runs"))
+
+
+#: Templates are two pieces of every benchmark item with slots between and behind them; a third piece is too short to count.
+@query(
+    "e30_leak_probe",
+    """with t as (select row_number() over (order by item_id) as template_id, trim(substr(text, 1, 14), chr(32) || chr(10)) as a, trim(substr(text, 30, 12), chr(32) || chr(10)) as b from benchmark),
+h as (select d.doc_id, list(t.template_id order by t.template_id) as sig from documents as d join t on (length(a) >= 8 or length(b) >= 8) and (length(a) < 8 or contains(d.text, a)) and (length(b) < 8 or contains(d.text, b)) group by 1),
+c as (select coalesce(h.sig, []) as sig, d.lang, count(*) as n from documents as d left join h using (doc_id) group by 1, 2), g as (select sig, max(n) as top, sum(n) as total from c group by 1)
+select round(sum(top) filter (total > 1) / sum(total) filter (total > 1), 6) as accuracy, cast(sum(total) filter (total > 1) as bigint) as scored, count(*) filter (total = 1) as singletons, count(*) as signatures from g""",
+)
+def e30(spark, d):
+    templates = spark.sql("select row_number() over (order by item_id) as template_id, substr(text, 1, 14) || '{{slot}}' || substr(text, 30, 12) || '{{other}}' || substr(text, 60, 5) as template from {b}", b=table(spark, d, "benchmark"))
+    return leaks.best_accuracy(leaks.with_signatures(table(spark, d, "documents"), templates), "lang")

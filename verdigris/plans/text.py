@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.normalize import norm_reasons
 from ..operators import scoring as sc
 from ..operators import transcripts as tr
+from ..operators import usage
 from .bindings import REASONS, frame, run_sql, table, with_frames
 
 QUERIES: dict = {}
@@ -137,11 +138,6 @@ def e27(spark, d):
     return table(spark, d, "events").groupBy("event_type").agg(F.array_join(F.array_sort(F.collect_set((F.col("user_id") % 13).cast("string"))), ",").alias("cites"))
 
 
-both("e30_leak_probe", """with s as (select case when text like '%the%' then 'a' else '-' end || case when text like '%der%' then 'b' else '-' end || case when text like '%le %' then 'c' else '-' end as sig, lang from {documents}),
-c as (select sig, lang, count(*) as n from s group by sig, lang), m as (select sig, max(n) as top, sum(n) as total from c group by sig)
-select round(sum(case when total > 1 then top else 0 end) / sum(total), 6) as upper_bound, count(*) as signatures from m""")
-
-
 @query("e31_slice_f1", "with g as (select call_id, product, call_result from {gt} as t where phone is not null), p as (select call_id, product, call_result from {inc} as t where phone is not null), j as (select g.call_result as a, p.call_result as b from g join p using (call_id, product) where cast(g.call_id as bigint) % 2 = 0) select count_if(a = 'save' and b = 'save') as tp, round(2.0 * count_if(a = 'save' and b = 'save') / (count_if(a = 'save') + count_if(b = 'save')), 6) as f1 from j", "gt", "inc")
 def e31(spark, d):
     g = frame(spark, d, "gt").where("phone is not null").select("call_id", "product", F.col("call_result").alias("a"))
@@ -162,10 +158,36 @@ def a35(spark, d):
     return table(spark, d, "events").groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean"), (F.unix_micros(F.max(at)) / 1e6 - F.unix_micros(F.min(at)) / 1e6).cast("decimal(20,6)").cast("double").alias("exact")).select("event_type", "mean", F.round("exact").cast("long").alias("runtime"))
 
 
-@query("a37_cost_pricing", "with u as (select event_type, user_id % 3 as modality, cast(json_extract_string(props, '$.k') as bigint) as tokens from events), p(modality, price) as (values (0, 0.5), (1, 1.25), (2, 3.0)) select event_type, round(sum(cast(tokens as double) * price / 1000), 6) as cost from u join p using (modality) group by 1")
+#: Prices of a thousand tokens: model, direction, modality, price.
+_PRICES = [
+    ("click", "input", "text", 0.15), ("click", "input", "audio", 0.5), ("click", "output", "all", 1.25),
+    ("view", "input", "all", 0.1), ("view", "output", "text", 0.3), ("view", "output", "thoughts", 0.4), ("purchase", "input", "text", 1.0),
+]
+
+
+@query(
+    "a37_cost_pricing",
+    f"""with p(model, direction, modality, price) as (values {", ".join(map(str, _PRICES))}),
+u as (select event_id, event_type, cast(json_extract_string(props, '$.k') as bigint) as k, user_id, event_id % 50 as cached, event_id % 5 as thoughts from events),
+t as (select event_id, event_type, 'input' as direction, 'text' as modality, greatest(k + 3 - cached, 0) as n from u union all select event_id, event_type, 'input', 'audio', greatest(user_id - greatest(cached - k - 3, 0), 0) from u
+union all select event_id, event_type, 'output', 'text', k from u union all select event_id, event_type, 'output', 'thoughts', thoughts from u),
+c as (select t.*, coalesce(a.price, b.price) as price from t left join p as a on a.model = t.event_type and a.direction = t.direction and a.modality = t.modality left join p as b on b.model = t.event_type and b.direction = t.direction and b.modality = 'all'),
+r as (select event_id, event_type, round(coalesce(sum(n * price / 1000) filter (direction = 'input'), 0), 6) as i, round(coalesce(sum(n * price / 1000) filter (direction = 'output'), 0), 6) as o, coalesce(sum(n) filter (price is null), 0) as u from c group by 1, 2)
+select event_type, round(sum(i), 4) as cost_input, round(sum(o), 4) as cost_output, cast(sum(u) as bigint) as unpriced from r group by 1""",
+)
 def a37(spark, d):
-    price = F.element_at(F.array(F.lit(0.5), F.lit(1.25), F.lit(3.0)), (F.col("user_id") % 3 + 1).cast("int"))
-    return table(spark, d, "events").groupBy("event_type").agg(F.round(F.sum(F.get_json_object("props", "$.k").cast("double") * price / 1000), 6).alias("cost"))
+    k = F.get_json_object("props", "$.k").cast("long")
+    detail = lambda *parts: F.array(*[F.struct(F.lit(m).alias("modality"), n.alias("tokenCount")) for m, n in parts])
+    said = F.struct(
+        detail(("TEXT", k), ("AUDIO", F.col("user_id")), ("TEXT", F.lit(3).cast("long"))).alias("promptTokensDetails"),
+        detail(("TEXT", k)).alias("candidatesTokensDetails"),
+        (F.col("event_id") % 5).alias("thoughtsTokenCount"),
+        (F.col("event_id") % 50).alias("cachedContentTokenCount"),
+    )
+    prices = spark.createDataFrame([(m, way, kind, price / 1000) for m, way, kind, price in _PRICES], "model string, direction string, modality string, cost_per_token double")
+    rows = usage.usage_tokens(table(spark, d, "events").select("event_type", F.to_json(said).alias("usage")))
+    costs = usage.with_costs(rows, prices, "event_type").groupBy("event_type")
+    return costs.agg(F.round(F.sum("cost_input"), 4).alias("cost_input"), F.round(F.sum("cost_output"), 4).alias("cost_output"), F.sum("unpriced").alias("unpriced"))
 
 
 @query("a39_messages_in_order", "with f as (select user_id, event_type, min(event_id) as pos from events group by 1, 2) select user_id, string_agg(event_type, ', ' order by pos) as messages from f group by 1")
