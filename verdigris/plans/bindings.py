@@ -79,6 +79,14 @@ select item_id, turn % 2 as replicate, product, 'main' as slot, case kind when 0
 from (select cast(conv_id as string) as item_id, turn, text, 'p' || cast(turn as string) as product, (conv_id + turn) % 6 as kind, lead({_SAID}) over (partition by conv_id order by turn) as next_said from {{conversations}}) as turns
 union all select cast(conv_id as string), turn % 2, 'p' || cast(turn as string), 'third', substr(text, 2) from {{conversations}} where turn % 3 = 0"""
 
+#: Answers of two arms to an item, some seven each; few events of an item differ: a label, a slot, a block, a quote, advice, an unread text.
+FRAMES["said"] = f"""
+select item_id, arm, row_number() over (partition by item_id, arm order by event_id) as replicate, {pick("item_id % 4", PRODUCTS)} as p,
+  {pick("(item_id + case when event_id % 37 = 0 or (arm = 'b' and item_id % 5 = 0) then 1 else 0 end) % 4", CALL_RESULTS)} as outcome, {pick("item_id % 11", REASONS)} as reason,
+  case when item_id % 2 = 0 and event_id % 3 = 0 then 'third' else 'main' end as slot, case when event_id % 43 = 0 then 'k1' else 'k' end as keyword, case when event_id % 53 = 0 then 'r1' else 'r' end as advice,
+  case when item_id % 3 <> 0 then 0 when event_id % 71 = 0 then 1 when event_id % 73 = 0 then 2 else 3 end as second, item_id % 17 = 0 as bare, event_id % 89 <> 0 as parse_ok
+from (select user_id * 10 + event_id % 10 as item_id, case when floor(event_id / 10) % 2 = 0 then 'a' else 'b' end as arm, event_id from {{events}}) as e"""
+
 Frame = dict[str, str]
 
 
