@@ -1,4 +1,4 @@
-"""Answers given several times: rows, instability, cells that flip, and arms compared; queries over all events and order lines, and their SQL."""
+"""Answers given several times, and splits of test sets: rows, instability, cells that flip, and arms compared; queries over all events and order lines, and their SQL."""
 
 from __future__ import annotations
 
@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import answers as an
-from .bindings import frame, frame_sql
+from ..operators import splits as sp
+from .bindings import frame, frame_sql, table
 
 QUERIES: dict = {}
 
@@ -113,3 +114,36 @@ select item_id, case when failed > 0 then 'PARSE_FAILED' when changed > 0 then '
 )
 def e12_items(spark, d):
     return an.item_verdicts(an.field_verdicts(_answers(spark, d), ("a", "b")))
+
+
+#: Parts as items: some are longer versions of another one.
+_PACK = """select 'RET-' || cast(p_partkey as string) as item_id, p_type as family, case when p_partkey % 20 in (7, 13) then 'dilation of RET-' || cast(p_partkey - p_partkey % 20 as string) || ' at 3x: long' when p_partkey % 6 = 0 then 'plain' end as mechanism from {part}"""
+#: A split of them that is wrong in every way.
+_SPLIT = """select item_id, part from (select 'RET-' || cast(p_partkey + case when p_partkey % 43 = 0 then 1000000000 else 0 end as string) as item_id, case when p_partkey % 3 = 0 then 'tune' else 'holdout' end as part, p_partkey from {part}) as s where p_partkey % 31 <> 0
+union all select 'RET-' || cast(p_partkey as string), case when p_partkey % 2 = 0 then 'tune' else 'holdout' end from {part} where p_partkey % 37 = 0"""
+_BLOCKS = f"""i as ({_PACK.replace("{part}", "part")}), b as (select item_id, family, coalesce(nullif(regexp_extract(mechanism, '^dilation of (RET-[0-9]+) at [0-9]+x:', 1), ''), item_id) as block from i)"""
+
+
+@query(
+    "e24_families",
+    f"""with {_BLOCKS}, h as (select block, count(*) as n, min({{'f': family, 'i': item_id}}) as first from b group by 1), s as (select block, case when n > 1 then 'dilation-block' else first.f end as stratum, first from h),
+d as (select block, stratum, case when (row_number() over (partition by stratum order by first.f, first.i) - 1) % 3 = 0 then 'tune' else 'holdout' end as part from s)
+select item_id, family, block, stratum, part from b join d using (block)""",
+)
+def e24(spark, d):
+    return sp.draw(spark.sql(_PACK, part=table(spark, d, "part")))
+
+
+@query(
+    "e25_split_problems",
+    f"""with {_BLOCKS}, s as ({_SPLIT.replace("{part}", "part")}), c as (select item_id, part, count(*) as n from s group by 1, 2), t as (select item_id from c where part = 'tune'),
+z as (select block, count(*) as n, count(*) filter (item_id in (select item_id from t)) as tuned from b group by 1)
+select 'duplicate' as problem, part, item_id as detail from c where n > 1
+union all select 'unknown', part, item_id from c where item_id not in (select item_id from i)
+union all select 'overlap', null, item_id from c where part = 'holdout' and item_id in (select item_id from t)
+union all select 'missing', null, item_id from i where item_id not in (select item_id from c)
+union all select 'straddling', null, block from z where tuned > 0 and tuned < n""",
+)
+def e25(spark, d):
+    part = table(spark, d, "part")
+    return sp.problems(spark.sql(_SPLIT, part=part), spark.sql(_PACK, part=part))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import normalize as nz
 from ..operators import matching
 from ..operators import reconcile as rc
-from ..operators.ranking import global_forward_fill, global_row_number
+from ..operators.ranking import global_forward_fill, global_row_number, ordered_row_number
 from .bindings import frame, run_sql, table, with_frames
 
 QUERIES: dict = {}
@@ -177,8 +177,18 @@ def j23(spark, d):
     return part.join(mapping, F.lower("p_type") == F.col("t"), "left").select("p_partkey", F.coalesce("grp", F.lit("Other")).alias("category"))
 
 
-both("o01_mixed_sort", "select row_number() over (order by c_nationkey desc, c_acctbal desc, c_name, c_custkey) as pos, c_custkey from {customer}")
-both("o02_rank_sort", "select o_orderkey, row_number() over (order by case o_orderpriority when '1-URGENT' then 0 when '2-HIGH' then 1 else 2 end, o_orderkey) as pos from {orders}")
+@query("o01_mixed_sort", "select row_number() over (order by c_nationkey desc, c_acctbal desc, c_name, c_custkey) as pos, c_custkey from customer")
+def o01(spark, d):
+    order = [-F.col("c_nationkey"), -F.col("c_acctbal"), F.col("c_name"), F.col("c_custkey")]
+    return ordered_row_number(table(spark, d, "customer"), order, "pos").select("pos", "c_custkey")
+
+
+@query("o02_rank_sort", "select o_orderkey, row_number() over (order by case o_orderpriority when '1-URGENT' then 0 when '2-HIGH' then 1 else 2 end, o_orderkey) as pos from orders")
+def o02(spark, d):
+    rank = F.when(F.col("o_orderpriority") == "1-URGENT", 0).when(F.col("o_orderpriority") == "2-HIGH", 1).otherwise(2)
+    return ordered_row_number(table(spark, d, "orders"), [rank, F.col("o_orderkey")], "pos").select("o_orderkey", "pos")
+
+
 both("o03_most_common", "select user_id, max_by(event_type, n * 100000000 - first_id) as top from (select user_id, event_type, count(*) as n, min(event_id) as first_id from {events} group by user_id, event_type) as x group by user_id")
 both("o04_longest", "select doc_id, n_chars from {documents} order by n_chars desc, doc_id limit 10")
 both("o06_union_rejects", "select doc_id, lang, cast(null as string) as reason from {documents} where n_chars >= 500 union all select doc_id, cast(null as string), 'short' from {documents} where n_chars < 500")
