@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import stats
 from ..operators import answers as an
+from ..operators import gates, paired
 from ..operators import splits as sp
-from .bindings import frame, frame_sql, table
+from .bindings import CALL_RESULTS, frame, frame_sql, pick, table, with_frames
 
 QUERIES: dict = {}
 
@@ -147,3 +149,54 @@ union all select 'straddling', null, block from z where tuned > 0 and tuned < n"
 def e25(spark, d):
     part = table(spark, d, "part")
     return sp.problems(spark.sql(_SPLIT, part=part), spark.sql(_PACK, part=part))
+
+
+#: Calls of fifty arms; now and then another model, reasoning, no usage, or a prompt of another length.
+_CALLS = """select item_id % 50 as arm, item_id, outcome, case when event_id % 1499 = 0 then 'n' when event_id % 701 = 0 then null else 'm' end as model, case when item_id % 50 = 7 then null else 'p' end as provider,
+  case when event_id % 1009 = 0 then 5 when event_id % 811 = 0 then null else 0 end as reasoning_tokens, case when event_id % 907 = 0 then 0 when event_id % 1201 = 0 then 10 else 9 end as prompt_tokens from {runs} as r"""
+
+
+@query(
+    "c17_runtime",
+    f"""with c as ({with_frames(_CALLS, "runs")}), p as (select arm, count(distinct prompt_tokens) filter (prompt_tokens > 0) > 1 as split from c group by arm, item_id), q as (select arm, bool_or(split) as split from p group by 1),
+s as (select arm, count(*) as total, count(*) filter (outcome = 'ok') as parse_ok, count(*) filter (model <> 'm') > 0 or count(*) filter (model = 'm') = 0 as a, count(*) filter (provider <> 'p') > 0 or count(*) filter (provider = 'p') = 0 as b,
+  count(*) filter (outcome = 'ok' and model is null) > 0 as c, count(*) filter (outcome = 'ok' and provider is null) > 0 as d, count(*) filter (reasoning_tokens <> 0 or (outcome = 'ok' and reasoning_tokens is null)) > 0 as e,
+  count(*) filter (outcome = 'ok' and coalesce(prompt_tokens, 0) <= 0) > 0 as f from c group by 1)
+select arm, total, parse_ok, parse_ok / total >= 0.99 as reliable, concat_ws(',', case when a then 'model' end, case when b then 'provider' end, case when c then 'model_unknown' end, case when d then 'provider_unknown' end, case when e then 'reasoning' end, case when f then 'usage' end, case when split then 'split' end) as problems from s join q using (arm)""",
+)
+def c17(spark, d):
+    calls = spark.sql(_CALLS, runs=frame(spark, d, "runs"))
+    return gates.runtime_gate(calls, ["arm"], "m", "p").withColumn("problems", F.array_join("problems", ","))
+
+
+_RIGHT = f"""select item_id, item_id % 10 as pair, arm, bool_and(outcome = {pick("item_id % 4", CALL_RESULTS)}) as call_result, bool_and(keyword = 'k') as reason, bool_and(second not in (1, 2)) as product, count(*) >= 2 and count(distinct outcome) = 1 as stability"""
+_DIMS = ", ".join(f"'{x}'" for x in (*gates.DIMENSIONS, gates.STABILITY))
+
+
+@query(
+    "c18_decisions",
+    f"""with u as ({_RIGHT} from ({_SAID}) as s group by 1, 2, 3),
+p as (select a.pair, unnest([{_DIMS}]) as dimension, unnest([1, 2, 3, 4]) as pos, unnest([a.call_result, a.reason, a.product, a.stability]) as x, unnest([b.call_result, b.reason, b.product, b.stability]) as y from u as a join u as b on a.item_id = b.item_id and a.arm = 'a' and b.arm = 'b'),
+t as (select pair, dimension, pos, count(*) filter (x <> y) as d, count(*) filter (y and not x) - count(*) filter (x and not y) as net from p group by 1, 2, 3),
+w as (select pair, dimension, pos, d, net, wins, sum(exp(lgamma(d + 1) - lgamma(wins + 1) - lgamma(d - wins + 1) - d * ln(2.0))) over (partition by pair, dimension order by wins desc) as tail from t, unnest(range((d + 1) // 2, d + 1)) as r(wins)),
+b as (select pair, dimension, pos, net, min(case when tail <= 1.0 / 64 + 0.000000000001 then 2 * wins - d end) as band from w group by 1, 2, 3, 4),
+v as (select pair, string_agg('behind:' || dimension, ',' order by pos) filter (net <= -band) as behind, string_agg('underpowered:' || dimension, ',' order by pos) filter (band is null) as thin,
+  string_agg('net_loss:' || dimension, ',' order by pos) filter (abs(net) < band and net < case when dimension = 'reason' then -1 else 0 end) as lost from b group by 1),
+c as (select item_id % 10 as pair, count(*) filter (arm = 'a') as ta, count(*) filter (arm = 'b') as tb, count(*) filter (arm = 'a' and (parse_ok or slot = 'main')) as a, count(*) filter (arm = 'b' and (parse_ok or slot = 'main')) as b from ({_SAID}) as s group by 1),
+e as (select *, case when pair = 9 then 'UNAVAILABLE;qualification' when pair = 8 then 'INCONCLUSIVE;candidate:split' when a / ta < 0.99 then 'INCONCLUSIVE;incumbent_unreliable' when b / tb < 0.99 then 'FAIL;unreliable' when behind is not null then 'FAIL;' || behind
+  when thin is not null or lost is not null then 'INCONCLUSIVE;' || concat_ws(',', thin, lost) else 'PASS;' end as r from c join v using (pair))
+select pair, split_part(r, ';', 1) as decision, split_part(r, ';', 2) as reasons from e""",
+)
+def c18(spark, d):
+    said = frame(spark, d, "said")
+    sides = spark.sql(_RIGHT + " from {said} group by 1, 2, 3", said=said)
+    both = sides.groupBy("pair", "item_id").agg(*[F.bool_and(F.when(F.col("arm") == a, F.col(x))).alias(f"{x}_{a}") for x in (*gates.DIMENSIONS, gates.STABILITY) for a in "ab"])
+    cells = [F.struct(F.lit(x).alias("dimension"), F.col(f"{x}_a").alias("inc_ok"), F.col(f"{x}_b").alias("cand_ok")) for x in (*gates.DIMENSIONS, gates.STABILITY)]
+    two = paired.disagreement(both.select("pair", F.inline(F.array(*cells))), ["pair", "dimension"])
+    two = two.select("pair", "dimension", (F.col("inc_only") + F.col("cand_only")).alias("discordant"), (F.col("cand_only") - F.col("inc_only")).alias("net")).withColumn("band", stats.sign_band_of("discordant"))
+    read = F.col("parse_ok") | (F.col("slot") == "main")
+    counts = [F.count_if((F.col("arm") == a) & w).alias(n) for n, a, w in (("parse_ok", "b", read), ("total", "b", F.lit(True)), ("ref_parse_ok", "a", read), ("ref_total", "a", F.lit(True)))]
+    arms = said.groupBy((F.col("item_id") % 10).alias("pair")).agg(*counts)
+    arms = arms.withColumns({"qualification": F.when(F.col("pair") == 9, "REGIME_INCOMPATIBLE").otherwise("QUALIFIED"), "problems": F.when(F.col("pair") == 8, F.array(F.lit("split"))), "ref_problems": F.array().cast("array<string>")})
+    out = gates.decisions(arms, two.withColumn("verdict", stats.verdict(F.col("net"), F.col("band"))), ["pair"], margins={"reason": 1})
+    return out.withColumn("reasons", F.array_join("reasons", ","))
