@@ -25,10 +25,16 @@ def both(name: str, sql: str, *frames: str) -> None:
     QUERIES[name] = run_sql(sql, *frames)
 
 
+def _clean(spark, d):
+    return tr.with_runaways(tr.spread(frame(spark, d, "whole_texts")), "ref", "hyp").where("runaway is null").drop("runaway")
+
+
 def _scored(spark, d, kind):
-    rows = tr.with_runaways(frame(spark, d, "whole_texts"), "ref", "hyp").where("runaway is null").drop("runaway")
-    return tr.error_counts(rows, "ref", "hyp", kind)
+    return tr.error_counts(_clean(spark, d), "ref", "hyp", kind)
+
 
+def _totals(spark, d):
+    return tr.error_totals(_clean(spark, d), "ref", "hyp", "char")
 
 
 @query("t01_edit_counts", None)
@@ -38,8 +44,7 @@ def t01(spark, d):
 
 @query("t02_edit_distance", None)
 def t02(spark, d):
-    rows = tr.error_counts(frame(spark, d, "whole_texts"), "ref", "hyp", "char")
-    return rows.select("doc_id", (F.col("substituted") + F.col("deleted") + F.col("inserted")).alias("distance"))
+    return tr.error_totals(tr.spread(frame(spark, d, "whole_texts")), "ref", "hyp", "char").select("doc_id", F.col("errors").alias("distance"))
 
 
 @query("t03_word_errors", None)
@@ -60,17 +65,17 @@ def t05(spark, d):
 
 @query("t06_pooled_rate", None)
 def t06(spark, d):
-    return tr.pooled_rate(_scored(spark, d, "char"))
+    return tr.pooled_rate(_totals(spark, d))
 
 
 @query("t07_rate_by_family", None)
 def t07(spark, d):
-    return tr.pooled_rate(_scored(spark, d, "char"), ["family"])
+    return tr.pooled_rate(_totals(spark, d), ["family"])
 
 
 @query("t11_outlier_share", None)
 def t11(spark, d):
-    return tr.outlier_share(_scored(spark, d, "char"), "doc_id", ["family"])
+    return tr.outlier_share(_totals(spark, d), "doc_id", ["family"])
 
 
 _LAT, _LON = "13 + (s_suppkey % 100) / 1000e0", "100 + (s_suppkey % 77) / 1000e0"
