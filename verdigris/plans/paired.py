@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import stats
+from ..operators import fragility as fr
 from ..operators import paired as pr
 from ..operators.scoring import KEYS, last_of_each
 from .bindings import frame, table, with_frames
@@ -153,6 +154,27 @@ def c07(spark, d):
     return arms.select("d", stats.sign_band_of("d").alias("band"))
 
 
+_DIGIT = "concat('d', right(phone, 1))"
+
+
+def _arms(spark, d) -> DataFrame:
+    """Clusters, in arms by the last digit of the phone; those without a phone are an arm."""
+    return _clusters(spark, d).withColumn("arm", F.expr(_DIGIT))
+
+
+@query(
+    "c07_arm_bands",
+    f"""with {_CLUSTERS}, two as (select case when phone is not null then {_DIGIT} end as arm, count_if(inc_ok <> cand_ok) as discordant from k group by 1),
+wins_of as (select arm, discordant, wins, sum(exp(lgamma(discordant + 1) - lgamma(wins + 1) - lgamma(discordant - wins + 1) - discordant * ln(2.0))) over (partition by arm order by wins desc) as tail
+  from two, unnest(range((discordant + 1) // 2, discordant + 1)) as r(wins))
+select arm, discordant, cast(min(case when tail <= 1.0 / 64 + 0.000000000001 then 2 * wins - discordant end) as int) as band from wins_of group by arm, discordant""",
+    "gt", "inc", "cand",
+)
+def c07_arms(spark, d):
+    two = _arms(spark, d).groupBy("arm").agg(F.count_if(F.col("inc_ok") != F.col("cand_ok")).alias("discordant"))
+    return two.withColumn("band", stats.sign_band_of("discordant"))
+
+
 @query(
     "c08_verdict",
     f"""with {_CLUSTERS}, two as (select {_TWO} from k), wins_of as (select inc_only, cand_only, inc_only + cand_only as d, wins,
@@ -209,6 +231,16 @@ def c13(spark, d):
     return stats.cluster_bootstrap(arms, "arm")
 
 
+@query("c13_seeded_bootstrap", None)
+def c13_seeded(spark, d):
+    return fr.seeded_bootstrap(_arms(spark, d), ["arm"], [F.col("call_id"), F.col("phone")])
+
+
+@query("c14_fragility", None)
+def c14_fragility(spark, d):
+    return fr.fragility(_arms(spark, d), ["arm"], [F.col("call_id"), F.col("phone")])
+
+
 @query(
     "c14_leave_one_out",
     f"with {_CLUSTERS}, t as (select {_TWO} from k) select 'inc_only' as removed, inc_only as times, (inc_only - 1) as inc_only, cand_only from t union all select 'cand_only', cand_only, inc_only, cand_only - 1 from t union all select 'other', both_right + both_wrong, inc_only, cand_only from t",
