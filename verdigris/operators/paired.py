@@ -30,6 +30,13 @@ def units(gt: DataFrame, inc: DataFrame, cand: DataFrame, keys: Sequence[str] =
     return rows.groupBy(*keys).agg(*one, *[F.count_if(F.col("role") == r).alias(f"n_{r}") for r in ROLES])
 
 
+def units_of_last(rows: DataFrame, position: str, keys: Sequence[str] = KEYS) -> DataFrame:
+    """keys, structs gt, inc, cand as units() has them, of rows with a role; a side's row of greatest position counts."""
+    row = F.struct(F.col("call_result"), norm_reasons(F.col("main"), F.col("secondary"), F.col("third")).alias("reasons"), F.col("parse_ok"))
+    one = [F.max_by(F.when(F.col("role") == r, F.col("_row")), F.when(F.col("role") == r, F.col(position))).alias(r) for r in ROLES]
+    return rows.select(*keys, "role", position, row.alias("_row")).groupBy(*keys).agg(*one)
+
+
 def refuse_duplicates(joined: DataFrame) -> DataFrame:
     bad = joined.where("n_gt > 1 or n_inc > 1 or n_cand > 1").limit(1).count()
     if bad:

@@ -23,15 +23,27 @@ def pick(number: str, values: tuple[str, ...], other: str = "null") -> str:
 _FLIP = "case call_result when 'save' then 'churn' when 'churn' then 'save' else 'undefined' end"
 
 
-def _arm(flip: int, drop: int, orphan: int, bad: int) -> str:
-    return f"""
-select case when k % {orphan} = 0 then '9' || call_id else call_id end as call_id, phone,
-  case when k % 29 = 0 then 'tvs' else product end as product,
-  case when (k * 7) % {flip} = 0 then {_FLIP} else call_result end as call_result,
-  case when k % {flip + 4} = 0 then 'other' else main end as main,
-  case when k % {flip + 6} = 0 then null else secondary end as secondary,
-  third, k % {bad} <> 0 as parse_ok, k * 10 + pos as pos
-from {{gt}} where k % {drop} <> 0"""
+def _arm_row(flip: int, orphan: int, bad: int) -> dict[str, str]:
+    return {
+        "call_id": f"case when k % {orphan} = 0 then '9' || call_id else call_id end",
+        "phone": "phone",
+        "product": "case when k % 29 = 0 then 'tvs' else product end",
+        "call_result": f"case when (k * 7) % {flip} = 0 then {_FLIP} else call_result end",
+        "main": f"case when k % {flip + 4} = 0 then 'other' else main end",
+        "secondary": f"case when k % {flip + 6} = 0 then null else secondary end",
+        "third": "third",
+        "parse_ok": f"k % {bad} <> 0",
+        "pos": "k * 10 + pos",
+    }
+
+
+#: An arm's numbers: which rows it drops, then those of _arm_row().
+_ARMS = {"inc": (13, 11, 19, 23), "cand": (17, 7, 31, 37)}
+
+
+def _arm(name: str) -> str:
+    drop, *numbers = _ARMS[name]
+    return f"select {', '.join(f'{x} as {c}' for c, x in _arm_row(*numbers).items())} from {{gt}} where k % {drop} <> 0"
 
 
 #: name -> SQL over tables and earlier frames, in braces.
@@ -43,8 +55,8 @@ select cast(l_orderkey as string) as call_id, case when o_custkey % 17 = 0 then
   min({pick("l_partkey % 13", REASONS)}) as main, max({pick("l_partkey % 17", REASONS)}) as secondary,
   min({pick("l_suppkey % 23", REASONS)}) as third, min(l_orderkey) as k, min(l_linenumber) as pos
 from {{lineitem}} join {{orders}} on l_orderkey = o_orderkey group by 1, 2, 3""",
-    "inc": _arm(11, 13, 19, 23),
-    "cand": _arm(7, 17, 31, 37),
+    "inc": _arm("inc"),
+    "cand": _arm("cand"),
     "runs": """
 select user_id as item_id, case event_type when 'error' then 'transport_error' when 'signup' then 'not_json' else 'ok' end as outcome,
   event_type, value as latency_s, event_id, props,
@@ -119,6 +131,15 @@ def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(sql, **used)
 
 
+def sides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of gt, inc and cand with their role, from one reading of the ground truth; Spark only."""
+    columns = list(_arm_row(*_ARMS["inc"][1:]))
+    rows = [(f"'{n}'", f"k % {_ARMS[n][0]} <> 0", _arm_row(*_ARMS[n][1:])) for n in _ARMS]
+    rows.append(("'gt'", "true", {c: c for c in columns} | {"parse_ok": "true"}))
+    each = [f"case when {there} then struct({role} as role, {', '.join(f'{r[c]} as {c}' for c in columns)}) end" for role, there, r in rows]
+    return frame(spark, sf_dir, "gt").selectExpr(f"inline(array_compact(array({', '.join(each)})))")
+
+
 def run_sql(sql: str, *frames: str):
     """A query of SQL text that Spark and DuckDB read alike, over frames and tables in braces."""
 

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import stats
 from ..operators import fragility as fr
 from ..operators import paired as pr
-from ..operators.scoring import KEYS, last_of_each
-from .bindings import frame, table, with_frames
+from ..operators.scoring import KEYS
+from ..sources.scratch import kept
+from .bindings import frame, sides, table, with_frames
 
 QUERIES: dict = {}
 
@@ -23,8 +24,7 @@ def query(name: str, sql: str | None, *frames: str):
 
 
 def _units(spark, d) -> DataFrame:
-    sides = [last_of_each(frame(spark, d, n), KEYS, "pos") for n in ("gt", "inc", "cand")]
-    return pr.only_singles(pr.units(*sides))
+    return pr.units_of_last(sides(spark, d), "pos")
 
 
 def _side(name: str, frame: str) -> str:
@@ -159,7 +159,7 @@ _DIGIT = "concat('d', right(phone, 1))"
 
 def _arms(spark, d) -> DataFrame:
     """Clusters, in arms by the last digit of the phone; those without a phone are an arm."""
-    return _clusters(spark, d).withColumn("arm", F.expr(_DIGIT))
+    return _clusters(spark, d).withColumn("arm", F.expr(_DIGIT)).drop("n_units")
 
 
 @query(
@@ -233,12 +233,12 @@ def c13(spark, d):
 
 @query("c13_seeded_bootstrap", None)
 def c13_seeded(spark, d):
-    return fr.seeded_bootstrap(_arms(spark, d), ["arm"], [F.col("call_id"), F.col("phone")])
+    return fr.seeded_bootstrap(kept(_arms(spark, d), "arms"), ["arm"], [F.col("call_id"), F.col("phone")])
 
 
 @query("c14_fragility", None)
 def c14_fragility(spark, d):
-    return fr.fragility(_arms(spark, d), ["arm"], [F.col("call_id"), F.col("phone")])
+    return fr.fragility(kept(_arms(spark, d), "arms"), ["arm"], [F.col("call_id"), F.col("phone")])
 
 
 @query(
