@@ -13,7 +13,7 @@ from verdigris import plans
 
 NAMES = list(plans.all_queries())
 #: One of each area here; the driver runs all of them.
-CHECKED = ["p03_reasons", "j01_label_join", "a09_metrics_table", "c05_disagreement", "c07_arm_bands", "c12_wilson", "a19_quantile_rounded", "e10_modal", "w11_failure_runs", "t10_interval_union", "j09_either_key", "o05_scenarios", "s13_money", "e14_evidence", "e18_severity_profile", "a48_zone_summary", "l05_retention", "e07_fields", "e08_cells", "e12_items", "e24_families", "e25_split_problems", "c18_decisions", "o01_mixed_sort"]
+CHECKED = ["p03_reasons", "j01_label_join", "a09_metrics_table", "c05_disagreement", "c07_arm_bands", "c12_wilson", "a19_quantile_rounded", "e10_modal", "w11_failure_runs", "t10_interval_union", "j09_either_key", "o05_scenarios", "s13_money", "e14_evidence", "e18_severity_profile", "a48_zone_summary", "l05_retention", "e07_fields", "e08_cells", "e12_items", "e24_families", "e25_split_problems", "c18_decisions", "s02_records", "s05_run_log", "s06_torn_jsonl", "s09_delimited", "s11_predictions", "s14_versioned_append", "s16_monthly_log", "a52_date_logs", "o01_mixed_sort"]
 
 
 def cells(frame):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ("scoring", "paired", "runlog", "reconcile", "text", "evidence", "answers")
+AREAS = ("scoring", "paired", "runlog", "reconcile", "text", "evidence", "answers", "files")
 
 
 def all_queries() -> dict:

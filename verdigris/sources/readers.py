@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.normalize import any_date, money, norm_phone, norm_reasons, norm_text
+from ..functions.normalize import any_date, money, norm_phone, norm_reasons, norm_text, strip
 
 LABEL_COLUMNS = ("call_id", "phone_number", "product", "call_result", "main", "secondary", "third", "parse_ok")
 
@@ -20,14 +20,14 @@ def label_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def records(rows: DataFrame) -> DataFrame:
-    """Normalised records of label rows: reasons are a sorted set, parse_ok is true unless it says false."""
+    """Normalised records of label rows: reasons are a sorted set; parse_ok is true where it is blank or says true, 1 or yes."""
     return rows.select(
-        F.trim("call_id").alias("call_id"),
+        strip(F.col("call_id")).alias("call_id"),
         norm_phone(F.col("phone_number")).alias("phone"),
         norm_text(F.col("product")).alias("product"),
         norm_text(F.col("call_result")).alias("call_result"),
         norm_reasons(F.col("main"), F.col("secondary"), F.col("third")).alias("reasons"),
-        F.coalesce(norm_text(F.col("parse_ok")) != "false", F.lit(True)).alias("parse_ok"),
+        F.coalesce(norm_text(F.col("parse_ok")).isin("true", "1", "yes"), F.lit(True)).alias("parse_ok"),
     )
 
 
@@ -123,10 +123,12 @@ def predictions(spark: SparkSession, path: str, item: T.StructType) -> DataFrame
     return raw.select("key", outcome.alias("outcome"), F.explode_outer(items).alias("item"))
 
 
-def file_name_fields(path: Column, names: Sequence[str], sep: str = "_") -> list[Column]:
-    """Columns of the positions of a file's name, without folder and extension."""
+def file_name_fields(path: Column, names: Sequence[str], sep: str = "_", dates: Sequence[str] = ()) -> list[Column]:
+    """Columns of the positions of a file's name, without folder and extension; null
+    where there is no such position, or where one of `dates` is not eight digits."""
     parts = F.split(F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]*$", ""), sep)
-    return [F.get(parts, F.lit(i)).alias(n) for i, n in enumerate(names)]
+    at = {n: F.get(parts, F.lit(i)) for i, n in enumerate(names)}
+    return [(F.when(x.rlike(r"^[0-9]{8}$"), x) if n in dates else x).alias(n) for n, x in at.items()]
 
 
 def ledger_columns(rows: DataFrame, amounts: Sequence[str], dates: Sequence[str]) -> DataFrame:

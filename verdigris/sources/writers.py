@@ -24,6 +24,12 @@ def write_monthly(df: DataFrame, path: str, date: str, partition: str = "call_mo
     df.withColumn(partition, F.date_format(date, "yyyyMM")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
 
 
+def append_by_date(df: DataFrame, path: str, ts: str) -> None:
+    """df behind what the log has, a folder a month, rows by date and time inside a file; rows without a time are left out."""
+    dated = df.where(F.col(ts).isNotNull()).withColumns({"data_date": F.to_date(ts), "month": F.date_format(ts, "yyyyMM")})
+    dated.sortWithinPartitions("month", ts).write.mode("append").partitionBy("month").parquet(path)
+
+
 def append_log(df: DataFrame, path: str) -> None:
     """Append-only; Spark's committer makes a failed write invisible. Two writers
     at once both append: a precondition on the whole table needs a table format."""
