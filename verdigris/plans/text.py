@@ -52,6 +52,14 @@ def t03(spark, d):
     return _scored(spark, d, "word").select("doc_id", "substituted", "deleted", "inserted", "units")
 
 
+@query("t03_rates", None)
+def t03_rates(spark, d):
+    """Hypotheses also differ in what the lossless form forgives: digits of another script, zero-width characters, white space."""
+    hyp = F.when(F.col("doc_id") % 3 == 0, F.translate("hyp", "0123456789", "๐๑๒๓๔๕๖๗๘๙")).when(F.col("doc_id") % 3 == 1, F.replace("hyp", F.lit(" a"), F.lit("  \u200ba"))).otherwise(F.col("hyp"))
+    rows = tr.spread(frame(spark, d, "whole_texts")).withColumn("hyp", hyp)
+    return tr.pooled_rates(tr.rate_errors(rows, "ref", "hyp"), ["family"])
+
+
 @query("t04_lossless", "select n_nationkey, trim(regexp_replace(translate(nfc_normalize(n_name || '  ๑๒ เเ'), '๐๑๒๓๔๕๖๗๘๙', '0123456789'), '\\s+', ' ', 'g')) as x from nation".replace("nfc_normalize(n_name || '  ๑๒ เเ')", "replace(nfc_normalize(n_name || '  ๑๒ เเ'), 'เเ', 'แ')"))
 def t04(spark, d):
     return table(spark, d, "nation").select("n_nationkey", tr.lossless(F.concat("n_name", F.lit("  ๑๒ เเ"))).alias("x"))
