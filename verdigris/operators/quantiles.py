@@ -2,7 +2,8 @@
 
 Values are counted by STEPS steps between a group's least and greatest; running
 sums over these few counts tell in which step a wanted place lies, and only the
-distinct values of that step are ordered. No group is sorted as a whole.
+distinct values of that step are ordered. No group is sorted as a whole. Steps are
+equal on a logarithmic scale, so a far outlier leaves the others in many steps.
 Approximate percentiles follow none of these rules.
 """
 
@@ -33,6 +34,13 @@ def _at(rule: str, q: float, n: Column) -> Column:
 STEPS = 4096
 
 
+def _step(value: Column, low: Column, high: Column) -> Column:
+    """The step of a value, from 0 to STEPS - 1; never less for a greater value."""
+    log = lambda x: F.signum(x.cast("double")) * F.log1p(F.abs(x.cast("double")))
+    width = log(high) - log(low)
+    return F.when(width > 0, F.least(F.floor((log(value) - log(low)) / width * STEPS), F.lit(STEPS - 1))).otherwise(F.lit(0)).cast("int")
+
+
 def quantiles(df: DataFrame, value: str, picks: dict[str, tuple[str, float]], by: Sequence[str] = (), digits: int = 6) -> DataFrame:
     """by, n, and for each name the element that (rule, q) picks; nulls are left out."""
     rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"))
@@ -40,9 +48,8 @@ def quantiles(df: DataFrame, value: str, picks: dict[str, tuple[str, float]], by
     same = lambda a, b: [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in by] or [F.lit(True)]
     # one row a value, with its step
     values = rows.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_times"))
-    width = F.col("_high").cast("double") - F.col("_low")
-    step = F.when(width > 0, F.least(F.floor((F.col("_v") - F.col("_low")) / width * STEPS), F.lit(STEPS - 1))).otherwise(F.lit(0))
-    values = values.alias("v").join(ends.alias("e"), same("v", "e")).select("v.*", "_n", step.cast("int").alias("_step"))
+    step = _step(F.col("_v"), F.col("_low"), F.col("_high"))
+    values = values.alias("v").join(ends.alias("e"), same("v", "e")).select("v.*", "_n", step.alias("_step"))
     steps = values.groupBy(*by, "_step").agg(F.sum("_times").alias("_in"), F.max("_n").alias("_n"))
     upto = F.sum("_in").over(Window.partitionBy(*by).orderBy("_step"))
     wanted = F.array(*[_at(rule, q, F.col("_n")) for rule, q in picks.values()])
