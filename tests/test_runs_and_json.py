@@ -43,6 +43,28 @@ def test_run_index(spark, tmp_path):
     assert got == [("c", "2026-01", None, True), ("b", "x2", 4, True), ("a", "a", None, True), ("bad", "bad", None, False)]
 
 
+def test_run_index_columns_and_directories_without(spark, tmp_path):
+    proofs = [
+        ({"a": [5], "b": [7]}, {}, 3, "2/2"), ({"a": [5, 6], "b": [7], "c": []}, {"a": [5, 6]}, 3, "SPLIT 1/2"),
+        ({"a": [5]}, {}, 1, "n/a (1 rep)"), ({}, {}, 3, "-"), (None, None, None, "-"),
+    ]
+    for i, (spread, split, repeats, _) in enumerate(proofs):
+        (tmp_path / f"r{i}" / "deep").mkdir(parents=True)
+        meta = {"prompt_token_spread": spread, "split_items": split, "repeats": repeats, "provider_requested": "p" if i else None, "prompt_id": "v2", "items": 4, "outcome_counts": [{"ok": 9}, {"not_json": 2, "ok": 1, "empty": 3}, {"empty": 1}, {}, None][i]}
+        (tmp_path / f"r{i}" / "run.json").write_text(json.dumps(meta))
+        (tmp_path / f"r{i}" / "deep" / "run.json").write_text("{}")
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "run.json").write_text("{cut")
+    (tmp_path / "dry").mkdir()
+    got = runs.run_index(spark, str(tmp_path)).where("readable").collect()
+    assert [r["directory"] for r in got] == [f"r{i}" for i in range(5)]
+    assert [r["token_proof"] for r in got] == [p[3] for p in proofs]
+    assert [r["outcomes"] for r in got] == ["ok=9", "ok=1, empty=3, not_json=2", "ok=0, empty=1", "-", "-"]
+    assert [r["provider_requested"] for r in got] == [None, "p", "p", "p", "p"] and {r["items"] for r in got} == {4}
+    assert [tuple(r) for r in runs.without_run(spark, str(tmp_path)).collect()] == [("bad", "unreadable run.json"), ("dry", "no run.json")]
+    assert runs.run_index(spark, str(tmp_path / "none")).count() == runs.without_run(spark, str(tmp_path / "r0" / "deep")).count() == 0
+
+
 def test_json_texts(spark):
     rows = [('{"b": [1, {"k": "x"}], "a": {"k": {"k": 2}}}',), ('{ "a":{"k":{"k":2}} , "b":[1,{"k":"x"}] }',), ("[1",), (None,)]
     got = (
