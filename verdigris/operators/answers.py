@@ -146,18 +146,19 @@ def flips(rows: DataFrame, replicates: int, by: Sequence[str] = ()) -> DataFrame
 
     Nothing is collected: multisets are equal if each value is there equally often in all replicates.
     """
-    called = F.struct(norm_text(F.col("call_id")).alias("call_id"), F.col("phone"))
-    keyed = F.struct(norm_text(F.col("call_id")).alias("call_id"), F.col("phone"), norm_text(F.col("product")).alias("product"))
-    row = lambda d, key, value, once: F.struct(F.lit(d).alias("dimension"), key.alias("key"), value.alias("value"), F.lit(once).alias("once"))
-    wide = F.struct(called["call_id"].alias("call_id"), called["phone"].alias("phone"), F.lit(None).cast("string").alias("product"))
+    no = F.lit(None).cast("string")
+    row = lambda d, product, value, once: F.struct(F.lit(d).alias("dimension"), product.alias("product"), value.alias("value"), F.lit(once).alias("once"))
+    product = norm_text(F.col("product"))
     facts = [
-        row("call_result", keyed, F.coalesce(norm_text(F.col("call_result")), F.lit("")), False),
-        row("reason", keyed, F.array_join(norm_reasons(*[F.col(s) for s in SLOTS]), ","), False),
-        row("product", wide, norm_text(F.col("product")), True),
-        row("product", wide, F.lit(None).cast("string"), True),  # the call was there, with products or without
+        row("call_result", product, F.coalesce(norm_text(F.col("call_result")), F.lit("")), False),
+        row("reason", product, F.array_join(norm_reasons(*[F.col(s) for s in SLOTS]), ","), False),
+        row("product", no, product, True),
+        row("product", no, no, True),  # the call was there, with products or without
     ]
-    cells = rows.select(*by, "replicate", F.inline(F.array(*facts)))
-    cell = [*by, "dimension", "key"]
+    # A call's rows are brought together once, before they become cells: all groupings below lie inside a call.
+    called = rows.withColumn("call_id", norm_text(F.col("call_id"))).select(*by, "replicate", "call_id", "phone", "product", "call_result", *SLOTS).repartition("call_id", "phone")
+    cells = called.select(*by, "replicate", "call_id", "phone", F.inline(F.array(*facts)))
+    cell = [*by, "dimension", "call_id", "phone", "product"]
     times = cells.groupBy(*cell, "value", "once", "replicate").agg(F.count(F.lit(1)).alias("n"))
     values = times.groupBy(*cell, "value", "once").agg(F.count(F.lit(1)).alias("seen"), F.min("n").alias("least"), F.max("n").alias("most"))
     same = (F.col("seen") == replicates) & (F.col("once") | (F.col("least") == F.col("most")))
