@@ -1,5 +1,7 @@
 """The ground truth and its sides as numbers: the frame's own rows, and no aggregation that sorts."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -41,3 +43,23 @@ def test_coded_units_are_those_of_the_rows(spark):
 def test_flips_shuffle_rows_once(spark):
     df = spark.createDataFrame([(i, "c", "p", "tol", "save", "a", None, None) for i in (0, 1)], "replicate int, call_id string, phone string, product string, call_result string, main string, secondary string, third string")
     assert plan(an.flips(df, 2)).split("== Initial Plan ==")[-1].count("Exchange hashpartitioning") == 2
+
+
+@pytest.mark.parametrize("query", [c02])
+def test_tasks_are_as_many_as_the_lines_need(spark, small, monkeypatch, query):
+    """What each task joins and groups is bounded: their number follows the lines, not the session's number of partitions."""
+    want = sorted(query(spark, small).collect())
+    monkeypatch.setattr(b, "LINES_A_TASK", 500)
+    n = -(-b.table(spark, small, "lineitem").count() // 500)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for partitions in (3, 40):
+            spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+            df = query(spark, small)
+            dealt = re.findall(r"Exchange hashpartitioning\((\w+?)#.*?(\d+)\), ", plan(df))
+            assert [x for x in dealt if x[0] not in ("inc_error",)] == [(c, str(n)) for c in ("call_id", "l_orderkey", "o_orderkey")]
+            assert sorted(df.collect()) == want
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
