@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from verdigris.operators import answers as an
 from verdigris.operators import paired as pr
 from verdigris.plans import bindings as b
-from verdigris.plans.paired import c01, c02, c04, c05
+from verdigris.plans.paired import c01, c02, c04, c05, c06
 
 
 def plan(df):
@@ -45,7 +45,7 @@ def test_flips_shuffle_rows_once(spark):
     assert plan(an.flips(df, 2)).split("== Initial Plan ==")[-1].count("Exchange hashpartitioning") == 2
 
 
-@pytest.mark.parametrize("query", [c02, c04, c05])
+@pytest.mark.parametrize("query", [c02, c04, c05, c06])
 def test_tasks_are_as_many_as_the_lines_need(spark, small, monkeypatch, query):
     """What each task joins and groups is bounded: their number follows the lines, not the session's number of partitions."""
     want = sorted(query(spark, small).collect())
