@@ -7,7 +7,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from verdigris.llm import bpe
+from verdigris.llm import bpe, scratch
 from verdigris.llm.queries import op12_byte_bpe
 
 FILE = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -122,3 +122,19 @@ def test_query_against_the_library(spark, small, library):
         ids = library.encode_ordinary(r["text"] or "")
         want.append((r["doc_id"], len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((r["text"] or "").encode()).hexdigest()))
     assert got == sorted(want)
+
+
+def test_one_worker_a_task(spark, docs, small):
+    """Encoding and decoding of the query are one step of one worker, fed with bounded batches."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    try:
+        spark.conf.unset(key)
+        plan = op12_byte_bpe(spark, small)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("MapInArrow") == 1
+        assert int(spark.conf.get(key, "0")) == scratch.BATCH_BYTES
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+    two_steps = bpe.decode_documents(bpe.encode_documents(docs, FILE), FILE)
+    key = lambda r: (str(r["doc_id"]), r["decoded"], r["n_tokens"], bytes(r["ids"]))
+    assert sorted(map(key, bpe.recode_documents(docs, FILE).collect())) == sorted(map(key, two_steps.collect()))

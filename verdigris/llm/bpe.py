@@ -21,7 +21,7 @@ from __future__ import annotations
 import base64
 import gc
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -31,15 +31,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from . import textblocks as tb
+from .scratch import bounded_batches
 from .token_files import pretoken_starts
 
 #: States that a transducer keeps, and pairs of neighbours that it remembers, at most.
-MAX_STATES = 1 << 17
+MAX_STATES = 1 << 16
 MAX_PAIRS = 1 << 17
 #: Pieces up to so many bytes that a worker keeps with their ids, at most.
 SHORT_PIECE, MAX_MET = 32, 3 << 16
 #: Texts that are encoded together. At most 2**20 less 1, so that tables of powers stay small.
-BLOCK_BYTES = (1 << 20) - 1
+BLOCK_BYTES = (1 << 19) - 1
 #: A node of the trie with so many tokens below has them listed. Bytes of a piece that are read before what is settled is emitted.
 FEW, PORTION = 12, 1 << 12
 #: A text beyond so many bytes is cut where white space begins, which is a cut between pieces anyway.
@@ -405,16 +406,13 @@ def _portions(ids: np.ndarray, size: int = 1 << 16) -> Iterator[np.ndarray]:
         yield ids[at : at + size]
 
 
-def encode_documents(docs: DataFrame, ranks_file: str) -> DataFrame:
-    """doc_id, n_tokens and ids (little-endian unsigned 32-bit integers, as binary) of each document.
+Batches = Iterator[pa.RecordBatch]
 
-    ranks_file is a path every executor has, as part of the installed
-    environment. A null or empty text has no ids. Repeated rows are encoded
-    each; other columns are left out, whatever their names; an empty table
-    gives no rows. No row leaves its task.
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _encoding(ranks_file: str) -> Callable[[Batches], Batches]:
+    """Batches of doc_id and text -> doc_id, n_tokens and ids, block by block."""
+
+    def run(batches: Batches) -> Batches:
         encoder = _encoder(ranks_file)
         for batch in batches:
             for block in tb.blocks(batch.column(1), BLOCK_BYTES):
@@ -429,16 +427,13 @@ def encode_documents(docs: DataFrame, ranks_file: str) -> DataFrame:
                 packed = pa.Array.from_buffers(pa.large_binary(), block.n, [None, pa.py_buffer(offsets.astype(np.int64).tobytes()), pa.py_buffer(ids.astype("<u4").tobytes())])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.lo, block.n), pa.array(counts, pa.int64()), packed.cast(pa.binary())], ["doc_id", "n_tokens", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids binary")
+    return run
 
 
-def decode_documents(encoded: DataFrame, ranks_file: str) -> DataFrame:
-    """The columns of encoded (with ids, as encode_documents gives them) and the
-    text they decode to, in portions of ids. Null ids are none; what is not
-    UTF-8 becomes U+FFFD; an id without a rank is an error."""
-    at = encoded.columns.index("ids")
+def _decoding(ranks_file: str, at: int) -> Callable[[Batches], Batches]:
+    """Batches with ids in column `at` -> the same and decoded, 256 rows at a time."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Batches:
         decoder = _decoder(ranks_file)
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
@@ -449,4 +444,36 @@ def decode_documents(encoded: DataFrame, ranks_file: str) -> DataFrame:
                     texts.append("".join([*found, decoder.finish()]))
                 yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
 
-    return encoded.mapInArrow(run, StructType([*encoded.schema.fields, StructField("decoded", StringType())]))
+    return run
+
+
+def _id_text(docs: DataFrame) -> DataFrame:
+    bounded_batches(docs.sparkSession)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+
+
+def encode_documents(docs: DataFrame, ranks_file: str) -> DataFrame:
+    """doc_id, n_tokens and ids (little-endian unsigned 32-bit integers, as binary) of each document.
+
+    ranks_file is a path every executor has, as part of the installed
+    environment. A null or empty text has no ids. Repeated rows are encoded
+    each; other columns are left out, whatever their names; an empty table
+    gives no rows. No row leaves its task.
+    """
+    return _id_text(docs).mapInArrow(_encoding(ranks_file), "doc_id long, n_tokens long, ids binary")
+
+
+def decode_documents(encoded: DataFrame, ranks_file: str) -> DataFrame:
+    """The columns of encoded (with ids, as encode_documents gives them) and the
+    text they decode to, in portions of ids. Null ids are none; what is not
+    UTF-8 becomes U+FFFD; an id without a rank is an error."""
+    at = encoded.columns.index("ids")
+    return encoded.mapInArrow(_decoding(ranks_file, at), StructType([*encoded.schema.fields, StructField("decoded", StringType())]))
+
+
+def recode_documents(docs: DataFrame, ranks_file: str) -> DataFrame:
+    """decode_documents(encode_documents(docs)), in one worker a task: as two
+    steps, each task has two workers, and a worker that Spark uses again for
+    the other step holds the tables of both."""
+    encode, decode = _encoding(ranks_file), _decoding(ranks_file, 2)
+    return _id_text(docs).mapInArrow(lambda batches: decode(encode(batches)), "doc_id long, n_tokens long, ids binary, decoded string")

@@ -74,7 +74,7 @@ def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     file = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    out = bpe.decode_documents(bpe.encode_documents(_table(spark, sf_dir, "documents"), file), file)
+    out = bpe.recode_documents(_table(spark, sf_dir, "documents"), file)
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
