@@ -1,6 +1,6 @@
 import pyarrow as pa
 
-from verdigris.llm import scratch
+from verdigris.llm import ngram_join, scratch
 
 
 def test_batches_of_written_tables_are_bounded(spark):
@@ -22,3 +22,29 @@ def test_batches_of_written_tables_are_bounded(spark):
         assert max(r["size"] for r in rows) < 2 << 20
     finally:
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def test_first_steps_of_a_session_get_bounded_batches(spark, docs, monkeypatch):
+    """Frequent tokens are counted before the first table is written."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before, seen = spark.conf.get(key, None), []
+
+    def stop(*_):
+        seen.append(spark.conf.get(key, None))
+        raise KeyError
+
+    monkeypatch.setattr(ngram_join, "frequent_tokens", stop)
+    try:
+        for step in (lambda: ngram_join.resolve(docs),):
+            spark.conf.unset(key)
+            try:
+                step()
+            except KeyError:
+                pass
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+    assert seen == [str(scratch.BATCH_BYTES)] 
+
+
+def test_tables_of_powers_of_the_join_stay_small():
+    assert ngram_join.BLOCK_BYTES < 1 << 19

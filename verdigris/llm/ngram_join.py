@@ -37,15 +37,15 @@ from pyspark.sql import functions as F
 
 from . import textblocks as tb
 from .graph import components
-from .scratch import dropped, written
+from .scratch import bounded_batches, dropped, written
 
 WORDS = 4
 PERCENT = 85
 #: Text bytes a task works on at once: a dozen arrays of a word or token each.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = (1 << 19) - 1
 #: Tokens held in the summary of frequent tokens (all others count as rare), and a task's own.
 FREQUENT = 1 << 20
-HELD = 1 << 21
+HELD = 1 << 20
 #: Bits of a token's hash below its rank; the highest rank, FREQUENT, has to fit above them.
 RANK_SHIFT = 43
 assert FREQUENT << RANK_SHIFT < 1 << 64
@@ -131,8 +131,10 @@ def frequent_tokens(docs: DataFrame, words: int, most: int = FREQUENT) -> np.nda
 
         def merged() -> tuple[np.ndarray, np.ndarray]:
             tokens, times = (np.concatenate(x) for x in zip((known, n), *held, strict=True))
+            held.clear()
             order = np.argsort(tokens)
             tokens, times = tokens[order], times[order]
+            del order
             starts = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
             tokens, times = tokens[starts], np.add.reduceat(times, starts)
             if len(tokens) > HELD:
@@ -146,7 +148,7 @@ def frequent_tokens(docs: DataFrame, words: int, most: int = FREQUENT) -> np.nda
                 size += len(tokens)
                 if size > HELD:
                     known, n = merged()
-                    held, size = [], 0
+                    size = 0
         if held:
             known, n = merged()
         known, n = known[n > 1], n[n > 1]
@@ -479,6 +481,7 @@ def unit_pairs(units: DataFrame, words: int, percent: int) -> DataFrame:
 def resolve(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """Two tables: documents (doc_id, stem, check, n, node; node is null where there
     are no words) and nodes (node, least doc_id, component, a node)."""
+    bounded_batches(docs.sparkSession)
     table = written(prefix_table(docs, words, percent, frequent_tokens(docs, words)), "prefixes")
     whole, nodes = with_nodes(table)
     postings = shared_postings(whole)
