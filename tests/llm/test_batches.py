@@ -1,6 +1,6 @@
 import pyarrow as pa
 
-from verdigris.llm import ngram_join, scratch
+from verdigris.llm import ngram_join, scratch, toxicity
 
 
 def test_batches_of_written_tables_are_bounded(spark):
@@ -25,7 +25,7 @@ def test_batches_of_written_tables_are_bounded(spark):
 
 
 def test_first_steps_of_a_session_get_bounded_batches(spark, docs, monkeypatch):
-    """Frequent tokens are counted before the first table is written."""
+    """Frequent tokens and stems are counted before the first table is written."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     before, seen = spark.conf.get(key, None), []
 
@@ -34,8 +34,9 @@ def test_first_steps_of_a_session_get_bounded_batches(spark, docs, monkeypatch):
         raise KeyError
 
     monkeypatch.setattr(ngram_join, "frequent_tokens", stop)
+    monkeypatch.setattr(toxicity, "training_ids", stop)
     try:
-        for step in (lambda: ngram_join.resolve(docs),):
+        for step in (lambda: ngram_join.resolve(docs), lambda: toxicity.train(docs, docs)):
             spark.conf.unset(key)
             try:
                 step()
@@ -43,7 +44,7 @@ def test_first_steps_of_a_session_get_bounded_batches(spark, docs, monkeypatch):
                 pass
     finally:
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
-    assert seen == [str(scratch.BATCH_BYTES)] 
+    assert seen == [str(scratch.BATCH_BYTES)] * 2
 
 
 def test_tables_of_powers_of_the_join_stay_small():

@@ -1,5 +1,7 @@
 """The label model finds what it is told nothing about."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 
@@ -45,3 +47,22 @@ def test_kinds_that_exclude_each_other_are_all_toxic():
     votes[260:] = rng.random((2740, 12)) < 0.001
     found = toxicity.label_model(votes).posteriors(votes) > 0.5
     assert found[:260].mean() > 0.93 and found[260:].mean() < 0.01
+
+
+def test_the_driver_holds_the_votes_once():
+    """Votes are centred a portion of texts at a time, with the correlations of all of them."""
+    rng = np.random.default_rng(4)
+    votes = rng.random((20000, 100)) < rng.random(100)
+    part, fires = rng.dirichlet(np.ones(3), len(votes)), rng.random((100, 3))
+    whole = np.corrcoef(votes.astype(float), rowvar=False) - np.eye(100)
+    found = toxicity._correlations(votes.astype(float), np.ones((len(votes), 1)), votes.mean(axis=0)[:, None])
+    assert np.abs(found - whole).max() < 1e-9
+    centred = votes - part @ fires.T
+    cov = centred.T @ centred
+    found = toxicity._correlations(votes.astype(float), part, fires)
+    assert np.abs(found - (cov / np.sqrt(np.outer(np.diag(cov), np.diag(cov))) - np.eye(100))).max() < 1e-9
+    tracemalloc.start()
+    toxicity.label_model(votes, rounds=2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2 * 8 * votes.size

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import textblocks as tb
 from .rows import rows_where
-from .scratch import written
+from .scratch import bounded_batches, written
 
 #: Words of the lexicon voters.
 LEXICON = (
@@ -49,6 +49,8 @@ LEAST_TEXTS, LEAST_RATIO, LEAST_SHARE = 3, 11.0, 0.85
 CORRELATED, COPIED = 0.5, 0.9
 #: Kinds of toxic texts that the label model can tell apart: voters of one kind rest where another kind is.
 KINDS = 8
+#: Texts that the driver centres at a time when it fits the label model.
+ROWS = 1 << 11
 _WHOLE = np.uint64(0x27D4EB2F165667C5)
 
 
@@ -193,8 +195,13 @@ class LabelModel:
         return 1 - self.kinds(votes)[:, -1]
 
 
-def _correlations(centred: np.ndarray) -> np.ndarray:
-    cov = centred.T @ centred / max(len(centred), 1)
+def _correlations(votes: np.ndarray, part: np.ndarray, fires: np.ndarray) -> np.ndarray:
+    """Of the voters (columns), around what each text's part in the kinds has them fire; ROWS texts at a time."""
+    cov = np.zeros((votes.shape[1], votes.shape[1]))
+    for lo in range(0, len(votes), ROWS):
+        centred = votes[lo : lo + ROWS] - part[lo : lo + ROWS] @ fires.T
+        cov += centred.T @ centred
+    cov /= max(len(votes), 1)
     sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
     out = cov / np.outer(sd, sd)
     np.fill_diagonal(out, 0)
@@ -211,7 +218,7 @@ def label_model(votes: np.ndarray, rounds: int = 25) -> LabelModel:
     by one plus its strong correlations with the others.
     """
     votes = votes.astype(np.float64)
-    n, overall = len(votes), _correlations(votes - votes.mean(axis=0))
+    n, overall = len(votes), _correlations(votes, np.ones((len(votes), 1)), votes.mean(axis=0)[:, None])
     copies = np.where(overall >= COPIED, overall, 0.0)
     fired = votes @ (1 / (1 + copies.sum(axis=1)))
     guess = (fired / max(fired.mean(), 1e-9)) ** 2
@@ -227,7 +234,7 @@ def label_model(votes: np.ndarray, rounds: int = 25) -> LabelModel:
     for _ in range(rounds):
         rates = (part.sum(axis=0) + 1) / (n + part.shape[1])
         fires = np.minimum((votes.T @ part + 0.02) / (part.sum(axis=0) + 1), 0.999)
-        given = _correlations(votes - part @ fires.T)
+        given = _correlations(votes, part, fires)
         share = 1 / (1 + np.maximum(np.where(given >= CORRELATED, given, 0.0), copies).sum(axis=1))
         model = LabelModel(rates, fires, given, share)
         part = model.kinds(votes)
@@ -272,6 +279,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Score
     """Voters, label model and classifier. Without labelled rows of both kinds,
     the lexicon alone votes and a text with one of its words scores above half."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     lexicon = lexicon_hashes()
     ids = [(r["doc_id"], r["toxic"]) for r in training_ids(labels, most).collect()]  # `most` ids at most
     n_bad = sum(x for _, x in ids)
@@ -303,15 +311,19 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Score
                 ends = np.searchsorted(doc, np.arange(block.n + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.lo, block.n), pa.ListArray.from_arrays(pa.array(ends), pa.array(place.astype(np.int32)))], ["doc_id", "at"])
 
-    marked = texts.select("doc_id", "text").mapInArrow(mark, "doc_id long, at array<int>").orderBy("doc_id").collect()  # `most` texts' marks
-    if not marked:
+    marked = texts.select("doc_id", "text").mapInArrow(mark, "doc_id long, at array<int>").orderBy("doc_id").select("at").toArrow().column("at")  # `most` texts' marks
+    if not len(marked):
         return _lexicon_scorer(lexicon)
     column = np.full(len(known) * LEVELS, -1)
     column[columns] = np.arange(len(columns))
     x = np.zeros((len(marked), len(columns)), np.float32)
-    for i, r in enumerate(marked):
-        own = column[r["at"]]
-        x[i, own[own >= 0]] = 1
+    first = 0
+    for part in marked.chunks:
+        text = first + np.repeat(np.arange(len(part)), np.diff(part.offsets.to_numpy()))
+        own = column[part.flatten().to_numpy()]
+        x[text[own >= 0], own[own >= 0]] = 1
+        first += len(part)
+    del counted, key, level, bad, good, ratio, marked
     votes = x[:, :MAX_VOTERS]  # the lexicon, then the stems from the best on
     votes = votes > 0
     fitted, constant = fit_linear(x, label_model(votes).posteriors(votes))
