@@ -30,8 +30,12 @@ def without_artefacts(x: Column) -> Column:
     return x
 
 
-def _stripped(x: Column) -> Column:
-    return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+#: White space around a quote, as a pattern.
+SPACE = r"(?U:\s)"
+
+
+def _stripped(x: Column, space: str) -> Column:
+    return F.regexp_replace(x, rf"^{space}+|{space}+\z", "")
 
 
 def from_lines(items: DataFrame, item: str = "item_id", transcript: str = "transcript") -> DataFrame:
@@ -69,9 +73,9 @@ def with_slots(records: DataFrame, payload: str = "payload") -> DataFrame:
     return rows.withColumn("slots", F.filter(found, lambda s: s["keyword"].isNotNull() | s["other"])).withColumn("product_blocks", F.size("_blocks")).drop("_blocks")
 
 
-def segments(keyword: Column) -> Column:
+def segments(keyword: Column, space: str = SPACE) -> Column:
     """The quotes of a keyword: parts between commas, stripped, not blank, case kept."""
-    return F.filter(F.transform(F.split(keyword, ",", -1), _stripped), lambda s: s != "")
+    return F.filter(F.transform(F.split(keyword, ",", -1), lambda s: _stripped(s, space)), lambda s: s != "")
 
 
 def placed(segment: Column) -> Column:
@@ -99,16 +103,17 @@ def quotes(records: DataFrame, conversations: DataFrame) -> DataFrame:
     return rows.select("item_id", F.inline(found))
 
 
-def evidence_rates(records: DataFrame, conversations: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def evidence_rates(records: DataFrame, conversations: DataFrame, by: Sequence[str] = (), space: str = SPACE) -> DataFrame:
     """All counters and the rates of whole keywords and of quotes, for records
     (item_id, parse_ok, payload, by) and conversations as from_turns() or
     from_lines() gives them. A rate without anything to count is 0. format_gap is
-    what keeping the asked-for format costs the whole-keyword rate."""
+    what keeping the asked-for format costs the whole-keyword rate. space is the
+    pattern of what is stripped off quotes, Unicode's white space by default."""
     rows = _met(records, conversations)
     text = F.filter("slots", lambda s: s["keyword"].isNotNull())
-    blank = lambda s: _stripped(s["keyword"]) == ""
+    blank = lambda s: _stripped(s["keyword"], space) == ""
     rows = rows.withColumn("_spans", F.filter(text, lambda s: ~blank(s))).withColumn("_text", text)
-    rows = rows.withColumn("_places", F.flatten(F.transform("_spans", lambda s: F.transform(segments(s["keyword"]), placed))))
+    rows = rows.withColumn("_places", F.flatten(F.transform("_spans", lambda s: F.transform(segments(s["keyword"], space), placed))))
     where = lambda *names: F.size(F.filter("_places", lambda p: p.isin(*names)))
     counts = {
         "records": F.lit(1),
