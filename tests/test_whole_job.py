@@ -101,3 +101,14 @@ def test_rates_distances_and_outliers_of_a_small_table(spark, tmp_path):
     worst = {f: max(own, key=lambda i: (errors[i], -i)) for f, own in families.items()}
     got = {r["family"]: (r["worst"], r["share"]) for r in ask("t11_outlier_share")}
     assert got == {f: (w, round(errors[w] / sum(errors[i] for i in families[f]), 6)) for f, w in worst.items()}
+
+
+def test_edit_counts_have_a_row_of_every_document(spark, tmp_path):
+    """Texts that repeat themselves were taken for runaways and left out."""
+    loop = "the same line is said once more and again by the cat, " * 12
+    texts = ["on the mat the cat sat", loop, loop[:-9] + "the end", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for name, cut in (("t01_edit_counts", list), ("t03_word_errors", str.split)):
+        got = {r["doc_id"]: (r["substituted"], r["deleted"], r["inserted"], r["units"]) for r in entry.queries()[name](spark, str(tmp_path)).collect()}
+        assert got.pop(4) == (None,) * 4
+        assert got == {i: (*plain_edit_counts(cut(t), cut(t[3:].replace("the", "teh"))), len(cut(t))) for i, t in enumerate(texts[:-1])}
