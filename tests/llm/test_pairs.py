@@ -3,6 +3,8 @@
 import hashlib
 import re
 
+import numpy as np
+
 from verdigris.llm import decontam, ngram_join, substrings
 from verdigris.llm.graph import components
 
@@ -45,6 +47,27 @@ def test_jaccard_with_long_lists_and_many_chunks(docs, rows, monkeypatch):
     assert sorted(map(tuple, found.collect())) == brute_components(rows, 5, 80)
 
 
+def test_jaccard_with_prefixes_cut_again(docs, rows, monkeypatch):
+    monkeypatch.setattr(ngram_join, "SHORT_LIST", 2)
+    monkeypatch.setattr(ngram_join, "NODES_A_LIST", 1 << 40)
+    monkeypatch.setattr(ngram_join, "frequent_tokens", lambda docs, words: np.zeros(0, np.uint64))
+    found = ngram_join.jaccard_components(docs, 5, 80)
+    assert sorted(map(tuple, found.collect())) == brute_components(rows, 5, 80)
+
+
+def test_a_long_list_of_unlike_sizes_is_not_one_cluster(spark):
+    """One token in texts of all sizes drew them, and whatever they shared, into a cluster whose work is the square of its texts."""
+    sizes = [100 * 11**k // 10**k for k in range(40)] + [50] * 40
+    postings = spark.createDataFrame([(7, node, n, 0, len(sizes)) for node, n in enumerate(sizes)], "token long, node long, n long, pos long, times long")
+    short, edges = ngram_join.in_cells(postings, 85)
+    assert {x for r in edges.collect() for x in r} == set(range(40, 80))  # the forty of one size
+    assert {r["node"] for r in short.collect()} >= set(range(40))
+    pairs = [(i, j) for j in range(40) for i in range(j) if 100 * sizes[i] >= 85 * sizes[j]]
+    near = [r for r in short.collect() if r["node"] < 40]
+    met = [(x["node"], y["node"]) for x in near for y in near if x["node"] < y["node"] and x["cell"] == y["cell"] == min(x["klass"], y["klass"])]
+    assert pairs and len(met) == len(set(met)) and set(met) >= set(pairs)  # each pair near in size, once
+
+
 def test_one_of_each_keeps_rows_whole(docs, rows):
     kept = ngram_join.one_of_each(docs, 5, 80)
     assert kept.columns == docs.columns

@@ -10,12 +10,15 @@ verified:
 
 * order 1 is by rarity (a bounded summary of frequent tokens over all
   documents, then a hash). Nodes are joined by their prefix tokens under it; how
-  many of them a pair shares, and where the first stands, bounds the overlap;
+  many of them a pair shares, and where the first stands, bounds the overlap.
+  Tokens spread so thinly that no task meets them twice are missed by the summary;
+  where prefixes turn out to be full of them, they are cut again with these behind;
 * orders 2 and 3 are by independent hashes. A pair must share a prefix token
   under both as well, and be near in length.
 
-Token lists of up to SHORT_LIST nodes give their pairs. The nodes of a longer
-list are near copies by the thousand or share what is common everywhere; their
+Token lists of up to SHORT_LIST nodes give their pairs, longer ones those of each
+two neighbouring size classes that hold no more. The nodes of more
+are near copies by the thousand or share what is common everywhere; their
 pairs are never written. Such nodes are gathered by size class into hot
 clusters, cut into chunks of bounded tokens; a task gets two chunks, intersects
 all three orders and counts shared tokens with matrix products of bounded
@@ -46,11 +49,13 @@ BLOCK_BYTES = (1 << 19) - 1
 #: Tokens held in the summary of frequent tokens (all others count as rare), and a task's own.
 FREQUENT = 1 << 20
 HELD = 1 << 20
-#: Bits of a token's hash below its rank; the highest rank, FREQUENT, has to fit above them.
-RANK_SHIFT = 43
-assert FREQUENT << RANK_SHIFT < 1 << 64
+#: Bits of a token's hash below its rank; the highest rank, twice FREQUENT, has to fit above them.
+RANK_SHIFT = 42
+assert 2 * FREQUENT << RANK_SHIFT < 1 << 64
 #: Nodes that share a prefix token, up to which the pairs are written; longer lists are compared in tasks. Both ways are exact.
 SHORT_LIST = 32
+#: Prefixes are cut again where so few nodes come on a list that is long, or nearly, though its token was taken for rare.
+NODES_A_LIST = 256
 #: Tokens of a chunk: a cluster is cut into SPLITS chunks, of these sizes.
 LEAST_CHUNK, MOST_CHUNK, SPLITS = 1 << 14, 1 << 18, 4
 #: What a node weighs besides its tokens, so that a chunk has a bounded number of nodes.
@@ -58,6 +63,8 @@ NODE_WEIGHT = 64
 SLICE = 4096
 #: Rows (an id and two digests each) that are broadcast to the texts up to this count; beyond, both sides are shuffled.
 MAX_BROADCAST_IDS = 500_000
+#: The cell of a list that is not split.
+WHOLE = -2
 _SALTS = (np.uint64(0x8C95B3F1D6A7E24B), np.uint64(0x3F84D5B5B5470917), np.uint64(0x9216D5D98979FB1B))
 
 
@@ -271,17 +278,50 @@ def _near(a: str, b: str, percent: int) -> Column:
     return (F.col(a) * percent <= 100 * F.col(b)) & (F.col(b) * percent <= 100 * F.col(a))
 
 
-def listed_pairs(postings: DataFrame, percent: int) -> DataFrame:
-    """a, b: pairs of short lists that are near in size and that order 1 lets pass.
+def size_class(percent: int) -> Column:
+    """Linked sets differ in size by a factor percent at most: they are in one class or in neighbouring ones."""
+    return F.floor(F.log(F.col("n").cast("double")) / math.log(100 / (percent - 0.1))).cast("int")
+
+
+def crowded_tokens(postings: DataFrame, frequent: np.ndarray) -> np.ndarray:
+    """Tokens of long lists, and of nearly long ones, that are not in the summary, from the shortest list to the longest."""
+    lists = postings.where(F.col("times") > SHORT_LIST // 2).groupBy("token").agg(F.max("times").alias("times"))
+    top = lists.orderBy(F.desc("times"), "token").limit(FREQUENT).toArrow()  # FREQUENT rows at most
+    token, times = top.column("token").to_numpy(), top.column("times").to_numpy()
+    token = token[np.lexsort((token, times))].view(np.uint64)
+    return token[~np.isin(token, frequent)]
+
+
+def in_cells(postings: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Two tables: postings (token, cell, klass, node, n, pos) whose pairs are few enough to be written, and
+    edges a, b that keep the others together.
+
+    Cell k of a long list has its nodes of size classes k and k + 1, so that a pair of one class or of two neighbouring ones
+    is in the cell of the lower one; a short list is one cell. Nodes of a cell above SHORT_LIST have an edge to its least node.
+    """
+    rows = postings.select("token", "node", "n", "pos", "times", size_class(percent).alias("klass"))
+    short = rows.where(F.col("times") <= SHORT_LIST).select("token", F.lit(WHOLE).alias("cell"), "klass", "node", "n", "pos")
+    split = rows.where(F.col("times") > SHORT_LIST).select("token", F.explode(F.array("klass", F.col("klass") - 1)).alias("cell"), "klass", "node", "n", "pos")
+    cells = split.groupBy("token", "cell").agg(F.count(F.lit(1)).alias("held"), F.min("node").alias("lead"))
+    cells = written(cells.select(F.col("token").alias("t"), F.col("cell").alias("c"), "held", "lead"), "cells")
+    if cells.count() <= MAX_BROADCAST_IDS:
+        cells = F.broadcast(cells)
+    split = split.join(cells, (F.col("token") == F.col("t")) & (F.col("cell") == F.col("c")))
+    edges = split.where(F.col("held") > SHORT_LIST).select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct()
+    return short.unionByName(split.where(F.col("held") <= SHORT_LIST).select(*short.columns)), edges
+
+
+def listed_pairs(short: DataFrame, percent: int) -> DataFrame:
+    """a, b: pairs of the short cells of in_cells() that are near in size and that order 1 lets pass.
 
     A link shares ceil(percent * (n_a + n_b) / (100 + percent)) tokens. Of these
     at most `met` are in both prefixes and no more than what is behind the one
     prefix that ends first are not; and none stands before the first shared token.
     """
-    short = postings.where(F.col("times") <= SHORT_LIST)
-    left = short.select("token", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("pos").alias("at_a"))
-    right = short.select(F.col("token").alias("t"), F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("pos").alias("at_b"))
-    pairs = left.join(right, (F.col("token") == F.col("t")) & (F.col("a") < F.col("b")) & _near("n_a", "n_b", percent))
+    left = short.select("token", "cell", F.col("klass").alias("k_a"), F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("pos").alias("at_a"))
+    right = short.select(F.col("token").alias("t"), F.col("cell").alias("c"), F.col("klass").alias("k_b"), F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("pos").alias("at_b"))
+    lower = (F.col("cell") == WHOLE) | (F.col("cell") == F.least("k_a", "k_b"))
+    pairs = left.join(right, (F.col("token") == F.col("t")) & (F.col("cell") == F.col("c")) & (F.col("a") < F.col("b")) & lower & _near("n_a", "n_b", percent))
     pairs = pairs.groupBy("a", "b").agg(
         F.count(F.lit(1)).alias("met"), *[F.min(c).alias(c) for c in ("at_a", "at_b", "n_a", "n_b")]
     )
@@ -291,24 +331,6 @@ def listed_pairs(postings: DataFrame, percent: int) -> DataFrame:
     return pairs.where(passed).select("a", "b")
 
 
-def size_class(percent: int) -> Column:
-    """Linked sets differ in size by a factor percent at most: they are in one class or in neighbouring ones."""
-    return F.floor(F.log(F.col("n").cast("double")) / math.log(100 / (percent - 0.1))).cast("int")
-
-
-def hot_edges(postings: DataFrame, percent: int) -> DataFrame:
-    """a, b: edges that keep the nodes of a long list together, by size class: to
-    the least node of the list in the same class, and in the class below."""
-    long_ = postings.where(F.col("times") > SHORT_LIST).select("token", "node", size_class(percent).alias("klass"))
-    lead = written(long_.groupBy("token", "klass").agg(F.min("node").alias("lead")), "leads")
-    to = long_.select("token", "node", F.explode(F.array("klass", F.col("klass") - 1)).alias("k"))
-    lead = lead.select(F.col("token").alias("t"), F.col("klass").alias("c"), "lead")
-    if lead.count() <= MAX_BROADCAST_IDS:
-        lead = F.broadcast(lead)
-    edges = to.join(lead, (F.col("token") == F.col("t")) & (F.col("k") == F.col("c")))
-    return edges.select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct()
-
-
 def node_texts(docs: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
     """(node, least, check) -> node, n, text, p2 and p3 (prefixes under orders 2 and 3)."""
 
@@ -482,13 +504,20 @@ def resolve(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tupl
     """Two tables: documents (doc_id, stem, check, n, node; node is null where there
     are no words) and nodes (node, least doc_id, component, a node)."""
     bounded_batches(docs.sparkSession)
-    table = written(prefix_table(docs, words, percent, frequent_tokens(docs, words)), "prefixes")
-    whole, nodes = with_nodes(table)
+    frequent = frequent_tokens(docs, words)
+    whole, nodes = with_nodes(written(prefix_table(docs, words, percent, frequent), "prefixes"))
     postings = shared_postings(whole)
+    more = crowded_tokens(postings, frequent)
+    if len(more) * NODES_A_LIST > nodes.count():
+        dropped(whole, nodes, postings)
+        whole, nodes = with_nodes(written(prefix_table(docs, words, percent, np.concatenate([more, frequent])), "prefixes"))
+        postings = shared_postings(whole)
+    del frequent, more
     table = written(whole.drop("p1"), "documents")
     dropped(whole)
-    pairs = written(listed_pairs(postings, percent), "pairs")
-    edges = written(hot_edges(postings, percent), "edges")
+    short, edges = in_cells(postings, percent)
+    pairs = written(listed_pairs(short, percent), "pairs")
+    edges = written(edges, "edges")
     dropped(postings)
     clusters = components(edges).withColumnRenamed("component", "cluster")
     met = pairs.select(F.explode(F.array("a", "b")).alias("met")).union(clusters.select("node")).distinct()
