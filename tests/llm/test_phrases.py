@@ -111,3 +111,17 @@ def test_long_counts_are_exact(spark):
 def test_query_against_brute_force(spark, small):
     rows = [(r["lang"], r["text"]) for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
     assert result(op11_phrases(spark, small)) == brute(rows)
+
+
+def test_a_pass_over_the_sequences_takes_several_hashes(spark, monkeypatch):
+    """Every hash had a pass of its own, which wrote all sequences again: the work grew with the candidates times the input."""
+    keys = np.random.default_rng(3).integers(1, 1 << 63, 500, dtype=np.uint64)
+    table = spark.createDataFrame([(int(k),) for k in keys], "key long")
+    assert [r[0] for r in table.select(F.expr("pmod(xxhash64(key), 7)")).collect()] == phrases._round_of(keys, 7).tolist()
+    passes, relabel = [], phrases._relabel
+    monkeypatch.setattr(phrases, "_relabel", lambda *args: passes.append(args[2:]) or relabel(*args))
+    rows = some(9)
+    made = phrases.find_phrases(frame(spark, rows), least=2, max_words=2, max_slots=12)
+    assert result(made) == brute(rows, 2, 2)
+    rounds = passes[0][1]
+    assert rounds > phrases.HASHES and passes == [(k, rounds) for k in range(0, rounds, phrases.HASHES)]

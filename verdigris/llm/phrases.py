@@ -8,8 +8,9 @@ least count wanted; a minimal perfect hash is built over them, with their keys
 stored to turn others away; mappers replace each pair by its slot and count the
 slots in numpy arrays, which are summed as a tree. Cuts are then read by slot.
 
-A hash holds MAX_SLOTS keys at most, so what is broadcast, and each task's
-array, is bounded; more candidates are handled in further rounds.
+A hash holds MAX_SLOTS keys at most and a pass over the sequences has HASHES of
+them, so what is broadcast, and each task's array, is bounded; more candidates
+are handled in further passes. A pair is looked up in one hash of a pass.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from . import textblocks as tb
 from .perfect_hash import PerfectHash
 from .scratch import dropped, written
 
-MAX_SLOTS = 1 << 19
+MAX_SLOTS, HASHES = 1 << 19, 4
 #: Slots a row of counts has, rows of counts that one task of the tree adds.
 CHUNK, FAN_IN = 1 << 14, 16
 #: Keys that a mapper holds before it hands them on, places of sequences that it handles together, bytes of texts likewise.
@@ -218,14 +219,29 @@ def _candidates(seqs: DataFrame, least: int) -> DataFrame:
 
 
 class _Keys:
-    """A round's candidates as a broadcast: their hash and their first id."""
+    """A round's candidates: their hash and their first id."""
 
     def __init__(self, keys: np.ndarray, base: int):
         self.hash, self.base = PerfectHash(keys), base
+        self.hash.order = None  # not for broadcasting
 
 
-def _relabel(seqs: DataFrame, shared: Broadcast) -> DataFrame:
-    """seqs (seq, next or null) with the ids of this round's pairs put into next."""
+def _turned(x: np.ndarray, bits: int) -> np.ndarray:
+    return x << np.uint64(bits) | x >> np.uint64(64 - bits)
+
+
+def _round_of(keys: np.ndarray, rounds: int) -> np.ndarray:
+    """Spark's pmod(xxhash64(key), rounds)."""
+    a, b, c, d = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63))
+    h = np.uint64(0x27D4EB2F165667C5 + 42 + 8) ^ _turned(keys * b, 31) * a
+    h = _turned(h, 27) * a + d
+    h = (h ^ h >> np.uint64(33)) * b
+    h = (h ^ h >> np.uint64(29)) * c
+    return (h ^ h >> np.uint64(32)).view(np.int64) % rounds
+
+
+def _relabel(seqs: DataFrame, shared: Broadcast, first: int, rounds: int) -> DataFrame:
+    """seqs (seq, next or null) with the ids of the pairs of this pass's rounds, from the first on, put into next."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
@@ -234,8 +250,11 @@ def _relabel(seqs: DataFrame, shared: Broadcast) -> DataFrame:
             out = np.zeros(len(seq), np.uint32)
             for lo, pairs in _portions(seq):
                 there = np.flatnonzero(pairs)
-                slots = own.hash.slots(pairs[there])
-                out[lo + there] = np.where(slots >= 0, slots + own.base, 0)
+                of = _round_of(pairs[there], rounds)
+                for k, keys in enumerate(own, first):
+                    at = there[of == k]
+                    slots = keys.hash.slots(pairs[at])
+                    out[lo + at] = np.where(slots >= 0, slots + keys.base, 0)
             if not batch.column(1).null_count:
                 out |= _sequence(batch.column(1))[0]
             yield pa.RecordBatch.from_arrays([batch.column(0), _binary(out, offsets)], ["seq", "next"])
@@ -377,17 +396,19 @@ def find_phrases(docs: DataFrame, least: int = 10, max_words: int = 3, cover_per
         candidates = written(_candidates(table, least), "candidates")
         rounds, base, counted = _rounds(candidates.count(), max_slots), 1, []
         seqs = table.select("seq", F.lit(None).cast("binary").alias("next"))
-        for k in range(rounds):
-            keys = candidates.where(F.pmod(F.xxhash64("key"), F.lit(rounds)) == k).toArrow().column("key").to_numpy().astype(np.int64).view(np.uint64)
-            made = _Keys(np.sort(keys), base)
+        for first in range(0, rounds, HASHES):
+            made, start = [], base
+            for k in range(first, min(first + HASHES, rounds)):
+                keys = candidates.where(F.pmod(F.xxhash64("key"), F.lit(rounds)) == k).toArrow().column("key").to_numpy().astype(np.int64).view(np.uint64)
+                made.append(_Keys(np.sort(keys), base))
+                base = _below_limit(base + len(keys))
             shared = spark.sparkContext.broadcast(made)
-            before, seqs = seqs, written(_relabel(seqs, shared), "sequences")
+            before, seqs = seqs, written(_relabel(seqs, shared, first, rounds), "sequences")
             shared.destroy()
             dropped(before)
-            if len(keys):
-                slots = _slot_counts(seqs.select(F.col("next").alias("seq")), base, len(keys))
-                counted.append(written(_by_slot(slots, base, len(keys), made.hash.keys), "slots"))
-            base = _below_limit(base + len(keys))
+            if base > start:
+                slots = _slot_counts(seqs.select(F.col("next").alias("seq")), start, base - start)
+                counted.append(written(_by_slot(slots, start, base - start, np.concatenate([m.hash.keys for m in made])), "slots"))
         dropped(candidates, table)
         table = seqs.select(F.col("next").alias("seq"))
         table._verdigris_path = seqs._verdigris_path
